@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, simhash, sstable, substring_dedup, topk, toxicity, url_filter
+from . import edit_counts, exact_dedup, mixing, piece_sampling, simhash, sstable, substring_dedup, topk, toxicity, url_filter
 from .common import public_tokenizer, table
 
 
@@ -30,10 +30,21 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return edit_counts.edit_aware_counts(docs, edit_counts.scripted_edits(docs), public_tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"))
 
 
+def op8_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.sampled_pieces(table(spark, sf_dir, "documents"), public_tokenizer("piece_bpe_32k.model"), k=2, with_pieces=False)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -43,7 +54,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_token_shards, op4_top_k, op5_toxicity, op7_url_filter, op9_substring_dedup, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_token_shards, op4_top_k, op5_toxicity, op6_edit_counts, op7_url_filter, op8_piece_sampling, op9_substring_dedup, op10_simhash)}
 
 _WS = r"[\x20\x09-\x0D]+"
 
