@@ -230,6 +230,18 @@ def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", keep: list[
     return rows.mapInArrow(partial(_scored, lexicon=lexicon), f"{schema}, score double")
 
 
+def _clean(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, text_col: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = pa.RecordBatch.from_arrays([batch.column(text_col)], names=["text"])
+        (scored,) = _scored(iter([texts]), lexicon)
+        yield batch.filter(pa.array(scored.column("score").to_numpy() < 0.5))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows that toxicity() predicts to be toxic, all columns as they were."""
+    return docs.mapInArrow(partial(_clean, lexicon=learn(docs, labels, id_col, text_col), text_col=text_col), docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted.
 
