@@ -147,3 +147,64 @@ OUTCOME = f"""
                 min(CASE WHEN verdict = 'UNCOMPARABLE' THEN CASE WHEN reason IN ('ocr_confusable', 'unit_differs') THEN 'unreadable' ELSE 'missing_value' END END) AS review_reason
                 FROM cmp GROUP BY case_id)
 """
+
+
+def _re2(pattern: str) -> str:
+    """A rule's pattern without look-ahead, for tests of existence only."""
+    return pattern.replace(r"(?![A-Z])", "(?:[^A-Z]|$)").replace(r"(?!SI\b)", "")
+
+
+def _mails() -> str:
+    from .sources.derive import MAILS
+
+    rows = ", ".join(f"({i}, {q(s)}, replace({q(b)}, '\\n', chr(10)), {q(w)})".replace("\n", "' || chr(10) || '") for i, (s, b, w) in enumerate(MAILS))
+    return f"""mail_t(k, subject, body, sender) AS (VALUES {rows}),
+    mail AS (SELECT o_orderkey AS email_id, replace(subject, '{{n}}', CAST(o_orderkey AS VARCHAR)) AS subject, replace(body, '{{n}}', CAST(o_orderkey AS VARCHAR)) AS body, sender FROM orders JOIN mail_t ON o_orderkey % 12 = k)"""
+
+
+def _views() -> str:
+    from .operators import classify as c
+
+    return rf"""
+    cut AS (SELECT *, upper(trim(regexp_replace(regexp_replace(subject, {q(c._REPLY)}, ''), '\s+', ' ', 'g'))) AS v_subject, upper(trim(sender)) AS v_sender,
+            string_split_regex(regexp_replace(body, '(?i)\A\s*(?:WARNING|CAUTION|\[?EXTERNAL\]?)\b[^\n]*\n?', ''), {q(c._QUOTE)})[1] AS unquoted FROM mail),
+    bodies AS (SELECT *, upper({strip(f"string_split_regex(unquoted, {q(c._SIGNOFF)})[1]")}) AS v_body FROM cut),
+    view AS (SELECT *, coalesce(list_filter(list_transform(string_split_regex(v_body, '\n\s*\n'), lambda p: {strip('p')}), lambda p: p <> '' AND NOT (regexp_matches(p, '{c._SALUTATION}') AND length(p) <= 40))[1], '') AS v_body_head,
+             v_subject || chr(10) || v_body AS v_any FROM bodies)"""
+
+
+def _rule_terms() -> str:
+    from .functions.rules import EMAIL_RULES
+
+    out = []
+    for i, (name, category, view, weight_, pattern) in enumerate(EMAIL_RULES):
+        if pattern is None:
+            gain = rf"least(6, len(list_distinct(list_filter(list_transform(regexp_extract_all(v_body, '(?m)^[ \t]*([A-Z][A-Z0-9 ./&()''\-]{{1,40}}?)[ \t]*:', 1), lambda x: {resolve(basic('x'))}), lambda f: f IS NOT NULL)))) * 1.0"
+        else:
+            more = r" AND NOT regexp_matches(v_subject, '^SI\b')" if r"(?!SI\b)" in pattern else ""
+            gain = f"CASE WHEN regexp_matches(v_{view}, {q('(?m)' + _re2(pattern))}){more} THEN {weight_} ELSE 0 END"
+        out.append(f"SELECT email_id, {i} AS ord, {q(name)} AS name, {q(category)} AS category, CAST({gain} AS DOUBLE) AS gain FROM view")
+    return " UNION ALL ".join(out)
+
+
+#: CTEs mail, view, hit (a row a rule that fires) and ranked (a row a mail and category).
+MAILS = f"""{_mails()}, {_views()},
+    hit AS (SELECT * FROM ({_rule_terms()}) WHERE gain > 0),
+    cats(category, i) AS (VALUES ('SPAM', 0), ('GENERAL', 1), ('INVOICE_QUERY', 2), ('SI_REQUEST', 3), ('BL_COMPARISON', 4)),
+    scored AS (SELECT m.email_id, c.category, c.i, coalesce(sum(h.gain), 0) AS s FROM mail m CROSS JOIN cats c LEFT JOIN hit h ON h.email_id = m.email_id AND h.category = c.category GROUP BY ALL),
+    ranked AS (SELECT *, row_number() OVER w AS rank, s - lead(s) OVER w AS lead_ FROM scored WINDOW w AS (PARTITION BY email_id ORDER BY s DESC, i))"""
+
+
+def _signals(table: list, head: str) -> str:
+    terms = []
+    for _, w, pattern, view in table:
+        p = q("(?m)" + _re2(pattern))
+        terms.append(f"CASE WHEN regexp_matches(v_subject, {p}) THEN {w} ELSE 0 END" if view == "subject" else f"CASE WHEN regexp_matches({head}, {p}) THEN {w} WHEN regexp_matches(v_body, {p}) THEN {w / 2} ELSE 0 END")
+    return "CAST(" + " + ".join(terms) + " AS DOUBLE)"
+
+
+def intent() -> str:
+    from .functions.rules import ATTACHED, DRAFT
+
+    head = "CASE WHEN v_body_head = '' THEN v_body ELSE v_body_head END"
+    return f"intent AS (SELECT email_id, {_signals(ATTACHED, head)} AS a, {_signals(DRAFT, head)} AS d FROM view)"

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from . import oracle as o
 from .functions import labels, text
-from .operators import chunks, compare
+from .operators import chunks, classify, compare, doctype
+from .plans import cases as plan
 from .sources import derive
 
 QUERIES: dict = {}
@@ -111,3 +112,123 @@ def label_resolve(spark, sf_dir):
 @query(f"WITH {o.PAIRS}, {o.COMPARED} SELECT reason, field, count(*) AS n FROM cmp WHERE verdict = 'UNCOMPARABLE' GROUP BY ALL")
 def uncomparable_reasons(spark, sf_dir):
     return compare.compare(_values(spark, sf_dir)).filter("verdict = 'UNCOMPARABLE'").groupBy("reason", "field").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _compared(spark, sf_dir):
+    return compare.compare(_values(spark, sf_dir))
+
+
+#: Raw values as they can be read back from the texts: the wrapped consignee ends at its first line.
+_READ_BACK = f"""read_back AS (SELECT case_id, side, field, raw FROM (
+    SELECT case_id, 'SI' AS side, field, si_raw AS raw FROM val UNION ALL
+    SELECT case_id, 'BL', field, CASE WHEN v = 7 AND field = 'consignee' THEN replace(bl_raw, ' TRADING CO', '') ELSE bl_raw END FROM val) WHERE raw IS NOT NULL)"""
+
+
+def _docs(spark, sf_dir):
+    return derive.texts(derive.pairs(spark, sf_dir))
+
+
+@query(f"WITH {o.PAIRS}, {_READ_BACK} SELECT case_id, side, field, raw FROM read_back")
+def text_fields(spark, sf_dir):
+    return chunks.field_values(chunks.candidates(chunks.chunks(_docs(spark, sf_dir), fuzzy=False))).select("case_id", "side", "field", "raw")
+
+
+@query(f"WITH {o.PAIRS}, {_READ_BACK} SELECT field, side, CAST(CASE WHEN {o.is_blank('raw')} THEN -80.0 ELSE 0.0 END + CASE WHEN {o.key('field', 'raw')} IS NOT NULL THEN 50.0 ELSE 0.0 END + CASE WHEN field = 'gross_weight_kg' AND side = 'BL' AND case_id % 3 = 1 THEN 15.0 ELSE 0.0 END AS DOUBLE) AS score, count(*) AS n FROM read_back GROUP BY ALL")
+def candidate_scores(spark, sf_dir):
+    return chunks.candidates(chunks.chunks(_docs(spark, sf_dir), fuzzy=False)).filter("rank = 1").groupBy("field", "side", "score").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {o.PAIRS} SELECT case_id, 'BL' AS side, bl_consignee AS raw FROM pair WHERE v = 7")
+def wrap_repair(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    values = chunks.field_values(chunks.candidates(chunks.chunks(docs, fuzzy=False)))
+    fixed = chunks.repaired(chunks.paired(values, docs.select("case_id").distinct()), docs)
+    sides = F.explode(F.array(*[F.struct(F.lit(s.upper()).alias("side"), F.col(f"{s}_raw").alias("raw"), F.col(f"{s}_wrapped").alias("wrapped")) for s in ("si", "bl")])).alias("s")
+    return fixed.select("case_id", sides).filter("s.wrapped").select("case_id", "s.side", "s.raw")
+
+
+@query(
+    f"""WITH {o.PAIRS} SELECT case_id, side, CASE WHEN side = 'SI' THEN 'SHIPPING_INSTRUCTION' WHEN v = 10 THEN 'COMMERCIAL_INVOICE' ELSE 'BILL_OF_LADING' END AS doc_type,
+        CASE WHEN side = 'SI' THEN round_even((5.8 - 0.5) / 5.8, 3) WHEN v = 10 AND case_id % 3 = 2 THEN round_even((7.2 - 0.5) / 7.2, 3) WHEN v = 10 THEN 0.99 WHEN case_id % 3 = 2 THEN round_even((5.9 - 0.5) / 5.9, 3) ELSE 0.99 END AS confidence
+        FROM pair, (VALUES ('SI'), ('BL')) s(side)"""
+)
+def doc_type_score(spark, sf_dir):
+    return doctype.doc_types(_docs(spark, sf_dir)).select("case_id", "side", "doc_type", "confidence")
+
+
+@query(f"WITH {o.PAIRS} SELECT case_id, 1 AS si, 2 AS bl, CASE WHEN v = 10 THEN 'wrong_doc_type' END AS problem FROM pair")
+def role_assignment(spark, sf_dir):
+    typed = doctype.doc_types(_docs(spark, sf_dir)).select("case_id", F.when(F.col("side") == "SI", 1).otherwise(2).alias("ord"), "doc_type", "confidence", doctype.role_hint(F.col("path")).alias("hint"))
+    cast = doctype.roles(typed)
+    of = lambda s: typed.select("case_id", F.col("ord").alias(s), F.col("doc_type").alias(f"{s}_type"), F.col("confidence").alias(f"{s}_conf"))
+    both = cast.join(of("si"), ["case_id", "si"], "left").join(of("bl"), ["case_id", "bl"], "left")
+    return both.select("case_id", "si", "bl", doctype.pair_problem(F.col("si_type"), F.col("si_conf"), F.col("bl_type"), F.col("bl_conf")).alias("problem"))
+
+
+def _views(spark, sf_dir):
+    return classify.views(derive.emails(spark, sf_dir))
+
+
+@query(f"WITH {o._mails()}, {o._views()} SELECT email_id, v_subject, v_body, v_body_head FROM view")
+def email_clean(spark, sf_dir):
+    return _views(spark, sf_dir).select("email_id", "v_subject", "v_body", "v_body_head")
+
+
+@query(f"WITH {o.MAILS} SELECT email_id, name, category, gain FROM hit")
+def email_rule_scores(spark, sf_dir):
+    fired = classify.fired_rules(_views(spark, sf_dir))
+    return fired.select("email_id", F.explode("fired").alias("r")).select("email_id", "r.name", "r.category", "r.gain")
+
+
+@query(
+    f"""WITH {o.MAILS} SELECT email_id, CASE WHEN s <= 0 THEN 'GENERAL' ELSE category END AS category, CASE WHEN s <= 0 THEN 0.0 ELSE round_even(0.5 * least(1, s / 8) + 0.5 * least(1, lead_ / 4), 4) END AS confidence,
+        CASE WHEN s <= 0 THEN 0.0 ELSE lead_ END AS margin, s <= 0 OR s < 3 OR lead_ < 1.5 AS needs_model, coalesce((SELECT string_agg(name, ',' ORDER BY gain DESC, ord) FROM hit h WHERE h.email_id = r.email_id), 'fallback.no-rule-fired') AS rationale
+        FROM ranked r WHERE rank = 1"""
+)
+def email_category(spark, sf_dir):
+    return classify.categories(classify.fired_rules(_views(spark, sf_dir))).select("email_id", "category", "confidence", "margin", "needs_model", "rationale")
+
+
+@query(
+    f"""WITH {o._mails()}, {o._views()}, {o.intent()} SELECT email_id, a AS attach_score, d AS draft_score, a >= 1.5 AND a > d AS expects_documents, d >= 1.5 AND d >= a AS requests_draft,
+        CASE WHEN greatest(a, d) <= 0 THEN 0.0 ELSE round_even(0.5 * least(1, greatest(a, d) / 5) + 0.5 * (greatest(a, d) - least(a, d)) / greatest(a, d), 4) END AS intent_confidence FROM intent"""
+)
+def email_intent(spark, sf_dir):
+    return classify.intents(_views(spark, sf_dir)).select("email_id", "attach_score", "draft_score", "expects_documents", "requests_draft", "intent_confidence")
+
+
+#: Outcomes of the gate by construction: what each planted variation must come to.
+_GATED = f"""gated AS (SELECT case_id, v, o.status, o.defect_fields, o.review_reason,
+    CASE WHEN v = 10 THEN 'wrong_document' WHEN o.review_reason = 'missing_value' OR uncomparable_fields <> '' AND NOT coalesce(soft, false) THEN 'blank_value' WHEN v = 3 THEN 'ocr_confusable' WHEN v = 5 THEN 'unit_differs' ELSE 'grounded' END AS gate_status
+    FROM outcome o JOIN (SELECT case_id, v FROM pair) USING (case_id) LEFT JOIN (SELECT case_id, bool_and(reason IN ('ocr_confusable', 'unit_differs')) AS soft FROM cmp WHERE verdict = 'UNCOMPARABLE' GROUP BY case_id) USING (case_id))"""
+_CASES = f"""{o.PAIRS}, {o.COMPARED}, {o.OUTCOME}, {_GATED},
+    decided AS (SELECT case_id, gate_status, CASE gate_status WHEN 'grounded' THEN status ELSE 'NEEDS_REVIEW' END AS status,
+        CASE gate_status WHEN 'wrong_document' THEN 'wrong_doc_type' WHEN 'blank_value' THEN 'missing_value' WHEN 'grounded' THEN NULL ELSE 'unreadable' END AS review_reason,
+        gate_status = 'grounded' AND defect_fields <> '' AS has_defect, CASE gate_status WHEN 'grounded' THEN defect_fields ELSE '' END AS defect_fields FROM gated)"""
+
+
+def _gated(spark, sf_dir):
+    docs = _docs(spark, sf_dir).withColumn("unreadable", F.lit(None).cast("string"))
+    mails = derive.pairs(spark, sf_dir).select("case_id", F.lit("TO CONFIRM DOCS").alias("subject"), F.lit("Attached are the SI and draft BL. Please compare.").alias("body"), F.lit("a@b.c").alias("sender"))
+    return plan.cases(docs, mails)
+
+
+@query(f"WITH {_CASES} SELECT * FROM decided")
+def case_status(spark, sf_dir):
+    return _gated(spark, sf_dir).select("case_id", "gate_status", "status", "review_reason", "has_defect", "defect_fields")
+
+
+@query(
+    """SELECT o_orderkey AS case_id, CASE o_orderkey % 5 WHEN 0 THEN 'missing_attachment' WHEN 1 THEN CASE WHEN o_orderkey % 12 = 1 THEN 'no_comparison_needed' WHEN o_orderkey % 12 IN (0, 2) THEN 'missing_attachment' ELSE 'no_comparison_needed' END WHEN 2 THEN 'unreadable' ELSE 'blank_value' END AS gate_status,
+        CASE WHEN o_orderkey % 5 = 0 THEN 'attachments:1,missing_document:BL' WHEN o_orderkey % 5 = 1 THEN CASE WHEN o_orderkey % 12 IN (1, 3) THEN 'attachments:0,intent:requests_draft' WHEN o_orderkey % 12 IN (0, 2) THEN 'attachments:0,intent:expects_attached_documents' ELSE 'attachments:0,intent:unclear' END
+             WHEN o_orderkey % 5 = 2 THEN 'bl:empty_file' END AS signals FROM orders"""
+)
+def gate_attachments(spark, sf_dir):
+    """The gate's first steps: one side only, none (by the mail's intent), an empty file, blank texts."""
+    key = F.col("case_id")
+    orders = derive.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"))
+    side = lambda s, when, text_, bad: orders.filter(when).select("case_id", F.lit(s).alias("side"), F.lit(text_).alias("text"), F.lit(bad).cast("string").alias("unreadable"))
+    docs = side("SI", key % 5 != 1, "nothing", None).union(side("BL", key % 5 > 2, "nothing", None)).union(side("BL", key % 5 == 2, None, "empty_file"))
+    mails = derive.emails(spark, sf_dir).withColumnRenamed("email_id", "case_id")
+    out = plan.cases(docs, mails)
+    return out.select("case_id", "gate_status", F.when(key % 5 < 3, F.col("signals")).alias("signals"))

@@ -67,14 +67,14 @@ WORDINGS = [
 def texts(pairs: DataFrame) -> DataFrame:
     """case_id, v, side (SI, BL), path, text: each pair as two attachments of labelled lines.
 
-    Variation 7 wraps the draft's shipper onto a second line, 10 has an invoice for a draft.
+    Variation 7 wraps the draft's consignee onto a second line, 10 has an invoice for a draft.
     """
     def lines(side: str, wording: list[str]) -> list:
         out = []
         for f, label in zip(FIELDS, wording, strict=True):
             value = F.col(f"{side}_{f}")
-            if f == "shipper" and side == "bl":
-                value = F.when(F.col("v") == 7, F.replace(value, F.lit(" PTE"), F.lit("\n  PTE"))).otherwise(value)
+            if f == "consignee" and side == "bl":
+                value = F.when(F.col("v") == 7, F.replace(value, F.lit(" TRADING"), F.lit("\n  TRADING"))).otherwise(value)
             out.append(F.concat(F.lit(f"{label}: "), value))
         return out
 
