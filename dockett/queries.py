@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from . import oracle as o
 from .functions import labels, text
-from .operators import chunks, classify, compare, doctype
+from .constants import FIELDS
+from .operators import chunks, classify, compare, doctype, reports, review
 from .plans import cases as plan
 from .sources import derive
 
@@ -232,3 +233,139 @@ def gate_attachments(spark, sf_dir):
     mails = derive.emails(spark, sf_dir).withColumnRenamed("email_id", "case_id")
     out = plan.cases(docs, mails)
     return out.select("case_id", "gate_status", F.when(key % 5 < 3, F.col("signals")).alias("signals"))
+
+#: Cases for the reports: the pairs' outcomes with a sender domain and a shipper.
+_REPORT = f"""{o.PAIRS}, {o.COMPARED}, {o.OUTCOME}, shipped AS (SELECT case_id, si_shipper AS shipper, v FROM pair),
+    cases AS (SELECT o.case_id, shipper, 'agent' || CAST(o.case_id % 37 AS VARCHAR) || '.com' AS domain, CASE WHEN v = 19 THEN 'GENERAL' ELSE 'BL_COMPARISON' END AS category, 'rule' AS decided_by, status, review_reason, status = 'MISMATCH' AS has_defect,
+              CASE WHEN status = 'MISMATCH' THEN defect_fields ELSE '' END AS defect_fields FROM outcome o JOIN shipped USING (case_id)),
+    defects AS (SELECT *, unnest(string_split(defect_fields, ',')) AS field FROM cases WHERE defect_fields <> '')"""
+
+
+def _cases(spark, sf_dir):
+    pairs = derive.pairs(spark, sf_dir)
+    seen = compare.compare(derive.values(pairs)).groupBy("case_id").agg(
+        F.array_join(F.array_sort(F.collect_list(F.when(F.col("verdict") == "MISMATCH", F.col("field")))), ",").alias("fields"),
+        F.count_if(F.col("verdict") == "UNCOMPARABLE").alias("open"), F.min(F.when(F.col("verdict") == "UNCOMPARABLE", F.when(F.col("reason").isin("ocr_confusable", "unit_differs"), "unreadable").otherwise("missing_value"))).alias("review_reason"),
+    )
+    status = F.when(F.col("open") > 0, "NEEDS_REVIEW").when(F.col("fields") != "", "MISMATCH").otherwise("OK")
+    sender = F.concat(F.lit("<desk@AGENT"), (F.col("case_id") % 37).cast("string"), F.lit(".com>"))
+    return seen.join(pairs.select("case_id", "v", F.col("si_shipper").alias("shipper")), "case_id").select(
+        "case_id", "shipper", text.domain(sender).alias("domain"), F.when(F.col("v") == 19, "GENERAL").otherwise("BL_COMPARISON").alias("category"), F.lit("rule").alias("decided_by"), status.alias("status"), "review_reason", (status == "MISMATCH").alias("has_defect"),
+        F.when(status == "MISMATCH", F.col("fields")).otherwise("").alias("defect_fields"),
+    )
+
+
+@query(f"WITH {_REPORT} SELECT count(*) AS emails, count_if(status = 'OK') AS ok, count_if(status = 'MISMATCH') AS mismatch, count_if(status = 'NEEDS_REVIEW') AS needs_review, count_if(review_reason = 'missing_value') AS missing_value, count_if(review_reason = 'unreadable') AS unreadable, CAST(1.0 AS DOUBLE) AS rule_share FROM cases")
+def run_metrics(spark, sf_dir):
+    return reports.run_metrics(_cases(spark, sf_dir))
+
+
+_W = "(1.959963984540054 / (1 + 3.8414588206941227 / n)) * sqrt((k / n) * (1 - k / n) / n + 3.8414588206941227 / (4.0 * n * n))"
+_C = "((k / n + 3.8414588206941227 / (2 * n)) / (1 + 3.8414588206941227 / n))"
+
+
+@query(
+    f"""WITH {_REPORT}, by AS (SELECT domain, count(*) AS emails, count_if(category = 'BL_COMPARISON') AS comparisons, count_if(status = 'MISMATCH') AS defects, count_if(status = 'NEEDS_REVIEW') AS escalated FROM cases GROUP BY domain),
+        base AS (SELECT sum(defects) / sum(comparisons) AS b FROM by), r AS (SELECT *, CAST(defects AS DOUBLE) AS k, CAST(comparisons AS DOUBLE) AS n FROM by, base)
+        SELECT domain, emails, comparisons, defects, escalated, k / n AS rate, greatest(0, {_C} - {_W}) AS ci_low, least(1, {_C} + {_W}) AS ci_high, {_C} - {_W} > b AS above_baseline, {_C} - {_W} > b OR {_C} + {_W} < b AS conclusive FROM r"""
+)
+def patterns_senders_wilson(spark, sf_dir):
+    return reports.patterns_senders(_cases(spark, sf_dir))
+
+
+@query(f"WITH {_REPORT}, g AS (SELECT domain, field, count(*) AS n, min(case_id) AS f FROM defects GROUP BY ALL), r AS (SELECT domain, field, n, CAST(row_number() OVER (PARTITION BY domain ORDER BY n DESC, f, field) AS INTEGER) AS rank FROM g) SELECT * FROM r WHERE rank <= 3")
+def patterns_top_fields(spark, sf_dir):
+    return reports.top_fields(_cases(spark, sf_dir))
+
+
+@query(f"WITH {_REPORT}, dim(field) AS (VALUES {', '.join(f'({o.q(f)})' for f in FIELDS)}), g AS (SELECT dim.field, count(defects.field) AS n FROM dim LEFT JOIN defects USING (field) GROUP BY ALL) SELECT field, n, n / sum(n) OVER () AS share FROM g")
+def patterns_fields(spark, sf_dir):
+    return reports.patterns_fields(_cases(spark, sf_dir))
+
+
+@query(f"WITH {_REPORT} SELECT review_reason, count(*) AS n FROM cases WHERE status = 'NEEDS_REVIEW' AND review_reason IS NOT NULL GROUP BY ALL")
+def escalation_reasons(spark, sf_dir):
+    return reports.escalation_reasons(_cases(spark, sf_dir))
+
+
+@query(f"WITH {_REPORT} SELECT shipper, field, count(*) AS n, count(DISTINCT domain) AS senders FROM defects GROUP BY ALL HAVING count(*) >= 2 ORDER BY n DESC, shipper, field LIMIT 6")
+def pattern_groups_top6(spark, sf_dir):
+    return reports.shipper_groups(_cases(spark, sf_dir))
+
+
+@query(f"WITH {_REPORT}, g AS (SELECT shipper, field, count(*) AS n FROM defects GROUP BY ALL) SELECT * FROM (SELECT c.case_id, g.field, g.n - CASE WHEN list_contains(string_split(c.defect_fields, ','), g.field) THEN 1 ELSE 0 END AS prior FROM cases c JOIN g USING (shipper)) WHERE prior > 0")
+def prior_defects(spark, sf_dir):
+    return reports.prior_defects(_cases(spark, sf_dir))
+
+
+@query(f"WITH {_REPORT} SELECT count(*) AS emails, count_if(category = 'BL_COMPARISON') AS pairs, 7 * count_if(category = 'BL_COMPARISON') AS fields, 20 * count(*) + 240 * count_if(category = 'BL_COMPARISON') AS seconds FROM cases")
+def manual_estimate(spark, sf_dir):
+    return reports.manual_estimate(_cases(spark, sf_dir))
+
+
+@query("SELECT volume, volume * 2.5 / 1000 AS seconds, round_even(volume * 2 * 0.0013, 2) AS dollars FROM (VALUES (1000), (5000), (10000), (50000)) t(volume)")
+def volume_projection(spark, sf_dir):
+    return reports.volume_projection(spark.range(1).select(F.lit(2.5).alias("ms"), F.lit(2).alias("docs")), [1000, 5000, 10_000, 50_000])
+
+
+@query("WITH c AS (SELECT event_type AS purpose, event_id % 3 = 0 AS cached, CAST(value * 10 AS BIGINT) AS i, CASE WHEN event_id % 3 = 0 THEN CAST(value * 10 AS BIGINT) // 2 ELSE 0 END AS h, event_id % 100 AS u FROM events) SELECT purpose, count(*) AS calls, count_if(cached) AS cached, CAST(sum(i) AS BIGINT) AS input_tokens, CAST(sum(u) AS BIGINT) AS output_tokens, round_even(CAST(sum((i - h) * 0.25 + h * 0.025 + u * 2.0) / 1000000 AS DOUBLE), 6) AS cost FROM c GROUP BY ALL")
+def usage_cost(spark, sf_dir):
+    i = F.bround(F.col("value") * 10, 0).cast("bigint")
+    e = derive.read(spark, sf_dir, "events").select(F.col("event_type").alias("purpose"), (F.col("event_id") % 3 == 0).alias("cached"), i.alias("input_tokens"), (F.col("event_id") % 100).alias("output_tokens"))
+    return reports.usage_cost(e.withColumn("cached_tokens", F.when(F.col("cached"), F.expr("input_tokens div 2")).otherwise(F.lit(0).cast("bigint"))))
+
+
+_REVIEWS = "reviews AS (SELECT case_id, CASE case_id % 3 WHEN 0 THEN 'confirm' ELSE 'correct' END AS decision, CASE case_id % 6 WHEN 1 THEN 'MISMATCH' WHEN 2 THEN 'OK' WHEN 4 THEN 'NEEDS_REVIEW' END AS r_status, 'shipper,consignee' AS r_fields FROM cases WHERE case_id % 4 = 0 OR case_id % 7 = 0)"
+_EFFECTIVE = f"""{_REPORT}, {_REVIEWS}, eff AS (SELECT c.*, r.decision, r.decision = 'correct' AS fix, coalesce(r_status, status) AS n_status FROM cases c LEFT JOIN reviews r USING (case_id)),
+    effective AS (SELECT case_id, CASE WHEN fix THEN n_status ELSE status END AS status, CASE WHEN fix AND n_status <> 'NEEDS_REVIEW' THEN NULL ELSE review_reason END AS review_reason, CASE WHEN fix THEN n_status = 'MISMATCH' ELSE has_defect END AS has_defect,
+        CASE WHEN NOT coalesce(fix, false) THEN defect_fields WHEN n_status = 'MISMATCH' THEN 'consignee,shipper' ELSE '' END AS defect_fields, CASE WHEN fix THEN 'review' ELSE 'system' END AS source, decision IS NOT NULL AS reviewed, decision AS review_decision FROM eff)"""
+
+
+def _reviews(cases):
+    k = F.col("case_id")
+    return cases.filter((k % 4 == 0) | (k % 7 == 0)).select("case_id", F.when(k % 3 == 0, "confirm").otherwise("correct").alias("decision"), F.when(k % 6 == 1, "MISMATCH").when(k % 6 == 2, "OK").when(k % 6 == 4, "NEEDS_REVIEW").alias("status"), F.lit("shipper,consignee").alias("defect_fields"))
+
+
+@query(f"WITH {_EFFECTIVE} SELECT * FROM effective")
+def effective_outcome(spark, sf_dir):
+    cases = _cases(spark, sf_dir)
+    return review.effective(cases, _reviews(cases))
+
+
+@query(f"WITH {_EFFECTIVE} SELECT count(*) AS reviewed, count_if(e.status <> 'NEEDS_REVIEW' AND e.status = c.status AND e.defect_fields = c.defect_fields) AS confirmed, count_if(e.status <> 'NEEDS_REVIEW' AND NOT (e.status = c.status AND e.defect_fields = c.defect_fields)) AS corrected, count_if(e.status = 'NEEDS_REVIEW') AS unresolved FROM effective e JOIN cases c USING (case_id) WHERE e.reviewed")
+def review_summary(spark, sf_dir):
+    cases = _cases(spark, sf_dir)
+    return review.summary(cases, _reviews(cases))
+
+
+@query(
+    f"""WITH {o.PAIRS}, corrected AS (SELECT case_id, v, field, field_ord, CASE WHEN field = 'gross_weight_kg' AND v = 2 THEN si_raw WHEN field = 'shipper' AND v = 15 THEN 'Someone Else' ELSE bl_raw END AS bl_new, si_raw, bl_raw FROM val),
+        fixed AS (SELECT case_id, v, field, field_ord, si_raw, bl_new AS bl_raw FROM corrected), {o.COMPARED.replace('FROM val)', 'FROM fixed)')},
+        stand AS (SELECT case_id, v, field, CASE WHEN field = 'consignee' AND v = 3 THEN 'MATCH' WHEN field = 'notify_party' AND v = 16 THEN 'MISMATCH' ELSE verdict END AS s FROM cmp),
+        g AS (SELECT case_id, v, coalesce(string_agg(field, ',' ORDER BY field) FILTER (WHERE s = 'MISMATCH'), '') AS defect_fields, bool_or(s = 'UNCOMPARABLE') AS open FROM stand GROUP BY ALL)
+        SELECT case_id, CASE WHEN v = 17 THEN 'NEEDS_REVIEW' WHEN defect_fields <> '' THEN 'MISMATCH' WHEN open THEN 'NEEDS_REVIEW' ELSE 'OK' END AS status, defect_fields FROM g"""
+)
+def review_derived(spark, sf_dir):
+    values = _values(spark, sf_dir)
+    corrections = values.filter(((F.col("field") == "gross_weight_kg") & (F.col("v") == 2)) | ((F.col("field") == "shipper") & (F.col("v") == 15))).select("case_id", "field", F.lit(None).cast("string").alias("si"), F.when(F.col("v") == 2, F.col("si_raw")).otherwise("Someone Else").alias("bl"))
+    decisions = values.filter(((F.col("field") == "consignee") & (F.col("v") == 3)) | ((F.col("field") == "notify_party") & (F.col("v") == 16))).select("case_id", "field", F.when(F.col("v") == 3, "cleared").otherwise("flagged").alias("decision"))
+    return review.derive(values, decisions, corrections, values.filter("v = 17").select("case_id"))
+
+
+@query("WITH e AS (SELECT user_id AS case_id, ts AS at, event_id FROM events) SELECT case_id, event_id, CAST(row_number() OVER w AS INTEGER) AS version, lead(at) OVER w IS NULL AS is_latest FROM e WINDOW w AS (PARTITION BY case_id ORDER BY at, event_id)")
+def case_versions_latest(spark, sf_dir):
+    events = derive.read(spark, sf_dir, "events").select(F.col("user_id").alias("case_id"), F.struct("ts", "event_id").alias("at"), "event_id")
+    return review.versions(events).select("case_id", "event_id", "version", "is_latest")
+
+
+@query(f"WITH {_REPORT} SELECT case_id, CAST(CASE status WHEN 'MISMATCH' THEN 0 WHEN 'NEEDS_REVIEW' THEN 1 ELSE 2 END AS INTEGER) AS rank, CAST(CASE WHEN defect_fields = '' THEN 0 ELSE len(string_split(defect_fields, ',')) END AS INTEGER) AS n_fields FROM cases")
+def attention_order(spark, sf_dir):
+    return reports.attention(_cases(spark, sf_dir)).select("case_id", "rank", "n_fields")
+
+
+_SHOWN = lambda s: f"CASE WHEN field_ord > 5 THEN coalesce({s}_key, '?') ELSE coalesce(nullif({o.first_segment(s + '_raw')}, ''), {s}_key, '?') END"
+
+
+@query(f"WITH {o.PAIRS}, {o.COMPARED} SELECT case_id, coalesce(string_agg(replace(field, '_', ' ') || ' - SI: ' || {_SHOWN('si')} || ' / BL: ' || {_SHOWN('bl')}, '; ' ORDER BY field_ord) FILTER (WHERE verdict = 'MISMATCH'), 'No mismatch detected.') AS summary FROM cmp GROUP BY case_id")
+def case_summary(spark, sf_dir):
+    return compare.by_case(_compared(spark, sf_dir)).select("case_id", "summary")
