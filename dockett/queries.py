@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from . import oracle as o
 from .functions import labels, text
 from .constants import FIELDS
-from .operators import chunks, classify, compare, doctype, reports, review
+from .operators import chunks, classify, compare, doctype, perturb, reports, review, scoring
 from .plans import cases as plan
+from .plans import harness
 from .sources import derive
 
 QUERIES: dict = {}
@@ -208,15 +209,15 @@ _CASES = f"""{o.PAIRS}, {o.COMPARED}, {o.OUTCOME}, {_GATED},
         gate_status = 'grounded' AND defect_fields <> '' AS has_defect, CASE gate_status WHEN 'grounded' THEN defect_fields ELSE '' END AS defect_fields FROM gated)"""
 
 
-def _gated(spark, sf_dir):
+def _inputs(spark, sf_dir):
     docs = _docs(spark, sf_dir).withColumn("unreadable", F.lit(None).cast("string"))
     mails = derive.pairs(spark, sf_dir).select("case_id", F.lit("TO CONFIRM DOCS").alias("subject"), F.lit("Attached are the SI and draft BL. Please compare.").alias("body"), F.lit("a@b.c").alias("sender"))
-    return plan.cases(docs, mails)
+    return docs, mails
 
 
 @query(f"WITH {_CASES} SELECT * FROM decided")
 def case_status(spark, sf_dir):
-    return _gated(spark, sf_dir).select("case_id", "gate_status", "status", "review_reason", "has_defect", "defect_fields")
+    return plan.cases(*_inputs(spark, sf_dir)).select("case_id", "gate_status", "status", "review_reason", "has_defect", "defect_fields")
 
 
 @query(
@@ -369,3 +370,48 @@ _SHOWN = lambda s: f"CASE WHEN field_ord > 5 THEN coalesce({s}_key, '?') ELSE co
 @query(f"WITH {o.PAIRS}, {o.COMPARED} SELECT case_id, coalesce(string_agg(replace(field, '_', ' ') || ' - SI: ' || {_SHOWN('si')} || ' / BL: ' || {_SHOWN('bl')}, '; ' ORDER BY field_ord) FILTER (WHERE verdict = 'MISMATCH'), 'No mismatch detected.') AS summary FROM cmp GROUP BY case_id")
 def case_summary(spark, sf_dir):
     return compare.by_case(_compared(spark, sf_dir)).select("case_id", "summary")
+
+
+@query()
+def perturb_texts(spark, sf_dir):
+    """Every document under every mode, as a digest of its text."""
+    return perturb.texts(_docs(spark, sf_dir)).select("case_id", "side", "mode", F.md5("text").alias("text_md5"))
+
+
+@query(
+    f"""WITH {o.PAIRS}, {o.COMPARED}, {o.OUTCOME}, {_GATED}, arms(arm, off) AS (VALUES ('full', []), ('no-untraceable', ['untraceable_value']), ('no-blank', ['blank_value']), ('neither', ['untraceable_value', 'blank_value'])),
+        freed AS (SELECT arm, defect_fields AS d, gate_status = 'grounded' OR list_contains(off, gate_status) AS free FROM gated CROSS JOIN arms)
+        SELECT arm, count_if(free AND d <> '') AS reported_defects, CAST(sum(CASE WHEN free AND d <> '' THEN len(string_split(d, ',')) ELSE 0 END) AS BIGINT) AS defect_fields, count_if(NOT free) AS escalations, count_if(free AND d = '') AS clean FROM freed GROUP BY arm"""
+)
+def gate_ablation(spark, sf_dir):
+    return harness.ablation(plan.gated(*_inputs(spark, sf_dir)))
+
+
+#: What a made-up system submits for the reports' cases: some are left out, misfiled, or flagged in part.
+_SUBMITTED = f"""{_REPORT}, said AS (SELECT case_id, CASE WHEN case_id % 11 = 0 THEN 'SPAM' ELSE category END AS category, CASE WHEN case_id % 7 = 0 THEN 'MISMATCH' ELSE status END AS status,
+    CASE WHEN case_id % 13 = 0 THEN 'shipper' ELSE defect_fields END AS defect_fields FROM cases WHERE case_id % 17 <> 0),
+    both_ AS (SELECT c.*, s.category AS sc, s.status AS ss, s.defect_fields AS sd FROM cases c LEFT JOIN said s USING (case_id)),
+    cat(category) AS (VALUES ('SPAM'), ('GENERAL'), ('INVOICE_QUERY'), ('SI_REQUEST'), ('BL_COMPARISON')),
+    f AS (SELECT cat.category, count(*) FILTER (WHERE b.category = cat.category AND sc = cat.category) AS tp, count(*) FILTER (WHERE sc = cat.category) AS predicted, count(*) FILTER (WHERE b.category = cat.category) AS real FROM cat CROSS JOIN both_ b GROUP BY cat.category)"""
+
+
+def _submitted(cases):
+    k = F.col("case_id")
+    return cases.filter(k % 17 != 0).select("case_id", F.when(k % 11 == 0, "SPAM").otherwise(F.col("category")).alias("category"), F.when(k % 7 == 0, "MISMATCH").otherwise(F.col("status")).alias("status"), F.when(k % 13 == 0, "shipper").otherwise(F.col("defect_fields")).alias("defect_fields"))
+
+
+@query(f"WITH {_SUBMITTED} SELECT category, tp, predicted, real, CASE WHEN predicted + real > 0 THEN 2.0 * tp / (predicted + real) ELSE 0 END::DOUBLE AS f1 FROM f")
+def score_by_category(spark, sf_dir):
+    cases = _cases(spark, sf_dir)
+    return scoring.by_category(cases, _submitted(cases))
+
+
+@query(
+    f"""WITH {_SUBMITTED}, n AS (SELECT count_if(defect_fields <> '') AS planted, count_if(defect_fields <> '' AND sc = 'BL_COMPARISON' AND ss = 'MISMATCH' AND sd = defect_fields) AS exact_, count_if(j AND defect_fields <> '' AND ss = 'MISMATCH') AS tp, count_if(j AND ss = 'MISMATCH') AS said, count_if(j AND defect_fields <> '') AS real,
+        count_if(ss = 'NEEDS_REVIEW') AS asked, count_if(status = 'NEEDS_REVIEW') AS should, count_if(ss = 'NEEDS_REVIEW' AND status = 'NEEDS_REVIEW') AS right_ FROM (SELECT *, category = 'BL_COMPARISON' AND status <> 'NEEDS_REVIEW' AS j FROM both_)),
+        r AS (SELECT exact_::DOUBLE / planted AS end_to_end, 2.0::DOUBLE * tp / (said + real) AS defect_f1, right_::DOUBLE / asked AS escalation_precision, right_::DOUBLE / should AS escalation_recall, (SELECT avg(CASE WHEN predicted + real > 0 THEN 2.0::DOUBLE * tp / (predicted + real) ELSE 0 END) FROM f) AS macro_f1 FROM n)
+        SELECT *, 0.5::DOUBLE * end_to_end + 0.3::DOUBLE * macro_f1 + 0.2::DOUBLE * defect_f1 AS final_score FROM r"""
+)
+def score_final(spark, sf_dir):
+    cases = _cases(spark, sf_dir)
+    return scoring.score(cases, _submitted(cases))
