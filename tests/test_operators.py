@@ -19,7 +19,7 @@ def test_rewritings(spark):
     assert "Shipped By: ACME" in made["SI", "unseen_labels"] and "Boxes: 2 x" in made["SI", "unseen_labels"]
     assert "Consignee: A VERY LONG COMPANY NAME\n    TRADING CO\n" in made["SI", "wrapped_value"]
     assert "Shipper:\n    ACME" in made["SI", "reflow_indented"] and "Shipper:\nACME" in made["SI", "reflow_next_line"]
-    assert "Port of Loading: ".replace(" ", " ") in made["SI", "punct_nbsp"] and "Shipper — ACME" in made["SI", "punct_em_dash"]
+    assert "Port of Loading: ".replace(" ", "\u00a0") in made["SI", "punct_nbsp"] and "Shipper \u2014 ACME" in made["SI", "punct_em_dash"]
     assert "Port of Loading: PENANG" in SI and "Port of Discharge: 0SLO" in made["SI", "ocr_confusions"]
     fields = [x.split(":")[0] for x in made["SI", "reordered_fields"].split("\n") if ":" in x]
     assert fields == [x.split(":")[0] for x in SI.split("\n") if ":" in x][::-1] and made["SI", "reordered_fields"].startswith("SHIPPING INSTRUCTION\n====\n")
