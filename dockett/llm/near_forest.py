@@ -6,7 +6,11 @@ keeps unrelated texts (half of the bits, give or take a thirtieth) apart at any
 trees with their own vantage points place each fingerprint in one shard each, or in two if its distance
 lies within MARGIN of the border. A pair within the radius that one tree parts meets in another; the
 number of trees grows with their depth so that a pair at the radius is missed by all of them with a chance
-of about MISS. What a shard links is compared exactly, and reported as stars.
+of about MISS.
+
+Fingerprints only propose pairs; whether two texts are similar is decided by their sets of shingles. First
+a shard proposes stars around leaders that lie more than the radius apart, so a large group of copies is
+not paired with itself. Then all pairs within the radius are compared that lie in different groups still.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ SHARD, DEPTH, SAMPLE, BLOCK = 1024, 14, 65_536, 256
 #: How far inside a border a fingerprint visits the outer part too; the chance that one level still parts a
 #: pair at the radius (measured in the tests); the wanted chance that all trees part it.
 MARGIN, PARTED, MISS = 2, 0.19, 0.02
+#: Pairs of one text that are compared with one copy of its shingles.
+DEALT = 256
 
 
 def radius_of(similarity: float) -> int:
@@ -41,30 +47,43 @@ def radius_of(similarity: float) -> int:
     return int(BITS * apart + 1.3 * math.sqrt(BITS * apart * (1 - apart)))
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted digests of a text's distinct shingles."""
     words = text.lower().split()
     if not words:
-        return np.zeros(WORDS, dtype=np.uint64)
+        return np.zeros(0, dtype=np.uint64)
     joined, n = memoryview(b" ".join(words)), len(words)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=n) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(shingle, n)
-    total, digest, counts = n - k + 1, xxhash.xxh64_intdigest, np.zeros(BITS, dtype=np.int64)
-    first, last = starts[:total].tolist(), ends[k - 1 :].tolist()
-    for at in range(0, total, 16_384):
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(first[at : at + 16_384], last[at : at + 16_384], strict=True)], dtype=np.uint64)
+    digest, first, last = xxhash.xxh64_intdigest, starts[: n - k + 1].tolist(), ends[k - 1 :].tolist()
+    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(first, last, strict=True)), dtype=np.uint64, count=len(first)))
+
+
+def fingerprint(own: np.ndarray) -> np.ndarray:
+    """The SimHash of distinct shingles: each counts once, however often it stands in the text."""
+    counts = np.zeros(BITS, dtype=np.int64)
+    for at in range(0, len(own), 16_384):
+        h = own[at : at + 16_384]
         wide = np.stack([h, *[mix(h + np.uint64(i)) for i in range(1, WORDS)]], axis=1)
         bits = np.unpackbits(wide.view(np.uint8), axis=1)
         for part in range(0, len(bits), 255):  # sums of up to 255 bits fit a byte
             counts += bits[part : part + 255].sum(axis=0, dtype=np.uint8)
-    return np.packbits(2 * counts > total).view(np.uint64)
+    return np.packbits(2 * counts > len(own)).view(np.uint64)
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [t.as_py() or b"" for t in batch.column("text").cast(pa.binary())]
-        out = [fingerprint(t, shingle).tobytes() for t in texts]
-        yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("th"), pa.array(out, pa.binary()), pa.array([bool(t.strip()) for t in texts])], names=["did", "th", "fp", "words"])
+        sets = [shingles(t.as_py() or b"", shingle) for t in batch.column("text").cast(pa.binary())]
+        columns = [pa.array([fingerprint(x).tobytes() for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int32())]
+        whole = pa.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) - 2**63 for x in sets], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("th"), *columns, whole], names=["did", "th", "fp", "size", "whole"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [shingles(t.as_py() or b"", shingle).tobytes() for t in batch.column("text").cast(pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "own"])
 
 
 def away(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -112,50 +131,87 @@ def _visits(batches: Iterator[pa.RecordBatch], forest: list) -> Iterator[pa.Reco
         for tree, (points, radii) in enumerate(forest):
             at, shard = route(fps, points, radii, MARGIN)
             take = pa.array(at)
-            yield pa.RecordBatch.from_arrays([pa.array(shard + (tree << 32)), batch.column("node").take(take), batch.column("fp").take(take)], names=["shard", "node", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(shard + (tree << 32)), *[c.take(take) for c in batch.columns]], names=["shard", *batch.schema.names])
+
+
+def near(fps: np.ndarray, sizes: np.ndarray, i: slice | np.ndarray, j: slice | np.ndarray, radius: int, similarity: float) -> np.ndarray:
+    """Which of i and j may be similar: within the radius, and of sizes that allow that share."""
+    a, b = sizes[i][:, None], sizes[j][None]
+    return (away(fps[i][:, None], fps[j][None]) <= radius) & (np.minimum(a, b) / np.maximum(a, b) >= similarity)
 
 
-def stars(nodes: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(member, centre) links that join what is connected within the radius, never all pairs."""
+def stars(fps: np.ndarray, sizes: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(leader, member) places of a shard: leaders are not near each other, and each with others near it has a
+    link; every place with others near it stands in a link."""
     linked = np.zeros(len(fps), dtype=bool)
     for i in range(0, len(fps), BLOCK):
         for j in range(i, len(fps), 4 * BLOCK):
-            near = away(fps[i : i + BLOCK, None], fps[None, j : j + 4 * BLOCK]) <= radius
+            found = near(fps, sizes, slice(i, i + BLOCK), slice(j, j + 4 * BLOCK), radius, similarity)
             if j <= i < j + 4 * BLOCK:
                 own = np.arange(min(BLOCK, len(fps) - i))
-                near[own, own + i - j] = False
-            linked[i : i + BLOCK] |= near.any(axis=1)
-            linked[j : j + 4 * BLOCK] |= near.any(axis=0)
-    rest, members, centres = np.flatnonzero(linked), [], []
-    while len(rest):
-        centre, edge, rest = rest[0], rest[:1], rest[1:]
-        while len(edge) and len(rest):
-            near = np.zeros(len(rest), dtype=bool)
-            for i in range(0, len(edge), BLOCK):
-                left = np.flatnonzero(~near)
-                for j in range(0, len(left), 4 * BLOCK):
-                    take = left[j : j + 4 * BLOCK]
-                    near[take] = (away(fps[edge[i : i + BLOCK]][:, None], fps[rest[take]][None]) <= radius).any(axis=0)
-            edge, rest = rest[near], rest[~near]
-            members.append(edge)
-            centres.append(np.full(len(edge), centre))
-    if not members:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    return nodes[np.concatenate(members)], nodes[np.concatenate(centres)]
+                found[own, own + i - j] = False
+            linked[i : i + BLOCK] |= found.any(axis=1)
+            linked[j : j + 4 * BLOCK] |= found.any(axis=0)
+    rest, leaders, members = np.flatnonzero(linked), [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    claimed = np.zeros(len(fps), dtype=bool)
+    for leader in rest:
+        if not claimed[leader]:
+            own = rest[near(fps, sizes, np.array([leader]), rest, radius, similarity)[0]]
+            own = own[own != leader]
+            claimed[own] = True
+            leaders.append(np.full(len(own), leader))
+            members.append(own)
+    return np.concatenate(leaders), np.concatenate(members)
+
+
+def across(fps: np.ndarray, sizes: np.ndarray, roots: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of places near each other that have different roots."""
+    one, other = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for i in range(0, len(fps), BLOCK):
+        for j in range(i, len(fps), 4 * BLOCK):
+            found = near(fps, sizes, slice(i, i + BLOCK), slice(j, j + 4 * BLOCK), radius, similarity) & (roots[i : i + BLOCK, None] != roots[None, j : j + 4 * BLOCK])
+            a, b = np.nonzero(found)
+            one.append((a + i)[a + i < b + j])
+            other.append((b + j)[a + i < b + j])
+    return np.concatenate(one), np.concatenate(other)
+
+
+def _similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        held = np.zeros(len(batch), dtype=bool)
+        for n, (a, b) in enumerate(zip(batch.column("a"), batch.column("b"), strict=True)):
+            x, y = (np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in (a, b))
+            both = np.sort(np.concatenate((x, y)))
+            common = int((both[1:] == both[:-1]).sum())
+            held[n] = common / (len(both) - common) >= similarity
+        yield batch.select(["u", "v"]).filter(pa.array(held))
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the distinct pairs (u, v) whose sets (node, own) share enough. Pairs of a u that has many are dealt
+    over several copies of its set."""
+    parts = pairs.groupBy("u").agg(F.floor(F.count(F.lit(1)) / DEALT).alias("parts"))
+    dealt = pairs.join(parts, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.col("parts") + 1).alias("part"))
+    copies = parts.join(sets.withColumnRenamed("node", "u"), "u").select("u", F.explode(F.sequence(F.lit(0).cast("long"), "parts")).alias("part"), F.col("own").alias("a"))
+    both = dealt.join(sets.select(F.col("node").alias("v"), F.col("own").alias("b")), "v").join(copies, ["u", "part"])
+    return both.select("u", "v", "a", "b").mapInArrow(partial(_similar, similarity=similarity), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: did, th, component_id; did is the id (null: a value that sorts last), th a
-    digest of the text, component_id the smallest did of what is connected by similar texts.
+    digest of the text, component_id the smallest did of what is connected by similar texts: those whose sets
+    of shingles share at least the similarity.
 
     Texts without words (null ones too) are similar to each other only. Rows that repeat an id are taken
     by their texts.
     """
     radius = radius_of(similarity)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_LAST)).alias("did"), F.xxhash64(text_col).alias("th"), F.coalesce(text_col, F.lit("")).alias("text"))
-    fps = materialize(rows.mapInArrow(partial(_fingerprints, shingle=shingle), "did long, th long, fp binary, words boolean"), "wide-fingerprints")
-    classes = materialize(fps.groupBy("fp", "words").agg(F.min(F.struct("did", "th")).alias("low")), "wide-classes").select("fp", "words", F.col("low.did").alias("low"), F.xxhash64("fp", "words").alias("node"))
-    real = classes.filter("words").select("node", "fp")
+    fps = materialize(rows.mapInArrow(partial(_fingerprints, shingle=shingle), "did long, th long, fp binary, size int, whole long"), "wide-fingerprints")
+    # Texts of one set of shingles are one node.
+    key = ["fp", "size", "whole"]
+    classes = materialize(fps.groupBy(key).agg(F.min(F.struct("did", "th")).alias("low")).withColumn("node", F.xxhash64(*key)), "wide-classes")
+    real = classes.filter("size > 0").select("node", "fp", "size")
     n = real.count()
     depth = min(DEPTH, (n // SHARD).bit_length())
     share = min(1.0, SAMPLE / max(n, 1))
@@ -164,16 +220,34 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = SHI
     # depth and sample are bounded, and so are the trees.
     forest = [grow(sample, depth, seed) for seed in range(trees_for(depth))] if len(sample) else []
 
-    def link(shard: pa.Table) -> pa.Table:
-        own = np.frombuffer(b"".join(shard.column("fp").to_pylist()), dtype=np.uint64).reshape(-1, WORDS)
-        members, centres = stars(shard.column("node").to_numpy(), own, radius)
-        return pa.table({"u": pa.array(members, pa.int64()), "v": pa.array(centres, pa.int64())})
-
-    visits = real.mapInArrow(partial(_visits, forest=forest), "shard long, node long, fp binary")
-    roots = components(visits.groupBy("shard").applyInArrow(link, "u long, v long")).select("node", "root")
-    placed = classes.join(roots, "node", "left").select("fp", "words", "low", F.coalesce("root", "node").alias("root"))
-    lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    return fps.join(placed.join(lowest, "root").select("fp", "words", "component_id"), ["fp", "words"]).select("did", "th", "component_id")
+    def columns(shard: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Table]:
+        shard = shard.sort_by("node")
+        return np.frombuffer(b"".join(shard.column("fp").to_pylist()), dtype=np.uint64).reshape(-1, WORDS), shard.column("size").to_numpy(), shard.column("node").to_numpy(), shard
+
+    def led(shard: pa.Table) -> pa.Table:
+        own, sizes, nodes, _ = columns(shard)
+        leaders, members = stars(own, sizes, radius, similarity)
+        return pa.table({"u": pa.array(nodes[leaders], pa.int64()), "v": pa.array(nodes[members], pa.int64())})
+
+    def parted(shard: pa.Table) -> pa.Table:
+        own, sizes, nodes, whole = columns(shard)
+        one, other = across(own, sizes, whole.column("root").to_numpy(), radius, similarity)
+        return pa.table({"u": pa.array(nodes[one], pa.int64()), "v": pa.array(nodes[other], pa.int64())})
+
+    def visits(nodes: DataFrame, more: str = "") -> DataFrame:
+        return nodes.mapInArrow(partial(_visits, forest=forest), f"shard long, node long, fp binary, size int{more}").groupBy("shard")
+
+    first = materialize(visits(real).applyInArrow(led, "u long, v long").distinct(), "star-pairs")
+    near_some = materialize(first.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(classes, "node").select("node", "fp", "size", "low.did", "low.th"), "near-some")
+    sets = materialize(rows.join(near_some.select("did", "th", "node"), ["did", "th"]).select("node", "text").mapInArrow(partial(_sets, shingle=shingle), "node long, own binary").dropDuplicates(["node"]), "shingles")
+    links = materialize(similar(first, sets, similarity), "star-links")
+    groups = near_some.join(components(links), "node", "left").select("node", "fp", "size", F.coalesce("root", "node").alias("root"))
+    asked = first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    second = materialize(visits(groups, ", root long").applyInArrow(parted, "u long, v long").distinct().join(asked, ["u", "v"], "left_anti"), "parted-pairs")
+    roots = components(links.union(similar(second, sets, similarity))).select("node", "root")
+    placed = classes.join(roots, "node", "left").select(*key, "low", F.coalesce("root", "node").alias("root"))
+    lowest = placed.groupBy("root").agg(F.min("low.did").alias("component_id"))
+    return fps.join(placed.join(lowest, "root").select(*key, "component_id"), key).select("did", "th", "component_id")
 
 
 def near_dedup(docs: DataFrame, similarity: float = 0.8, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -125,6 +125,44 @@ def test_recall_of_the_forest(spark):
     assert all(got[i] == i for i in range(400, 1500))
 
 
+def test_links_are_checked(spark):
+    """Pairs of less than the similarity stay apart, also with one passage repeated; chains of similar texts hold."""
+    rng = random.Random(7)
+    words = vocabulary(rng)
+    draw = lambda n: [rng.choice(words) for _ in range(n)]
+    texts, below, chained = [], [], []
+    for i in range(300):
+        base = draw(150)
+        other = base[:]
+        for at in rng.sample(range(5, 145), 3 + i % 5):
+            other[at] = "edited" + str(at)
+        below.append((len(texts), len(texts) + 1))
+        texts += [" ".join(base), " ".join(other)]
+    passage = " ".join(draw(10) * 60)
+    for _ in range(3):
+        texts.append(" ".join(draw(300)) + " " + passage)
+    for _ in range(5):
+        base, at = draw(150), len(texts)
+        for step in range(6):
+            base = [*base[:-7], *draw(7)]
+            texts.append(" ".join([*draw(7), *base[:-7]] if step % 2 else base))
+        chained.append(range(at, at + 6))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r.did: r.component_id for r in near_forest.near_duplicates(docs).collect()}
+    sets = [shingles(t) for t in texts]
+    apart = [(i, j) for i, j in below if jaccard(sets[i], sets[j]) < 0.8]
+    assert len(apart) > 150 and all(got[i] != got[j] for i, j in apart)
+    assert all(got[i] == i for i in range(600, 603))
+    for group in chained:
+        root = {i: i for i in group}
+        for i in group:
+            for j in range(group[0], i):
+                if jaccard(sets[i], sets[j]) >= 0.8:
+                    a, b = sorted((root[i], root[j]))
+                    root = {k: a if r == b else r for k, r in root.items()}
+        assert {i: got[i] for i in group} == root
+
+
 def test_pairs_parted_by_a_level():
     rng = np.random.default_rng(0)
     fps = rng.integers(0, 2**64, (8000, near_forest.WORDS), dtype=np.uint64)
