@@ -35,16 +35,16 @@ BITS = 64 * WORDS
 SHARD, DEPTH, SAMPLE, BLOCK = 1024, 14, 65_536, 256
 #: How far inside a border a fingerprint visits the outer part too; the chance that one level still parts a
 #: pair at the radius (measured in the tests); the wanted chance that all trees part it.
-MARGIN, PARTED, MISS = 2, 0.19, 0.02
+MARGIN, PARTED, MISS = 6, 0.08, 0.02
 #: Pairs of one text that are compared with one copy of its shingles.
 DEALT = 256
 
 
 def radius_of(similarity: float) -> int:
     """Differing bits up to which texts count as similar: what is expected at that Jaccard similarity of
-    shingles (its cosine is 2J / (1 + J)), and 1.3 standard deviations for the noise of the bits."""
+    shingles (its cosine is 2J / (1 + J)), and 3 standard deviations for the noise of the bits."""
     apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(BITS * apart + 1.3 * math.sqrt(BITS * apart * (1 - apart)))
+    return int(BITS * apart + 3 * math.sqrt(BITS * apart * (1 - apart)))
 
 
 def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:

@@ -163,6 +163,46 @@ def test_links_are_checked(spark):
         assert {i: got[i] for i in group} == root
 
 
+def bands(spark, shared):
+    """(caught, pairs) in the bands 0.80 to 0.82 and 0.82 to 0.85, of planted pairs among other texts in many shards;
+    shared texts hold a passage that many others hold too."""
+    rng = random.Random(9)
+    words = vocabulary(rng)
+    draw = lambda n: [rng.choice(words) for _ in range(n)]
+    passages = [draw(30) for _ in range(4)]
+    texts, pairs = [" ".join(draw(150)) for _ in range(600)], []
+    while len(pairs) < 1000:
+        base = draw(rng.choice([60, 150, 300])) + (rng.choice(passages) if shared else [])
+        n, other = len(base), base[:]
+        cut = round((n - 4) * rng.uniform(0.08, 0.115))
+        # One run of new words replaces cut + 4 shingles at most; runs at the ends fewer.
+        other[-cut:] = ["new" + str(rng.randrange(10**6)) for _ in range(cut)]
+        rng.random() < 0.5 and (base.reverse(), other.reverse())
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [" ".join(base), " ".join(other)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    before, near_forest.SHARD = near_forest.SHARD, 32
+    try:
+        got = {r.did: r.component_id for r in near_forest.near_duplicates(docs).collect()}
+    finally:
+        near_forest.SHARD = before
+    found = {(0.8, 0.82): [], (0.82, 0.85): []}
+    for i, j in pairs:
+        share = jaccard(shingles(texts[i]), shingles(texts[j]))
+        assert share >= 0.8 or got[i] != got[j]
+        for low, high in found:
+            if low <= share < high:
+                found[low, high].append(got[i] == got[j])
+    return [(sum(x), len(x)) for x in found.values()]
+
+
+@pytest.mark.parametrize("shared", [False, True])
+def test_recall_at_the_threshold(spark, shared):
+    found = bands(spark, shared)
+    print(found)
+    assert all(n > 150 and caught / n > 0.98 for caught, n in found)
+
+
 def test_pairs_parted_by_a_level():
     rng = np.random.default_rng(0)
     fps = rng.integers(0, 2**64, (8000, near_forest.WORDS), dtype=np.uint64)
