@@ -3,7 +3,9 @@
 The mix is a row of slots of equally many words. Slot i has the golden-ratio point frac(i * phi), which
 the sources' cumulative shares map to a source; a slot's rank among its source's slots is the number of
 the block that it takes. Blocks are cut from the source's documents in a shuffled order (by digest of the
-id), laid end to end and repeated from the start where a source is taken more than once.
+id), laid end to end and repeated from the start where a source is taken more than once. A source's last
+block ends at its target, and blocks that the schedule left out follow its slots, so every source meets
+its target at any size of a slot.
 """
 
 from __future__ import annotations
@@ -76,6 +78,15 @@ def schedule(sources: DataFrame, slots: int) -> DataFrame:
     return ranked.select("slot", "source", (F.col("ahead") + F.col("own") - 1).alias("rank"))
 
 
+def met(plan: DataFrame, goals: DataFrame, words: int) -> DataFrame:
+    """(source, block) of the blocks taken: scheduled ranks up to each source's goal in words, and those up to it
+    that the schedule has not given."""
+    given = plan.groupBy("source").agg(F.count(F.lit(1)).alias("given"))
+    wanted = goals.filter("goal > 0").select("source", F.ceil(F.col("goal") / words).alias("wanted")).join(given, "source", "left").withColumn("given", F.coalesce("given", F.lit(0)))
+    scheduled = plan.join(wanted, "source").filter("rank < wanted").select("source", F.col("rank").alias("block"))
+    return scheduled.unionByName(wanted.filter("given < wanted").select("source", F.explode(F.sequence("given", F.col("wanted") - 1)).alias("block")))
+
+
 def placed(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     """sizes (size > 0) with begin, where each document starts in its source's shuffled order, in words,
     and the columns of sources. Running sums inside buckets of the order and sums of whole buckets make it
@@ -90,21 +101,22 @@ def placed(sizes: DataFrame, sources: DataFrame) -> DataFrame:
 def blocks(docs: DataFrame, words: int) -> DataFrame:
     """Each document of placed() cut at block borders, for each turn of its source (column turns).
 
-    block, part (words of the document in that block) and starts (whether the document starts in it) are
-    added.
+    block, part (words of the document in that block, up to the source's goal) and starts (whether the document
+    starts in it, before the goal) are added.
     """
     from_ = F.col("begin") + F.col("turn") * F.col("source_size")
     turns = docs.withColumn("turn", F.explode(F.sequence(F.lit(0), (F.col("turns") - 1).cast("int")))).withColumn("from", from_).withColumn("to", from_ + F.col("size"))
     cut = turns.withColumn("block", F.explode(F.sequence(F.floor(F.col("from") / words), F.floor((F.col("to") - 1) / words))))
-    part = F.least("to", (F.col("block") + 1) * words) - F.greatest("from", F.col("block") * words)
-    return cut.withColumn("part", part.cast("long")).withColumn("starts", F.col("block") == F.floor(F.col("from") / words)).drop("turn", "turns", "from", "to")
+    part = F.least("to", (F.col("block") + 1) * words, "goal") - F.greatest("from", F.col("block") * words)
+    return cut.withColumn("part", F.greatest(part.cast("long"), F.lit(0))).withColumn("starts", (F.col("block") == F.floor(F.col("from") / words)) & (F.col("from") < F.col("goal"))).drop("turn", "turns", "from", "to", "goal")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", slots: int = SLOTS) -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target, taken, copies.
 
     size is the number of words, 0 for null and empty texts, which take no part: taken 0, copies 1.
-    taken counts words that the mix takes, repeats included, at most REPEATS times size. copies is how
+    taken counts words that the mix takes, repeats included, at most REPEATS times size; a source's sum is its
+    target within one word. copies is how
     often the document stands in a mix of whole documents: the turns in which its first word is taken.
     Repeated rows and null ids keep their rows. Without any words targets and taken are 0. Further
     columns, whatever their names, are ignored.
@@ -114,12 +126,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     words = max(1, min(MOST_WORDS, total // slots))
     plan = materialize(schedule(sources, total // words), "schedule")
-    given = plan.groupBy("source").agg(F.count(F.lit(1)).alias("given"))
-    turns = F.ceil(F.coalesce("given", F.lit(0)) * F.lit(words) / F.col("source_size"))
     own = sources.select("source", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"))
-    used = own.filter("source_size > 0").join(given, "source", "left").withColumn("turns", F.greatest(F.lit(1), F.least(turns, F.lit(REPEATS)))).drop("given")
+    goals = own.filter("source_size > 0").withColumn("goal", F.when(F.col("target") > 0, F.greatest(F.lit(1), F.round("target"))).otherwise(0).cast("long"))
+    used = goals.withColumn("turns", F.greatest(F.lit(1), F.least(F.ceil(F.col("goal") / F.col("source_size")), F.lit(REPEATS))))
     cut = blocks(placed(sizes.filter("size > 0"), used), words)
-    taken = cut.join(plan.select("source", F.col("rank").alias("block"), F.lit(True).alias("hit")), ["source", "block"], "left")
+    taken = cut.join(met(plan, goals, words).withColumn("hit", F.lit(True)), ["source", "block"], "left")
     # (source, begin) tells rows apart, as sizes are positive; ids need not.
     sums = taken.groupBy("source", "begin", "doc_id", "size", "source_size", "target").agg(
         F.sum(F.when(F.col("hit"), F.col("part")).otherwise(0)).alias("taken"), F.sum((F.col("hit").isNotNull() & F.col("starts")).cast("long")).alias("copies")

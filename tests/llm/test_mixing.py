@@ -51,6 +51,20 @@ def test_targets_and_taken(spark):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+@pytest.mark.parametrize("slots", [1, 8, 64, 1024])
+def test_targets_met_by_wide_slots(spark, slots):
+    """Sources far smaller than a slot meet their targets, and whole small sources stay in the mix."""
+    docs, data = documents(spark)
+    got = mixing.mix(docs, slots=slots).collect()
+    taken, target = {}, {}
+    for r in got:
+        assert 0 <= r.taken <= 3 * r.size and 0 <= r.copies <= 3
+        taken[r.source], target[r.source] = taken.get(r.source, 0) + r.taken, r.target
+    assert len(got) == len(data) and all(abs(taken[s] - target[s]) <= 1 for s in target)
+    tiny = next(r for r in got if r.source == "tiny")
+    assert (tiny.target, tiny.taken, tiny.copies) == (6, 6, 3)
+
+
 def test_mixed_keeps_columns_and_repeats(spark):
     docs, _ = documents(spark)
     mixed = mixing.mixed(docs.withColumn("rank", docs.doc_id))
