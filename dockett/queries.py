@@ -132,18 +132,18 @@ def _docs(spark, sf_dir):
 
 @query(f"WITH {o.PAIRS}, {_READ_BACK} SELECT case_id, side, field, raw FROM read_back")
 def text_fields(spark, sf_dir):
-    return chunks.field_values(chunks.candidates(chunks.chunks(_docs(spark, sf_dir), fuzzy=False))).select("case_id", "side", "field", "raw")
+    return chunks.field_values(chunks.candidates(chunks.chunks(_docs(spark, sf_dir)))).select("case_id", "side", "field", "raw")
 
 
 @query(f"WITH {o.PAIRS}, {_READ_BACK} SELECT field, side, CAST(CASE WHEN {o.is_blank('raw')} THEN -80.0 ELSE 0.0 END + CASE WHEN {o.key('field', 'raw')} IS NOT NULL THEN 50.0 ELSE 0.0 END + CASE WHEN field = 'gross_weight_kg' AND side = 'BL' AND case_id % 3 = 1 THEN 15.0 ELSE 0.0 END AS DOUBLE) AS score, count(*) AS n FROM read_back GROUP BY ALL")
 def candidate_scores(spark, sf_dir):
-    return chunks.candidates(chunks.chunks(_docs(spark, sf_dir), fuzzy=False)).filter("rank = 1").groupBy("field", "side", "score").agg(F.count(F.lit(1)).alias("n"))
+    return chunks.candidates(chunks.chunks(_docs(spark, sf_dir))).filter("rank = 1").groupBy("field", "side", "score").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {o.PAIRS} SELECT case_id, 'BL' AS side, bl_consignee AS raw FROM pair WHERE v = 7")
 def wrap_repair(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    values = chunks.field_values(chunks.candidates(chunks.chunks(docs, fuzzy=False)))
+    values = chunks.field_values(chunks.candidates(chunks.chunks(docs)))
     fixed = chunks.repaired(chunks.paired(values, docs.select("case_id").distinct()), docs)
     sides = F.explode(F.array(*[F.struct(F.lit(s.upper()).alias("side"), F.col(f"{s}_raw").alias("raw"), F.col(f"{s}_wrapped").alias("wrapped")) for s in ("si", "bl")])).alias("s")
     return fixed.select("case_id", sides).filter("s.wrapped").select("case_id", "s.side", "s.raw")

@@ -65,3 +65,10 @@ def test_inbox(spark, tmp_path):
     got = {r.path.split("/")[-1]: r for r in inbox.attachments(spark, str(tmp_path), mails).collect()}
     assert {k: r.unreadable for k, r in got.items()} == {"a_SI.txt": None, "a_BL.txt": None, "gone.txt": "missing_file", "empty.txt": "empty_file", "scan.png": "unsupported"}
     assert got["a_SI.txt"].text == SI and got["a_BL.txt"].text == "caf�: 1" and inbox.emails(spark, str(tmp_path), 1).count() == 1
+
+
+def test_unseen_wordings_are_read(spark):
+    """The plan's reads take the third pass: a wording close to a known one keeps its field."""
+    text = SI.replace("Port of Discharge", "Final Destination Port").replace("Consignee:", "Consigneee Name:")
+    got = {r.field: r.raw for r in perturb.reads(docs(spark, [(1, "SI", text)])).filter("present").collect()}
+    assert got["port_of_discharge"] == "OSLO" and got["consignee"] == "A VERY LONG COMPANY NAME TRADING CO"
