@@ -266,8 +266,8 @@ _C = "((k / n + 3.8414588206941227 / (2 * n)) / (1 + 3.8414588206941227 / n))"
 
 
 @query(
-    f"""WITH {_REPORT}, by AS (SELECT domain, count(*) AS emails, count_if(category = 'BL_COMPARISON') AS comparisons, count_if(status = 'MISMATCH') AS defects, count_if(status = 'NEEDS_REVIEW') AS escalated FROM cases GROUP BY domain),
-        base AS (SELECT sum(defects) / sum(comparisons) AS b FROM by), r AS (SELECT *, CAST(defects AS DOUBLE) AS k, CAST(comparisons AS DOUBLE) AS n FROM by, base)
+    f"""WITH {_REPORT}, per AS (SELECT domain, count(*) AS emails, count_if(category = 'BL_COMPARISON') AS comparisons, count_if(status = 'MISMATCH') AS defects, count_if(status = 'NEEDS_REVIEW') AS escalated FROM cases GROUP BY domain),
+        overall AS (SELECT sum(defects) / sum(comparisons) AS b FROM per), r AS (SELECT *, CAST(defects AS DOUBLE) AS k, CAST(comparisons AS DOUBLE) AS n FROM per, overall)
         SELECT domain, emails, comparisons, defects, escalated, k / n AS rate, greatest(0, {_C} - {_W}) AS ci_low, least(1, {_C} + {_W}) AS ci_high, {_C} - {_W} > b AS above_baseline, {_C} - {_W} > b OR {_C} + {_W} < b AS conclusive FROM r"""
 )
 def patterns_senders_wilson(spark, sf_dir):
@@ -304,7 +304,7 @@ def manual_estimate(spark, sf_dir):
     return reports.manual_estimate(_cases(spark, sf_dir))
 
 
-@query("SELECT volume, volume * 2.5 / 1000 AS seconds, round_even(volume * 2 * 0.0013, 2) AS dollars FROM (VALUES (1000), (5000), (10000), (50000)) t(volume)")
+@query("SELECT volume, CAST(volume * 2.5 / 1000 AS DOUBLE) AS seconds, CAST(round_even(volume * 2 * 0.0013, 2) AS DOUBLE) AS dollars FROM (VALUES (1000), (5000), (10000), (50000)) t(volume)")
 def volume_projection(spark, sf_dir):
     return reports.volume_projection(spark.range(1).select(F.lit(2.5).alias("ms"), F.lit(2).alias("docs")), [1000, 5000, 10_000, 50_000])
 
@@ -353,7 +353,7 @@ def review_derived(spark, sf_dir):
     return review.derive(values, decisions, corrections, values.filter("v = 17").select("case_id"))
 
 
-@query("WITH e AS (SELECT user_id AS case_id, ts AS at, event_id FROM events) SELECT case_id, event_id, CAST(row_number() OVER w AS INTEGER) AS version, lead(at) OVER w IS NULL AS is_latest FROM e WINDOW w AS (PARTITION BY case_id ORDER BY at, event_id)")
+@query("WITH e AS (SELECT user_id AS case_id, ts AS moment, event_id FROM events) SELECT case_id, event_id, CAST(row_number() OVER w AS INTEGER) AS version, lead(moment) OVER w IS NULL AS is_latest FROM e WINDOW w AS (PARTITION BY case_id ORDER BY moment, event_id)")
 def case_versions_latest(spark, sf_dir):
     events = derive.read(spark, sf_dir, "events").select(F.col("user_id").alias("case_id"), F.struct("ts", "event_id").alias("at"), "event_id")
     return review.versions(events).select("case_id", "event_id", "version", "is_latest")

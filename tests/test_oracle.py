@@ -2,6 +2,7 @@
 
 import os
 from collections import Counter
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -20,7 +21,8 @@ def db():
 
 
 def shown(x):
-    return f"{x:.9g}" if isinstance(x, float) else str(x)
+    """Floats and decimals by value, whatever their type."""
+    return f"{float(x):.9g}" if isinstance(x, (float, Decimal)) else str(x)
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
