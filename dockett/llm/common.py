@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import contextlib
+import itertools
 import tempfile
 import uuid
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,10 +31,13 @@ def public_tokenizer(name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
-    there = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets
+    a temporary one; on a cluster no folder of one machine will do, so that is an error."""
+    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not there:
-        there = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="dockett-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        there = tempfile.mkdtemp(prefix="dockett-")
         spark.conf.set("spark.checkpoint.dir", there)
     return there.rstrip("/")
 
@@ -60,7 +65,64 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(spark, name)
     with _shuffles_dropped(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _MADE.append(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.scratch_path = path
+    return written
+
+
+_MADE: list[str] = []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop(table: DataFrame) -> None:
+    """Deletes a table that materialize wrote, once nothing reads it any more."""
+    delete(table.sparkSession, table.scratch_path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables that materialize writes inside are deleted at the end, but those that the block puts into the given list."""
+    before, kept = len(_MADE), []
+    yield kept
+    gone = _MADE[before:]
+    del _MADE[before:]
+    for path in gone:
+        if path in {t.scratch_path for t in kept}:
+            _MADE.append(path)
+        else:
+            delete(spark, path)
+
+
+#: A key that holds more than a HEAVY-th of all rows (there are fewer than HEAVY such keys) and more than
+#: PART_ROWS rows is dealt over several parts.
+HEAVY, PART_ROWS = 65_536, 512
+
+
+def dealt_join(rows: DataFrame, one: DataFrame, key: list[str]) -> DataFrame:
+    """rows joined with one, which has one row a key. Rows of a heavy key are dealt over parts, each of which gets
+    a copy of the key's row, so no task takes them all. The list of heavy keys has fewer than HEAVY rows, so it
+    may be broadcast. rows should be a written table, as it is read up to three times."""
+    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
+    total, top = counts.agg(F.sum("__n"), F.max("__n")).first()
+    most = max(PART_ROWS, -(-(total or 0) // HEAVY))
+    if (top or 0) <= most:
+        return rows.join(one, key)
+    heavy = F.broadcast(counts.filter(F.col("__n") > most).select(*key, F.ceil(F.col("__n") / most).alias("__parts")))
+    parts = F.coalesce("__parts", F.lit(1).cast("long"))
+    left = rows.withColumn("__at", F.monotonically_increasing_id()).join(heavy, key, "left").withColumn("__part", F.pmod("__at", parts)).drop("__at", "__parts")
+    right = one.join(heavy, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("__parts")
+    return left.join(right, [*key, "__part"]).drop("__part")
+
+
+def by_others(names: list[str], but: list[str]) -> Column:
+    """A digest of the columns but some, to choose one of rows that differ in these alone the same way each time."""
+    rest = [F.col(f"`{c}`") for c in names if c not in but]
+    return F.xxhash64(F.to_json(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(rest)]))) if rest else F.lit(0).cast("long")
 
 
 def squeezed(text: Column) -> Column:
@@ -85,9 +147,6 @@ def chunks(sizes: list[int], most: int):
         yield at, len(sizes)
 
 
-_WS = np.zeros(256, dtype=bool)
-_WS[[0x20, *range(0x09, 0x0E)]] = True
-WORD_P = np.uint64(0x9E3779B97F4A7C15)
 SEQ_P = np.uint64(0xD6E8FEB86659FD93)
 SEQ_Q = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -115,18 +174,33 @@ def powers(p: np.uint64, n: int, inverse: bool = False) -> np.ndarray:
     return have[:n]
 
 
-def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word of the texts, in order, and for each text the place of its first word (and the end)."""
-    data = np.frombuffer(b"\n".join(texts), dtype=np.uint8)
-    inside = ~_WS[data]
-    steps = np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0))
-    starts, ends = np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(WORD_P, len(data)), out=sums[1:])
-    words = (sums[ends] - sums[starts]) * powers(WORD_P, len(data) + 1, inverse=True)[starts]
-    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
-    firsts = np.searchsorted(starts, np.concatenate(([0], np.cumsum(lengths))))
-    return mix(words + (ends - starts).astype(np.uint64)), firsts
+class _Hashes(dict):
+    """64-bit hashes of words under a seed, kept for words that come again, as far as WORDS_KEPT goes."""
+
+    def __init__(self, seed: int) -> None:
+        super().__init__()
+        self.seed = seed
+
+    def __missing__(self, word: bytes) -> int:
+        value = xxhash.xxh3_64_intdigest(word, self.seed)
+        if len(word) <= 64:
+            if len(self) >= WORDS_KEPT:
+                self.clear()
+            self[word] = value
+        return value
+
+
+WORDS_KEPT = 400_000
+_HASHES = {seed: _Hashes(seed) for seed in (1, 2)}
+
+
+def hashed_words(texts: list[bytes], seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of the texts, in order, and for each text the place of its first word (and the
+    end). Hashes of different seeds are independent."""
+    words = [t.split() for t in texts]  # of bytes: at ASCII white space only
+    firsts = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)))
+    found = np.fromiter(map(_HASHES[seed].__getitem__, itertools.chain.from_iterable(words)), dtype=np.uint64, count=int(firsts[-1]) if len(firsts) else 0)
+    return found, np.concatenate(([0], firsts))
 
 
 def windows(words: np.ndarray, n: int, p: np.uint64) -> np.ndarray:

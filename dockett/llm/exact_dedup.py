@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_LAST, materialize, squeezed
+from .common import NULL_LAST, by_others, materialize, squeezed
 
 PREFIX_CHARS = 64
 _RUNS = "doc_id long, text_sha256 string, run_part int, run_no long, run_place long"
@@ -68,11 +68,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that exact_groups drops, all columns as they were.
 
-    A kept row is found again by its id and the SHA-256 of its text; of whole rows that repeat one stays.
+    A kept row is found again by its id and the SHA-256 of its text; of rows that repeat both one stays, by a
+    digest of their other columns. Null texts count as empty; columns of any name are kept.
     """
     names = docs.columns
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_LAST))
     kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.coalesce("doc_id", F.lit(NULL_LAST)).alias("__key"), F.col("text_sha256").alias("__digest"))
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), key.alias("__key"), F.sha2(squeezed(F.col(text_col)), 256).alias("__digest"))
-    once = keyed.join(kept, ["__key", "__digest"], "left_semi").groupBy("__key", "__digest").agg(F.first("__row").alias("__row"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), key.alias("__key"), F.sha2(squeezed(F.col(text_col)), 256).alias("__digest"), by_others(names, [id_col]).alias("__by"))
+    once = keyed.join(kept, ["__key", "__digest"], "left_semi").groupBy("__key", "__digest").agg(F.min_by("__row", "__by").alias("__row"))
     return once.select([F.col(f"__row.`{c}`").alias(c) for c in names])

@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,19 +26,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_LAST, materialize, mix
+from .common import NULL_LAST, by_others, dealt_join, materialize, mix
 from .simhash import SEED, components
 
 WORDS, SHINGLE = 4, 5
 BITS = 64 * WORDS
-#: Own fingerprints in a shard, the deepest trees, the sample they are grown on, and fingerprints compared
-#: at once.
+#: Own fingerprints in a shard, the deepest trees that are sent to all tasks, the sample they are grown on (2 MB),
+#: and fingerprints compared at once. More levels are grown inside the shards that need them.
 SHARD, DEPTH, SAMPLE, BLOCK = 1024, 14, 65_536, 256
 #: How far inside a border a fingerprint visits the outer part too; the chance that one level still parts a
 #: pair at the radius (measured in the tests); the wanted chance that all trees part it.
 MARGIN, PARTED, MISS = 6, 0.08, 0.02
-#: Pairs of one text that are compared with one copy of its shingles.
-DEALT = 256
+#: A text's own row: its id and the digest of the text; of equal sets of shingles the smallest stands for all.
+NODE = "struct<did: long, th: long>"
 
 
 def radius_of(similarity: float) -> int:
@@ -188,75 +189,127 @@ def _similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of the distinct pairs (u, v) whose sets (node, own) share enough. Pairs of a u that has many are dealt
+    """Those of the distinct pairs (u, v) whose sets (node, own) share enough. Pairs of a text that has many are dealt
     over several copies of its set."""
-    parts = pairs.groupBy("u").agg(F.floor(F.count(F.lit(1)) / DEALT).alias("parts"))
-    dealt = pairs.join(parts, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.col("parts") + 1).alias("part"))
-    copies = parts.join(sets.withColumnRenamed("node", "u"), "u").select("u", F.explode(F.sequence(F.lit(0).cast("long"), "parts")).alias("part"), F.col("own").alias("a"))
-    both = dealt.join(sets.select(F.col("node").alias("v"), F.col("own").alias("b")), "v").join(copies, ["u", "part"])
-    return both.select("u", "v", "a", "b").mapInArrow(partial(_similar, similarity=similarity), "u long, v long")
+    own = lambda side, name: sets.select(F.col("node").alias(side), F.col("own").alias(name))
+    both = dealt_join(dealt_join(pairs, own("u", "a"), ["u"]), own("v", "b"), ["v"])
+    return both.select("u", "v", "a", "b").mapInArrow(partial(_similar, similarity=similarity), f"u {NODE}, v {NODE}")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: did, th, component_id; did is the id (null: a value that sorts last), th a
-    digest of the text, component_id the smallest did of what is connected by similar texts: those whose sets
-    of shingles share at least the similarity.
+def divided(fps: np.ndarray, levels: int, seed: int) -> Iterator[np.ndarray]:
+    """Places of the parts of a shard that a tree of so many levels, grown on the shard itself, makes."""
+    if not levels or len(fps) <= SHARD:
+        yield np.arange(len(fps))
+        return
+    rng = np.random.default_rng(seed)
+    points, radii = grow(fps[rng.choice(len(fps), size=min(len(fps), SAMPLE), replace=False)], min(levels, DEPTH), seed)
+    at, part = route(fps, points, radii, MARGIN)
+    order = np.argsort(part, kind="stable")
+    yield from np.split(at[order], np.flatnonzero(np.diff(part[order])) + 1)
 
-    Texts without words (null ones too) are similar to each other only. Rows that repeat an id are taken
-    by their texts.
-    """
+
+class Found(NamedTuple):
+    """What near_pairs comes to: rows (did, th, fp, size, whole), classes (the same key, low) and links (u, v) of lows."""
+
+    rows: DataFrame
+    classes: DataFrame
+    links: DataFrame
+
+
+def near_pairs(docs: DataFrame, similarity: float, shingle: int, id_col: str, text_col: str) -> Found:
     radius = radius_of(similarity)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_LAST)).alias("did"), F.xxhash64(text_col).alias("th"), F.coalesce(text_col, F.lit("")).alias("text"))
     fps = materialize(rows.mapInArrow(partial(_fingerprints, shingle=shingle), "did long, th long, fp binary, size int, whole long"), "wide-fingerprints")
     # Texts of one set of shingles are one node.
-    key = ["fp", "size", "whole"]
-    classes = materialize(fps.groupBy(key).agg(F.min(F.struct("did", "th")).alias("low")).withColumn("node", F.xxhash64(*key)), "wide-classes")
-    real = classes.filter("size > 0").select("node", "fp", "size")
+    classes = materialize(fps.groupBy(*KEY).agg(F.min(F.struct("did", "th")).alias("low")), "wide-classes")
+    real = classes.filter("size > 0").select(F.col("low").alias("node"), "fp", "size")
     n = real.count()
-    depth = min(DEPTH, (n // SHARD).bit_length())
+    levels = (n // SHARD).bit_length()
+    depth = min(DEPTH, levels)
     share = min(1.0, SAMPLE / max(n, 1))
-    pick = real.filter(F.xxhash64("node", F.lit(1)) <= F.lit(int(share * (2**64 - 1)) - 2**63)) if share < 1 else real
-    sample = np.frombuffer(b"".join(sorted(bytes(r.fp) for r in pick.select("fp").limit(2 * SAMPLE).collect())), dtype=np.uint64).reshape(-1, WORDS)
+    digest = F.xxhash64("fp", F.lit(1))
+    pick = real.filter(digest <= F.lit(int(share * (2**64 - 1)) - 2**63)) if share < 1 else real
+    drawn = pick.select("fp").orderBy(digest, "fp").limit(2 * SAMPLE).collect()
+    sample = np.frombuffer(b"".join(sorted(bytes(r.fp) for r in drawn)), dtype=np.uint64).reshape(-1, WORDS)
     # depth and sample are bounded, and so are the trees.
-    forest = [grow(sample, depth, seed) for seed in range(trees_for(depth))] if len(sample) else []
+    forest = [grow(sample, depth, seed) for seed in range(trees_for(levels))] if len(sample) else []
 
-    def columns(shard: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Table]:
-        shard = shard.sort_by("node")
-        return np.frombuffer(b"".join(shard.column("fp").to_pylist()), dtype=np.uint64).reshape(-1, WORDS), shard.column("size").to_numpy(), shard.column("node").to_numpy(), shard
+    def columns(shard: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Table]:
+        node = shard.column("node").combine_chunks()
+        order = pa.array(np.lexsort((node.field("th").to_numpy(), node.field("did").to_numpy())))
+        shard = shard.take(order).combine_chunks()
+        return np.frombuffer(b"".join(shard.column("fp").to_pylist()), dtype=np.uint64).reshape(-1, WORDS), shard.column("size").to_numpy(), shard.column("node").combine_chunks(), shard
+
+    def table(nodes: pa.Array, one: list, other: list) -> pa.Table:
+        u, v = (nodes.take(pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *x]))) for x in (one, other))
+        return pa.table([u, v], names=["u", "v"])
 
     def led(shard: pa.Table) -> pa.Table:
         own, sizes, nodes, _ = columns(shard)
-        leaders, members = stars(own, sizes, radius, similarity)
-        return pa.table({"u": pa.array(nodes[leaders], pa.int64()), "v": pa.array(nodes[members], pa.int64())})
+        one, other = [], []
+        for at in divided(own, levels - depth, shard.column("shard")[0].as_py()):
+            leaders, members = stars(own[at], sizes[at], radius, similarity)
+            one.append(at[leaders])
+            other.append(at[members])
+        return table(nodes, one, other)
 
     def parted(shard: pa.Table) -> pa.Table:
         own, sizes, nodes, whole = columns(shard)
-        one, other = across(own, sizes, whole.column("root").to_numpy(), radius, similarity)
-        return pa.table({"u": pa.array(nodes[one], pa.int64()), "v": pa.array(nodes[other], pa.int64())})
+        root = whole.column("root").combine_chunks()
+        roots = np.unique(np.rec.fromarrays([root.field(f).to_numpy() for f in ("did", "th")]), return_inverse=True)[1].reshape(-1)
+        one, other = [], []
+        for at in divided(own, levels - depth, shard.column("shard")[0].as_py()):
+            a, b = across(own[at], sizes[at], roots[at], radius, similarity)
+            one.append(at[a])
+            other.append(at[b])
+        return table(nodes, one, other)
 
     def visits(nodes: DataFrame, more: str = "") -> DataFrame:
-        return nodes.mapInArrow(partial(_visits, forest=forest), f"shard long, node long, fp binary, size int{more}").groupBy("shard")
-
-    first = materialize(visits(real).applyInArrow(led, "u long, v long").distinct(), "star-pairs")
-    near_some = materialize(first.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(classes, "node").select("node", "fp", "size", "low.did", "low.th"), "near-some")
-    sets = materialize(rows.join(near_some.select("did", "th", "node"), ["did", "th"]).select("node", "text").mapInArrow(partial(_sets, shingle=shingle), "node long, own binary").dropDuplicates(["node"]), "shingles")
+        return nodes.mapInArrow(partial(_visits, forest=forest), f"shard long, node {NODE}, fp binary, size int{more}").groupBy("shard")
+
+    pair = f"u {NODE}, v {NODE}"
+    first = materialize(visits(real).applyInArrow(led, pair).distinct(), "star-pairs")
+    near_some = materialize(first.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(real, "node"), "near-some")
+    # A row stands once, however often it repeats.
+    texts = rows.join(near_some.select("node.did", "node.th", "node"), ["did", "th"]).select("node", "text").dropDuplicates(["node"])
+    sets = materialize(texts.mapInArrow(partial(_sets, shingle=shingle), f"node {NODE}, own binary"), "shingles")
     links = materialize(similar(first, sets, similarity), "star-links")
     groups = near_some.join(components(links), "node", "left").select("node", "fp", "size", F.coalesce("root", "node").alias("root"))
     asked = first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    second = materialize(visits(groups, ", root long").applyInArrow(parted, "u long, v long").distinct().join(asked, ["u", "v"], "left_anti"), "parted-pairs")
-    roots = components(links.union(similar(second, sets, similarity))).select("node", "root")
-    placed = classes.join(roots, "node", "left").select(*key, "low", F.coalesce("root", "node").alias("root"))
-    lowest = placed.groupBy("root").agg(F.min("low.did").alias("component_id"))
-    return fps.join(placed.join(lowest, "root").select(*key, "component_id"), key).select("did", "th", "component_id")
+    second = materialize(visits(groups, f", root {NODE}").applyInArrow(parted, pair).distinct().join(asked, ["u", "v"], "left_anti"), "parted-pairs")
+    return Found(fps, classes, materialize(links.union(similar(second, sets, similarity)), "near-links"))
+
+
+KEY = ["fp", "size", "whole"]
+
+
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: did, th, component_id; did is the id (null: a value that sorts last), th a
+    digest of the text, component_id the smallest did of what is connected by similar texts: those whose sets
+    of shingles share at least the similarity.
+
+    Texts without words (null ones too) are similar to each other only; texts of any length are taken whole.
+    Rows that repeat an id are taken by their texts. Ties do not arise: components do not depend on an order.
+    An empty table gives no rows; further columns, whatever their names, are ignored.
+    """
+    found = near_pairs(docs, similarity, shingle, id_col, text_col)
+    roots = components(found.links)
+    placed = found.classes.join(roots, F.col("low") == F.col("node"), "left").select(*KEY, F.coalesce("root", "low").alias("root"))
+    return dealt_join(found.rows, placed, KEY).select("did", "th", F.col("root.did").alias("component_id"))
 
 
 def near_dedup(docs: DataFrame, similarity: float = 0.8, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of near duplicates, that of the smallest id; all columns as they were.
+    """docs with one row of each group of near duplicates; all columns as they were.
 
-    Of rows that repeat that id one stays.
+    The row of the smallest id stays (null ids come last, equal ids by a digest of the text), so unrelated
+    rows that repeat an id or have none all stay. Of rows that repeat both id and text one stays, by a digest
+    of their other columns. Texts without words, null ones too, form one group. Columns of any name are kept.
     """
     names = docs.columns
-    kept = near_duplicates(docs, similarity, shingle, id_col, text_col).filter("did = component_id").groupBy("did").agg(F.min("th").alias("th"))
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_LAST)).alias("did"), F.xxhash64(text_col).alias("th"))
-    once = keyed.join(kept, ["did", "th"], "left_semi").groupBy("did", "th").agg(F.first("__row").alias("__row"))
+    found = near_pairs(docs, similarity, shingle, id_col, text_col)
+    # Every class stays by its smallest row unless a component's root is another one.
+    others = components(found.links).filter("node <> root").select(F.col("node").alias("low"))
+    kept = found.classes.join(others, "low", "left_anti").select("low.did", "low.th")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_LAST)).alias("did"), F.xxhash64(text_col).alias("th"), by_others(names, [id_col, text_col]).alias("by"))
+    once = keyed.join(kept, ["did", "th"], "left_semi").groupBy("did", "th").agg(F.min_by("__row", "by").alias("__row"))
     return once.select([F.col(f"__row.`{c}`").alias(c) for c in names])

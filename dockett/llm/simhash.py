@@ -19,11 +19,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import NULL_LAST, dealt_join, drop, materialize
 
-#: Own fingerprints in a shard, the deepest tree, and the sample it is grown on. Beyond 2**12 shards of
+#: Own fingerprints in a shard, the deepest tree, and the sample it is grown on (2 MB). Beyond 2**16 shards of
 #: this size a shard grows with the input and is divided further inside its task.
-SHARD, DEPTH, SAMPLE = 1024, 12, 65_536
+SHARD, DEPTH, SAMPLE = 1024, 16, 1 << 18
 #: Fingerprints compared block by block; above this, a shard is divided by local vantage points.
 BLOCK, LOCAL = 512, 16_384
 SEED = 42
@@ -139,45 +139,56 @@ def stars(fps: np.ndarray, radius: int, level: int = 0) -> Iterator[tuple[np.nda
         yield np.concatenate(members), centre
 
 
+#: A class of equal fingerprints by its smallest id (none: no row has one) and the fingerprint itself.
+NODE = "struct<none: int, id: long, fp: long>"
+
+
 def _visits(batches: Iterator[pa.RecordBatch], points: np.ndarray, radii: np.ndarray, radius: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        fps = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-        at, shard = route(fps, points, radii, radius)
-        yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(fps[at].view(np.int64))], names=["shard", "fp"])
+        node = pa.StructArray.from_arrays(batch.columns, names=["none", "id", "fp"])
+        at, shard = route(batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64), points, radii, radius)
+        yield pa.RecordBatch.from_arrays([pa.array(shard), node.take(pa.array(at))], names=["shard", "node"])
 
 
 def _shard_stars(shard: pa.Table, radius: int) -> pa.Table:
-    fps = shard.column("fp").to_numpy().view(np.uint64)
+    nodes = shard.column("node").combine_chunks()
+    fps = nodes.field("fp").to_numpy().view(np.uint64)
+    order = np.argsort(fps)
     found = [(m, np.full(len(m), c)) for m, c in stars(fps, radius)]
     members, centres = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, dtype=np.uint64) for i in (0, 1))
     apart = members != centres
-    return pa.table({"u": members[apart].view(np.int64), "v": centres[apart].view(np.int64)})
+    sides = [nodes.take(pa.array(order[np.searchsorted(fps[order], x[apart])])) for x in (members, centres)]
+    return pa.table(sides, names=["u", "v"])
 
 
 def near_links(distinct: DataFrame, radius: int) -> DataFrame:
-    """Links (u, v) between distinct fingerprints (column fp) that join all within radius of each other."""
+    """Links (u, v) between nodes (columns none, id, fp of distinct fingerprints) that join all within radius of each other."""
     n = distinct.count()
     depth = min(DEPTH, max(0, n // SHARD).bit_length())
     # A uniform sample: fingerprints with the smallest digests.
     share = min(1.0, SAMPLE / max(n, 1))
     pick = distinct.filter(F.xxhash64("fp", F.lit(1)) <= F.lit(int(share * (2**64 - 1)) - 2**63)) if share < 1 else distinct
-    sample = np.sort(np.array([r.fp for r in pick.limit(2 * SAMPLE).collect()], dtype=np.int64)).view(np.uint64)
+    # Sorted before the bound is put on it, so that every run takes the same.
+    sample = np.array([r.fp for r in pick.select("fp").orderBy(F.xxhash64("fp", F.lit(1)), "fp").limit(2 * SAMPLE).collect()], dtype=np.int64)
+    sample = np.sort(sample.view(np.uint64))
     points, radii = grow(sample, depth, radius) if len(sample) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    visits = distinct.mapInArrow(partial(_visits, points=points, radii=radii, radius=radius), "shard long, fp long")
+    visits = distinct.select("none", "id", "fp").mapInArrow(partial(_visits, points=points, radii=radii, radius=radius), f"shard long, node {NODE}")
 
     def linked(shard: pa.Table) -> pa.Table:
         return _shard_stars(shard, radius)
 
-    return visits.groupBy("shard").applyInArrow(linked, "u long, v long")
+    return visits.groupBy("shard").applyInArrow(linked, f"u {NODE}, v {NODE}")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root): for every node of undirected links (u, v) the smallest node reachable.
+    """(node, root): for every node of undirected links (u, v) the smallest node reachable. Nodes are of any type
+    that sorts.
 
-    Large-star and small-star steps alternate, each a group and a join, until the links stay as they are.
+    Large-star and small-star steps alternate, each a group and a join, until the links stay as they are. A
+    node of very many links is dealt over several tasks; links that a step has replaced are deleted.
     """
-
     edges = materialize(links.select(F.least("u", "v").alias("low"), F.greatest("u", "v").alias("high")).filter("low <> high").distinct(), "links")
+
     def seen(links: DataFrame):
         return links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("low", "high").cast("decimal(20,0)"))).first()
 
@@ -185,10 +196,12 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.select("low", "high").union(edges.select(F.col("high").alias("low"), F.col("low").alias("high"))).toDF("node", "other")
         least = both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("m"))
-        large = both.join(least, "node").filter("other > node").select(F.col("other").alias("high"), F.col("m").alias("low")).distinct()
-        low = large.groupBy("high").agg(F.min("low").alias("m"))
-        small = large.join(low, "high").select(F.explode(F.array(F.struct(F.col("low").alias("high"), F.col("m").alias("low")), F.struct("high", F.col("m").alias("low")))).alias("e")).select("e.low", "e.high")
-        edges = materialize(small.filter("low <> high").distinct(), "links")
+        large = materialize(dealt_join(both, least, ["node"]).filter("other > node").select(F.col("other").alias("high"), F.col("m").alias("low")).distinct(), "large-star")
+        lows = large.groupBy("high").agg(F.min("low").alias("m"))
+        small = dealt_join(large, lows, ["high"]).select(F.explode(F.array(F.struct(F.col("low").alias("high"), F.col("m").alias("low")), F.struct("high", F.col("m").alias("low")))).alias("e")).select("e.low", "e.high")
+        before, edges = edges, materialize(small.filter("low <> high").distinct(), "links")
+        drop(before)
+        drop(large)
         now = seen(edges)
         if now == state:
             return edges.select(F.col("high").alias("node"), F.col("low").alias("root"))
@@ -208,8 +221,10 @@ def near_groups(docs: DataFrame, radius: int = 2, shingle: int = 3, id_col: str
 
 def grouped(fps: DataFrame, radius: int) -> DataFrame:
     """near_groups for ready (doc_id, fp) rows."""
-    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("low_id")), "fingerprint-classes")
-    roots = components(near_links(classes.select("fp"), radius)).select(F.col("node").alias("fp"), "root")
-    placed = classes.join(roots, "fp", "left").select("fp", "low_id", F.coalesce("root", "fp").alias("root"))
-    lowest = placed.groupBy("root").agg(F.min("low_id").alias("component_id"))
-    return fps.join(placed.join(lowest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    # A class is known by its smallest id, so the smallest node of a component brings the component's id along.
+    low = F.min("doc_id")
+    classes = materialize(fps.groupBy("fp").agg(low.isNull().cast("int").alias("none"), F.coalesce(low, F.lit(NULL_LAST)).alias("id")), "fingerprint-classes")
+    roots = components(near_links(classes, radius)).select(F.col("node.fp").alias("fp"), "root")
+    first = F.coalesce("root", F.struct("none", "id", "fp"))
+    placed = classes.join(roots, "fp", "left").select("fp", first.alias("first")).select("fp", F.when(F.col("first.none") == 0, F.col("first.id")).alias("component_id"))
+    return dealt_join(fps, placed, ["fp"]).select("doc_id", "fp", "component_id")
