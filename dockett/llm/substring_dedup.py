@@ -1,11 +1,14 @@
 """Removal of repeated word windows by level-wise doubling.
 
-Windows repeated at one length alone are candidates for twice that length, up to the wanted one. Below
-the wanted length a level need not look at every window: of the short windows inside one of the wanted
-length, the one with the smallest hash speaks for it (winnowing), and equal long windows have equal
-speakers. At each level the hashes are dealt out by sampled splitters over (hash, document, place),
+Windows repeated at one length alone are candidates for twice that length, up to the wanted one or until no
+candidates survive. Below the wanted length a level need not look at every window: of the short windows inside
+one of the wanted length, the one with the smallest hash speaks for it (winnowing), and equal long windows have
+equal speakers. At each level the hashes are dealt out by sampled splitters over (hash, document, place),
 sorted, and compared with their neighbours, so that a passage which a third of all documents share is
 cut over several ranges instead of filling one.
+
+At the wanted length windows are told apart by 96 bits of two hashes that rest on independent hashes of each
+word; below it a hash that is equal by chance costs work but changes nothing.
 """
 
 from __future__ import annotations
@@ -21,14 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import NULL_LAST, SEQ_P, SEQ_Q, chunks, hashed_words, materialize, windows
+from .common import NULL_LAST, SEQ_P, SEQ_Q, chunks, drop, hashed_words, materialize, windows
 
-WINDOW, START = 20, 10
+WINDOW, START = 20, 5
 #: Bytes of text that are hashed at once.
 AT_ONCE = 1 << 20
-_LEVEL = "h long, did long, pos int"
-_FULL = "h long, g int, did long, th int, pos int"
-_DROPS = "did long, th int, pos int, edge int, part int, h long, g int"
+#: rid, a digest of id and text, stands for a row, so rows without an id or of one id do not meet.
+_LEVEL = "h long, rid long, pos int"
+_FULL = "h long, g int, did long, rid long, pos int"
+_DROPS = "rid long, pos int, edge int, part int, h long, g int"
 
 
 def speakers(hashes: np.ndarray, span: int) -> np.ndarray:
@@ -56,11 +60,11 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes]]]:
 def _level_rows(batches: Iterator[pa.RecordBatch], window: int, length: int, before: int | None) -> Iterator[pa.RecordBatch]:
     """One row per speaker of a candidate window; at the full length one row per candidate window."""
     for batch in batches:
-        dids = batch.column("did").to_numpy()
-        ths = batch.column("th").to_numpy()
+        dids, rids = batch.column("did").to_numpy(), batch.column("rid").to_numpy()
         alive = batch.column("alive") if before else None
         for a, _, texts in _texts(batch):
             words, firsts = hashed_words(texts)
+            again = hashed_words(texts, 2)[0] if length >= window else None
             out: list[tuple] = []
             for k in range(len(texts)):
                 own = words[firsts[k] : firsts[k + 1]]
@@ -68,19 +72,19 @@ def _level_rows(batches: Iterator[pa.RecordBatch], window: int, length: int, bef
                     continue
                 open_ = np.ones(len(own) - window + 1, dtype=bool)
                 if before:
-                    open_ = _open(own, window, before, np.asarray(alive[a + k].as_py(), dtype=np.int64))[1]
+                    open_ = _open(own, window, before, alive[a + k].values.to_numpy())[1]
                 hashes = windows(own, length, SEQ_P)
                 if length < window:
                     pos = np.unique(speakers(hashes, window - length + 1)[open_])
-                    out.append((hashes[pos], np.full(len(pos), dids[a + k]), pos))
+                    out.append((hashes[pos], np.full(len(pos), rids[a + k]), pos))
                 else:
                     pos = np.flatnonzero(open_)
-                    second = (windows(own, length, SEQ_Q)[pos] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                    out.append((hashes[pos], second, np.full(len(pos), dids[a + k]), np.full(len(pos), ths[a + k]), pos))
+                    second = (windows(again[firsts[k] : firsts[k + 1]], length, SEQ_Q)[pos] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                    out.append((hashes[pos], second, np.full(len(pos), dids[a + k]), np.full(len(pos), rids[a + k]), pos))
             if out:
                 cols = [np.concatenate(c) for c in zip(*out, strict=True)]
                 cols[0], cols[-1] = cols[0].view(np.int64), cols[-1].astype(np.int32)
-                names = ["h", "did", "pos"] if length < window else ["h", "g", "did", "th", "pos"]
+                names = ["h", "rid", "pos"] if length < window else ["h", "g", "did", "rid", "pos"]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
 
 
@@ -89,11 +93,11 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     a range may go on in the next, so their rows stay candidates."""
     kept, started = None, False
     for batch in batches:
-        h, did, pos = (batch.column(c).to_numpy() for c in ("h", "did", "pos"))
+        h, rid, pos = (batch.column(c).to_numpy() for c in ("h", "rid", "pos"))
         if not len(h):
             continue
         if kept is not None:
-            h, did, pos = np.concatenate((kept[0], h)), np.concatenate((kept[1], did)), np.concatenate((kept[2], pos))
+            h, rid, pos = np.concatenate((kept[0], h)), np.concatenate((kept[1], rid)), np.concatenate((kept[2], pos))
         same = h[1:] == h[:-1]
         again = np.concatenate(([False], same)) | np.concatenate((same, [False]))
         if kept is not None:
@@ -101,25 +105,25 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not started:
             again |= h == h[0]
             started = True
-        kept = (h[-1:], did[-1:], pos[-1:], bool(again[-1]))
-        yield pa.RecordBatch.from_arrays([pa.array(did[:-1][again[:-1]]), pa.array(pos[:-1][again[:-1]])], names=["did", "pos"])
+        kept = (h[-1:], rid[-1:], pos[-1:], bool(again[-1]))
+        yield pa.RecordBatch.from_arrays([pa.array(rid[:-1][again[:-1]]), pa.array(pos[:-1][again[:-1]])], names=["rid", "pos"])
     if kept is not None:
-        yield pa.RecordBatch.from_arrays([pa.array(kept[1]), pa.array(kept[2])], names=["did", "pos"])
+        yield pa.RecordBatch.from_arrays([pa.array(kept[1]), pa.array(kept[2])], names=["rid", "pos"])
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows of a sorted range that also start earlier: all of a run but its first place.
 
     edge 0: such a window. Edge 1: rows at the first place of the range, which are later ones only if the
-    range before ends on the same window; edge 2: that last window.
+    range before ends on the same window; edge 2: that last window. Only edges carry their hashes.
     """
     part, head, last = TaskContext.get().partitionId(), None, None
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [batch.column(c).to_numpy() for c in ("h", "g", "did", "th", "pos")]
+        cols = [batch.column(c).to_numpy() for c in ("h", "g", "did", "rid", "pos")]
         before = last if last is not None else [c[0] for c in cols]
-        h, g, did, th, pos = (np.concatenate(([b], c)) for b, c in zip(before, cols, strict=True))
+        h, g, did, _, pos = (np.concatenate(([b], c)) for b, c in zip(before, cols, strict=True))
         fresh = np.concatenate(([True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])))
         run = np.maximum.accumulate(np.where(fresh, np.arange(len(h)), 0))
         # The row put in front stands for its whole run, at the place where that run began.
@@ -128,15 +132,15 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if head is None:
             head = [c[0] for c in cols]
         first = ~later & (cols[0] == head[0]) & (cols[1] == head[1])
-        last = [h[run[-1]], g[run[-1]], did[run[-1]], th[run[-1]], pos[run[-1]]]
+        last = [h[run[-1]], g[run[-1]], did[run[-1]], cols[3][0], pos[run[-1]]]
         keep = later | first
-        n = int(keep.sum())
+        n, inner = int(keep.sum()), ~first[keep]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(cols[2][keep]), pa.array(cols[3][keep]), pa.array(cols[4][keep]), pa.array(first[keep].astype(np.int32)), pa.array(np.full(n, part, dtype=np.int32)), pa.array(cols[0][keep]), pa.array(cols[1][keep])],
-            names=["did", "th", "pos", "edge", "part", "h", "g"],
+            [pa.array(cols[3][keep]), pa.array(cols[4][keep]), pa.array(first[keep].astype(np.int32)), pa.array(np.full(n, part, dtype=np.int32)), pa.array(cols[0][keep], mask=inner), pa.array(cols[1][keep], mask=inner)],
+            names=["rid", "pos", "edge", "part", "h", "g"],
         )
     if last is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([x], type=t) for x, t in ((last[2], pa.int64()), (last[3], pa.int32()), (last[4], pa.int32()), (2, pa.int32()), (part, pa.int32()), (last[0], pa.int64()), (last[1], pa.int32()))], names=["did", "th", "pos", "edge", "part", "h", "g"])
+        yield pa.RecordBatch.from_arrays([pa.array([x], type=t) for x, t in ((0, pa.int64()), (0, pa.int32()), (2, pa.int32()), (part, pa.int32()), (last[0], pa.int64()), (last[1], pa.int32()))], names=["rid", "pos", "edge", "part", "h", "g"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -163,27 +167,34 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBa
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, start: int = START) -> DataFrame:
-    """(did, th, pos) of every window of that many words whose words also start earlier. docs: did, th, text."""
+    """(rid, pos) of every window of that many words whose words also start earlier. docs: did, rid, text."""
     if window % start or (window // start) & (window // start - 1):
         raise ValueError("the window must be the starting length times a power of two")
-    length, before, rows = start, None, docs
+    length, before, rows, level = start, None, docs, None
     while True:
-        if before:
-            alive = level.groupBy("did").agg(F.collect_set("pos").alias("alive"))  # noqa: F821  bounded by the document
-            rows = docs.join(alive.hint("shuffle_hash"), "did")
+        if level is not None:
+            alive = level.groupBy("rid").agg(F.collect_set("pos").alias("alive"))  # bounded by the document
+            rows = docs.join(alive, "rid")
         full = length >= window
         hashed = rows.mapInArrow(partial(_level_rows, window=window, length=length, before=before), _FULL if full else _LEVEL)
-        key = ["h", "g", "did", "pos"] if full else ["h", "did", "pos"]
+        key = ["h", "g", "did", "pos"] if full else ["h", "rid", "pos"]
         ranged = hashed.repartitionByRange(*key).sortWithinPartitions(*key)
+        spent = level
         if full:
+            found = materialize(ranged.mapInArrow(_later, _DROPS), "later-windows")
             break
-        level = materialize(ranged.mapInArrow(_repeated, "did long, pos int"), f"repeated-{length}")
+        level = materialize(ranged.mapInArrow(_repeated, "rid long, pos int"), f"repeated-{length}")
+        if spent is not None:
+            drop(spent)
+        if level.isEmpty():
+            return level
         length, before = 2 * length, length
-    found = materialize(ranged.mapInArrow(_later, _DROPS), "later-windows")
+    if spent is not None:
+        drop(spent)
     # One row a range: does the range before it (with rows) end on the window that it begins with?
     ends = found.filter("edge = 2").select("part", F.struct("h", "g").alias("end")).withColumn("previous", F.lag("end").over(W.orderBy("part"))).select("part", "previous")
     heads = found.filter("edge = 1").join(ends, "part").filter(F.struct("h", "g") == F.col("previous"))
-    return found.filter("edge = 0").select("did", "th", "pos").union(heads.select("did", "th", "pos"))
+    return found.filter("edge = 0").select("rid", "pos").union(heads.select("rid", "pos"))
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, start: int = START, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,9 +202,11 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, start: int = START, i
 
     A word goes if a window of consecutive words covers it whose word sequence also starts earlier: in a
     row with a smaller doc_id (null ids come last) or earlier in the same document. Rows that repeat a
-    doc_id stand at the same place in that order, so equal windows at equal starts of them both stay.
-    Null and empty texts have no words; texts shorter than the window lose nothing.
+    doc_id stand at the same place in that order, so equal windows at equal starts of them both stay; so
+    do those of rows without an id. Null and empty texts have no words; texts shorter than the window lose
+    nothing, long ones are taken whole. An empty table gives no rows; further columns are ignored.
     """
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_LAST)).alias("did"), F.hash(text_col).alias("th"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    gone = repeated_windows(keyed.select("did", "th", "text"), window, start).groupBy("did", "th").agg(F.collect_set("pos").alias("starts"))
-    return keyed.join(gone.hint("shuffle_hash"), ["did", "th"], "left").select("doc_id", "text", "starts").mapInArrow(partial(_cut, window=window), "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    text, did = F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_LAST))
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), did.alias("did"), F.xxhash64(did, text).alias("rid"), text.alias("text"))
+    gone = repeated_windows(keyed.select("did", "rid", "text"), window, start).groupBy("rid").agg(F.collect_set("pos").alias("starts"))
+    return keyed.join(gone, "rid", "left").select("doc_id", "text", "starts").mapInArrow(partial(_cut, window=window), "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
