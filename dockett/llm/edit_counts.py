@@ -193,14 +193,15 @@ def edited_counts(docs: DataFrame, trees: DataFrame, edits: DataFrame, ranks: st
     edits has doc_id, seq, start, stop, new: by rising seq (equal ones by their other values), new replaces
     characters start to stop of the text as it is by then; null bounds are 0 and null text is empty. Edits
     of unknown or null ids are ignored, and every row with an id takes its edits. chars_encoded counts the
-    characters that the edits made it encode again. trees is build_trees(docs), kept from before.
+    characters that the edits made it encode again. trees is build_trees(docs), kept from before. Rows that
+    repeat id and text share a tree; empty tables give no rows; further columns are ignored.
     """
     whole = F.struct(F.col("seq").cast("long").alias("seq"), F.coalesce(F.col("start").cast("long"), F.lit(0).cast("long")).alias("start"), F.coalesce(F.col("stop").cast("long"), F.lit(0).cast("long")).alias("stop"), F.coalesce("new", F.lit("")).alias("new"))
     # A document's edits meet in one row, as its text does.
     listed = edits.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("did")).agg(F.array_sort(F.collect_list(whole)).alias("edits"))
     once = trees.groupBy("did", "th").agg(F.first("lengths").alias("lengths"), F.first("counts").alias("counts"), F.first("n_tokens").alias("n_tokens"))
     kept = once.join(listed, "did", "left")
-    rows = _keyed(docs, id_col, text_col).join(kept.hint("shuffle_hash"), ["did", "th"])
+    rows = _keyed(docs, id_col, text_col).join(kept, ["did", "th"])
     return rows.select("doc_id", "text", "lengths", "counts", "n_tokens", "edits").mapInArrow(partial(_edited, ranks=ranks, pattern=pattern), "doc_id long, tokens_before long, n_edits long, n_tokens long, n_chars long, chars_encoded long")
 
 
