@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import shared_path
 
-BLOCK_BYTES, SHARD_BYTES, SHARD_ROWS, BLOOM_BITS, BLOOM_PROBES, LOOKUP_IDS = 1 << 16, 64 << 20, 1 << 18, 10, 6, 10_000
+BLOCK_BYTES, SHARD_BYTES, SHARD_ROWS, BLOOM_BITS, BLOOM_PROBES, LOOKUP_IDS, MOST_READERS = 1 << 16, 64 << 20, 1 << 18, 10, 6, 10_000, 100_000
 _FOOTER, _INDEX, _MAGIC = struct.Struct("<6QI4s"), struct.Struct("<17sQI"), b"SST1"
 KEY_BYTES = 17
 _MANIFEST = "shard string, part int, first_id long, documents long, tokens long"
@@ -299,13 +299,16 @@ def _digests(rows: list[tuple]) -> pa.RecordBatch:
 def write_table(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes docs as shards by rising doc_id and returns the manifest: shard, start, first_id, documents, tokens.
 
-    Every row is written, null and repeated ids too (nulls first, equal ids by text); null texts count as
-    empty and hold the end id alone. start is the number of ids in all shards before. The tokenizer file
-    must be at the same path on every executor; folder is a new one in the shared folder by default.
+    Every row is written, null and repeated ids too (nulls first, equal ids by a digest of the text and the text,
+    so that many rows of one id are cut over several ranges); null texts count as empty and hold the end id
+    alone, texts of any length are written whole. start is the number of ids in all shards before. An empty
+    table gives an empty manifest; further columns are ignored. The tokenizer file must be at the same path
+    on every executor; folder is a new one in the shared folder by default.
     """
     folder = folder or shared_path(docs.sparkSession, "tokens")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ranged = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     done = ranged.mapInArrow(partial(_write, folder=folder, tokenizer=tokenizer, end_id=end_id), _MANIFEST)
     path = f"{folder}/manifest"
     done.write.parquet(path)
@@ -315,9 +318,16 @@ def write_table(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str |
     return spark.read.schema(_MANIFEST).parquet(path).withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0).cast("long")))
 
 
+def readers(manifest: DataFrame) -> int:
+    """Tasks that read a table's shards. Given as a number, it is not merged away: a manifest's rows are tiny, what they
+    stand for is not."""
+    return min(max(1, manifest.count()), MOST_READERS)
+
+
 def read_table(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document of a written table, read from its shards."""
-    rows = manifest.select("shard", "start").repartition("shard")
+    """(doc_id, start, n_tokens, ids_crc32) of every document of a written table, read from its shards, about one
+    of them a task."""
+    rows = manifest.select("shard", "start").repartition(readers(manifest))
     return rows.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
@@ -339,4 +349,4 @@ def look_up(manifest: DataFrame, doc_ids: list[int]) -> DataFrame:
     if len(doc_ids) > LOOKUP_IDS:
         raise ValueError(f"{LOOKUP_IDS} ids at once are the most")
     spans = manifest.withColumn("next_id", F.coalesce(F.lead("first_id").over(W.orderBy("part", "shard")), F.lit(2**63 - 1)))
-    return spans.repartition("shard").mapInArrow(partial(_look_up, wanted=sorted(set(doc_ids))), "doc_id long, ids array<long>")
+    return spans.repartition(readers(manifest)).mapInArrow(partial(_look_up, wanted=sorted(set(doc_ids))), "doc_id long, ids array<long>")
