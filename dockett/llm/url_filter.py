@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bits of the filter for each key, bits set in one 64-bit block for a key, and the largest filter (in
-#: blocks, 64 kB) that is put into the plan as a literal. A larger one is joined by block number.
-BITS_PER_KEY, PROBES, LITERAL_BLOCKS = 16, 4, 8192
+#: blocks, 64 kB) that is put into the plan as a literal. A larger one is joined by block number, in SALTS copies, as
+#: many urls may share a key.
+BITS_PER_KEY, PROBES, LITERAL_BLOCKS, SALTS = 16, 4, 8192, 16
 
 # The production rules, (host, beginning of the path, verdict).
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -78,21 +79,23 @@ def judge(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col:
     keys = F.flatten(F.transform(suffixes(F.col("host")), lambda h: F.transform(fits, lambda k: F.concat_ws("\0", h, F.substring(F.col("path"), F.lit(1), k)))))
     keys = F.when(F.col("host") != "", keys).otherwise(F.array().cast("array<string>"))
     one = ["page_id", "url", "copies", "host", "path"]
+    filter_ = bloom(best, blocks)
     if blocks <= LITERAL_BLOCKS:
         bits = [0] * blocks
-        for r in bloom(best, blocks).collect():
+        for r in filter_.collect():
             bits[r.block] = r.bits
         table = F.lit(bits).cast("array<bigint>")
         passed = F.filter(keys, lambda k: F.element_at(table, _block(k, blocks) + 1).bitwiseAND(_mask(k)) == _mask(k))
-        possible = cut.select(*one, F.explode_outer(passed).alias("key"))
+        found = cut.select(*one, F.explode_outer(passed).alias("key")).join(best, "key", "left")
     else:
-        # Distinct keys meet the filter's blocks and then the list, before any page does.
-        every = cut.select(*one, F.explode_outer(keys).alias("key"))
-        asked = every.select("key").filter("key is not null").distinct().withColumns({"block": _block(F.col("key"), blocks), "mask": _mask(F.col("key"))})
-        passed = asked.join(bloom(best, blocks), "block").filter(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask")).select("key")
-        best = best.join(passed, "key", "left_semi")
-        possible = every
-    found = possible.join(best, "key", "left")
+        # Keys meet the filter's block first; only pages with a key that passes go on to the list.
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+        salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
+        every = cut.select("page_id", "url", salt.alias("salt"), F.explode(keys).alias("key"))
+        every = every.withColumns({"block": _block(F.col("key"), blocks), "mask": _mask(F.col("key"))})
+        passed = every.join(filter_.select("*", salts), ["block", "salt"]).filter(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask")).select("page_id", "url", "salt", "key")
+        hits = passed.join(best.select("*", salts), ["key", "salt"]).drop("salt", "key")
+        found = cut.alias("c").join(hits.alias("h"), F.expr("c.page_id <=> h.page_id and c.url <=> h.url"), "left").select(*[F.col(f"c.{c}") for c in one], "rule", "hl", "listed")
     score = F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("n"), "hl", F.col("listed").alias("v"), "rule"))
     judged = found.groupBy("page_id", "url").agg(F.first("copies").alias("copies"), F.first("host").alias("host"), F.first("path").alias("path"), F.max(score).alias("best"))
     spread = judged.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.v", F.lit(otherwise)).alias("verdict"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
