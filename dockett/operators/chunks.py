@@ -17,37 +17,46 @@ DOC = ["case_id", "side"]
 # Scores of candidates, and words of which two make a table header.
 PARSES, TOTAL_LABEL, TABLE_HEADER, BLANK = 50.0, 15.0, -100.0, -80.0
 HEADER_WORDS = ["DESCRIPTION", "GROSS WEIGHT", "NET WEIGHT", "CONTAINER NO", "MEASUREMENT", "MARKS", "SEAL NO", "PACKAGES", "UNIT PRICE", "QTY"]
-_LABEL = r"^([^:]{1,60}?)\s*:\s*(.*)$"
-_OTHER = r"(?U)^(.{1,60}?)\s*(?:[–—―|]|\t|\s{2,})\s*(\S.*)$"
+LABEL = r"^([^:]{1,60}?)\s*:\s*(.*)$"
+OTHER = r"(?U)^(.{1,60}?)\s*(?:[–—―|]|\t|\s{2,})\s*(\S.*)$"
+BREAKS = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+RULE = r"(?U)^[\s=_\-*~#]+$"
 
 
 def lines(docs: DataFrame) -> DataFrame:
     """case_id, side, line (from 1), raw: non-blank lines that are no decoration. docs: case_id, side, text."""
-    split = F.split(F.coalesce("text", F.lit("")), r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]")
+    split = F.split(F.coalesce("text", F.lit("")), BREAKS)
     rows = docs.select(*DOC, F.posexplode(split).alias("line", "raw"))
     text = strip(F.col("raw"))
-    return rows.withColumn("line", F.col("line") + 1).filter((text != "") & ~text.rlike(r"(?U)^[\s=_\-*~#]+$"))
+    return rows.withColumn("line", F.col("line") + 1).filter((text != "") & ~text.rlike(RULE))
 
 
-def chunks(docs: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """case_id, side, line, label, value, field, chunk_ord (from 0).
+def marked(docs: DataFrame, fuzzy: bool = True) -> DataFrame:
+    """The lines of docs with text, colon and other (its label by either separator), label, field and starts.
 
     A line with a colon, or with another separator behind a wording that resolves, starts a chunk; an
-    indented one only if its label resolves. Other lines continue the chunk above; those before any are
-    dropped.
+    indented one only if its label resolves.
     """
     text = strip(F.col("raw"))
-    colon, other = F.regexp_extract(text, _LABEL, 1), F.regexp_extract(text, _OTHER, 1)
+    colon, other = F.regexp_extract(text, LABEL, 1), F.regexp_extract(text, OTHER, 1)
     cut = lines(docs).withColumns({"text": text, "colon": strip(colon), "other": strip(other)})
     cut = cut.withColumn("label", F.when(F.col("colon") != "", F.col("colon")).when(F.col("other") != "", F.col("other")))
     found = with_fields(cut, "label", "field", fuzzy)
     indented = F.substring("raw", 1, 1).isin(" ", "\t")
     starts = F.when(F.col("colon") != "", ~indented | F.col("field").isNotNull()).otherwise(F.col("label").isNotNull() & F.col("field").isNotNull())
+    return found.withColumn("starts", F.coalesce(starts, F.lit(False)))
+
+
+def chunks(docs: DataFrame, fuzzy: bool = True) -> DataFrame:
+    """case_id, side, line, label, value, field, chunk_ord (from 0).
+
+    Lines that start no chunk continue the one above; those before any are dropped.
+    """
     order = W.partitionBy(*DOC).orderBy("line")
-    marked = found.withColumn("starts", F.coalesce(starts, F.lit(False))).withColumn("island", F.sum(F.col("starts").cast("int")).over(order)).filter("island > 0")
-    value = F.when(F.col("starts"), strip(F.when(F.col("colon") != "", F.regexp_extract("text", _LABEL, 2)).otherwise(F.regexp_extract("text", _OTHER, 2)))).otherwise(F.col("text"))
+    own = marked(docs, fuzzy).withColumn("island", F.sum(F.col("starts").cast("int")).over(order)).filter("island > 0")
+    value = F.when(F.col("starts"), strip(F.when(F.col("colon") != "", F.regexp_extract("text", LABEL, 2)).otherwise(F.regexp_extract("text", OTHER, 2)))).otherwise(F.col("text"))
     parts = F.array_sort(F.collect_list(F.struct("line", value.alias("value"))))
-    folded = marked.groupBy(*DOC, "island").agg(F.min("line").alias("line"), F.min(F.when(F.col("starts"), F.col("label"))).alias("label"), F.min(F.when(F.col("starts"), F.col("field"))).alias("field"), parts.alias("parts"))
+    folded = own.groupBy(*DOC, "island").agg(F.min("line").alias("line"), F.min(F.when(F.col("starts"), F.col("label"))).alias("label"), F.min(F.when(F.col("starts"), F.col("field"))).alias("field"), parts.alias("parts"))
     joined = strip(F.array_join(F.transform("parts", lambda p: p["value"]), "\n"))
     return folded.select(*DOC, "line", "label", joined.alias("value"), "field", (F.col("island") - 1).cast("int").alias("chunk_ord"))
 
@@ -96,15 +105,19 @@ def paired(values: DataFrame, cases: DataFrame) -> DataFrame:
     return rows.select("case_id", "field", "field_ord", *out)
 
 
-def repaired(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """pairs with wrapped party and port values completed from the next line of their own document.
+def both_texts(docs: DataFrame) -> DataFrame:
+    """case_id, si_text, bl_text: the texts of a case's two sides in one row. docs: case_id, side, text."""
+    return docs.groupBy("case_id").agg(F.max(F.when(F.col("side") == "SI", F.col("text"))).alias("si_text"), F.max(F.when(F.col("side") == "BL", F.col("text"))).alias("bl_text"))
+
+
+def repaired(pairs: DataFrame) -> DataFrame:
+    """pairs (with si_text and bl_text) with wrapped party and port values completed from the next line of their own document.
 
     Only where one side's key is a token-prefix of the other's, the line after the value (within 200
     characters of text) completes it to exactly the other's key. Adds si_wrapped and bl_wrapped.
     """
-    wide = docs.groupBy("case_id").agg(F.max(F.when(F.col("side") == "SI", F.col("text"))).alias("si_text"), F.max(F.when(F.col("side") == "BL", F.col("text"))).alias("bl_text"))
     field = F.col("field")
-    out = with_key(with_key(pairs.join(wide, "case_id", "left"), "field", "si_raw", "__si"), "field", "bl_raw", "__bl")
+    out = with_key(with_key(pairs, "field", "si_raw", "__si"), "field", "bl_raw", "__bl")
     for own, other in (("si", "bl"), ("bl", "si")):
         raw, text, line = F.col(f"{own}_raw"), F.col(f"{own}_text"), F.col(f"{own}_line")
         # From the value's own line on, else from the start.
@@ -118,4 +131,4 @@ def repaired(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         out = out.withColumn(f"{own}_wrapped", F.coalesce(F.col(f"__{own}_full_key") == F.col(f"__{other}_key"), F.lit(False)))
     for own in ("si", "bl"):
         out = out.withColumn(f"{own}_raw", F.when(F.col(f"{own}_wrapped"), F.col(f"__{own}_whole")).otherwise(F.col(f"{own}_raw")))
-    return out.drop(*[c for c in out.columns if c.startswith("__")], "si_text", "bl_text")
+    return out.drop(*[c for c in out.columns if c.startswith("__")])

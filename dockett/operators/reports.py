@@ -38,6 +38,32 @@ def run_metrics(cases: DataFrame) -> DataFrame:
     )
 
 
+def run_report(cases: DataFrame) -> DataFrame:
+    """kind, value, n: all counts of a run. kind is total (emails, decided_by_rule, decided_by_llm, documents_read,
+    documents_unreadable), category, status or review_reason; values that no case has are left out."""
+    row = lambda kind, value, n=1: F.struct(F.lit(kind).alias("kind"), (F.lit(value) if isinstance(value, str) else value).alias("value"), F.lit(n).cast("long").alias("n") if isinstance(n, int) else n.alias("n"))
+    parts = F.array(
+        row("total", "emails"), row("total", F.concat(F.lit("decided_by_"), "decided_by")), row("total", "documents_read", F.col("n_docs")), row("total", "documents_unreadable", F.col("n_unreadable")),
+        row("category", F.col("category")), row("status", F.col("status")), row("review_reason", F.col("review_reason")),
+    )
+    return cases.select(F.inline(parts)).filter("value is not null").groupBy("kind", "value").agg(F.sum("n").alias("n"))
+
+
+def run_times(cases: DataFrame) -> DataFrame:
+    """One row: emails, total_ms, mean_ms. cases: duration_ms."""
+    n, total = F.count(F.lit(1)), F.coalesce(F.sum("duration_ms"), F.lit(0.0))
+    return cases.agg(n.alias("emails"), F.bround(total, 1).alias("total_ms"), F.when(n > 0, F.bround(total / n, 2)).otherwise(0.0).alias("mean_ms"))
+
+
+def pattern_totals(cases: DataFrame) -> DataFrame:
+    """One row: emails, comparisons, with_defect, escalated, and baseline, the rate of defects among comparisons."""
+    counted = cases.agg(
+        F.count(F.lit(1)).alias("emails"), F.count_if(F.col("category") == "BL_COMPARISON").alias("comparisons"),
+        F.count_if(F.col("status") == "MISMATCH").alias("with_defect"), F.count_if(F.col("status") == "NEEDS_REVIEW").alias("escalated"),
+    )
+    return counted.withColumn("baseline", F.when(F.col("comparisons") > 0, F.col("with_defect") / F.col("comparisons")).otherwise(0.0))
+
+
 def patterns_senders(cases: DataFrame) -> DataFrame:
     """A row a sender domain: counts, defect rate, its interval, and whether it stands out from the baseline.
 

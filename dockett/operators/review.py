@@ -83,3 +83,37 @@ def file_as_of(versions: DataFrame, version: Column) -> DataFrame:
 
 def recheck_summary(events: DataFrame) -> DataFrame:
     return events.agg(F.count_distinct("case_id").alias("cases"), F.count(F.lit(1)).alias("rechecks"))
+
+
+def handled(events: DataFrame) -> DataFrame:
+    """events (case_id, at, kind, decision, category, resent) with accepted, refused (why not), version and stood.
+
+    kind is review, withdraw, retry or recheck. A withdrawal needs a review that stands, a retry a case that was never
+    re-checked, a re-check a comparison and a side that was sent again. An accepted re-check is version 1, 2, ... of
+    what it replaces, with the review that stood by then, and ends that review.
+    """
+    kind, order = F.col("kind"), W.partitionBy("case_id").orderBy("at")
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    again = (kind == "recheck") & (F.col("category") == "BL_COMPARISON") & (F.coalesce("resent", F.lit("")) != "")
+    out = events.withColumn("again", again).withColumn("rechecks", F.coalesce(F.sum(F.col("again").cast("int")).over(before), F.lit(0)))
+    turn = F.when(kind.isin("review", "withdraw") | F.col("again"), F.struct("kind", "decision"))
+    out = out.withColumn("last", F.last(turn, ignorenulls=True).over(before)).withColumn("stood", F.when(F.col("last.kind") == "review", F.col("last.decision")))
+    refused = (
+        F.when((kind == "withdraw") & F.col("stood").isNull(), "no review to withdraw").when((kind == "retry") & (F.col("rechecks") > 0), "re-checked on amended documents")
+        .when((kind == "recheck") & (F.col("category") != "BL_COMPARISON"), "no pair to compare").when((kind == "recheck") & ~F.col("again"), "nothing was sent again")
+    )
+    out = out.withColumn("refused", refused)
+    return out.withColumns({"accepted": F.col("refused").isNull(), "version": F.when(F.col("again"), F.col("rechecks") + 1)}).drop("again", "rechecks", "last")
+
+
+def standing(handled: DataFrame) -> DataFrame:
+    """case_id, review (that stands at the end, or null), rechecks, retries."""
+    k, ok = F.col("kind"), F.col("accepted")
+    turn = F.max(F.when(ok & k.isin("review", "withdraw", "recheck"), F.struct("at", "kind", "decision")))
+    by = handled.groupBy("case_id").agg(turn.alias("t"), F.count_if(ok & (k == "recheck")).alias("rechecks"), F.count_if(ok & (k == "retry")).alias("retries"))
+    return by.select("case_id", F.when(F.col("t.kind") == "review", F.col("t.decision")).alias("review"), "rechecks", "retries")
+
+
+def recheck_history(handled: DataFrame) -> DataFrame:
+    """case_id, version, at, resent, review: what each accepted re-check replaced."""
+    return handled.filter("version is not null").select("case_id", "version", "at", "resent", F.col("stood").alias("review"))

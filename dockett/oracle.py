@@ -167,9 +167,9 @@ def _views() -> str:
 
     return rf"""
     cut AS (SELECT *, upper(trim(regexp_replace(regexp_replace(subject, {q(c._REPLY)}, ''), '\s+', ' ', 'g'))) AS v_subject, upper(trim(sender)) AS v_sender,
-            string_split_regex(regexp_replace(body, '(?i)\A\s*(?:WARNING|CAUTION|\[?EXTERNAL\]?)\b[^\n]*\n?', ''), {q(c._QUOTE)})[1] AS unquoted FROM mail),
-    bodies AS (SELECT *, upper({strip(f"string_split_regex(unquoted, {q(c._SIGNOFF)})[1]")}) AS v_body FROM cut),
-    view AS (SELECT *, coalesce(list_filter(list_transform(string_split_regex(v_body, '\n\s*\n'), lambda p: {strip('p')}), lambda p: p <> '' AND NOT (regexp_matches(p, '{c._SALUTATION}') AND length(p) <= 40))[1], '') AS v_body_head,
+            string_split_regex(regexp_replace(body, '(?i)\A\s*(?:WARNING|CAUTION|\[?EXTERNAL\]?)\b[^\n]*\n?', ''), {q(c.QUOTE)})[1] AS unquoted FROM mail),
+    bodies AS (SELECT *, upper({strip(f"string_split_regex(unquoted, {q(c.SIGNOFF)})[1]")}) AS v_body FROM cut),
+    view AS (SELECT *, coalesce(list_filter(list_transform(string_split_regex(v_body, '\n\s*\n'), lambda p: {strip('p')}), lambda p: p <> '' AND NOT (regexp_matches(p, '{c.SALUTATION}') AND length(p) <= 40))[1], '') AS v_body_head,
              v_subject || chr(10) || v_body AS v_any FROM bodies)"""
 
 
@@ -208,3 +208,29 @@ def intent() -> str:
 
     head = "CASE WHEN v_body_head = '' THEN v_body ELSE v_body_head END"
     return f"intent AS (SELECT email_id, {_signals(ATTACHED, head)} AS a, {_signals(DRAFT, head)} AS d FROM view)"
+
+
+def _lines_of(side: str, wording: list[str]) -> str:
+    """Labelled lines of a side's seven values; lines of null values are left out, as concat_ws does."""
+    value = lambda f: "CASE WHEN v = 7 THEN replace(bl_consignee, ' TRADING', chr(10) || '  TRADING') ELSE bl_consignee END" if (side, f) == ("bl", "consignee") else f"{side}_{f}"
+    return ", ".join(f"{q(label + ': ')} || {value(f)}" for f, label in zip(FIELDS, wording, strict=True))
+
+
+def texts() -> str:
+    """CTE doc_text: case_id, v, side, text of both attachments of each pair."""
+    from .sources.derive import WORDINGS
+
+    title = "CASE WHEN v = 10 THEN 'COMMERCIAL INVOICE' || chr(10) || '====' || chr(10) || 'Invoice No.: 77' || chr(10) || 'Total Amount: 5' ELSE 'DRAFT BILL OF LADING' || chr(10) || '====' || chr(10) || 'B/L No.: 88' END"
+    drafts = " ".join(f"WHEN {i} THEN concat_ws(chr(10), {title}, {_lines_of('bl', w)})" for i, w in enumerate(WORDINGS))
+    return f"""doc_text AS (
+        SELECT case_id, v, 'SI' AS side, concat_ws(chr(10), 'SHIPPING INSTRUCTION', '====', 'Booking Reference: BK' || CAST(case_id AS VARCHAR), {_lines_of('si', WORDINGS[0])}, 'Net Weight: 1 KG') AS text FROM pair
+        UNION ALL SELECT case_id, v, 'BL', CASE case_id % 3 {drafts} END FROM pair)"""
+
+
+def visible(x: str) -> str:
+    """The sender's own words of a body."""
+    from .operators import assist as a
+    from .operators import classify as c
+
+    cut = rf"string_split_regex(regexp_replace({x}, '(?i)\A\s*(?:WARNING|CAUTION|\[?EXTERNAL\]?)\b[^\n]*\n?', ''), {q(c.QUOTE + '|(?im:' + a.FORWARDED + ')')})[1]"
+    return strip(rf"regexp_replace(string_split_regex({cut}, {q(c.SIGNOFF)})[1], '\n{{3,}}', chr(10) || chr(10), 'g')")

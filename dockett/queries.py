@@ -11,21 +11,11 @@ from .constants import FIELDS
 from .operators import chunks, classify, compare, doctype, perturb, reports, review, scoring
 from .plans import cases as plan
 from .plans import harness
+from .registry import ORACLE, QUERIES, query
 from .sources import derive
+from .storage import written
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
+__all__ = ["ORACLE", "QUERIES"]
 
 def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive.values(derive.pairs(spark, sf_dir))
@@ -144,7 +134,7 @@ def candidate_scores(spark, sf_dir):
 def wrap_repair(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     values = chunks.field_values(chunks.candidates(chunks.chunks(docs)))
-    fixed = chunks.repaired(chunks.paired(values, docs.select("case_id").distinct()), docs)
+    fixed = chunks.repaired(chunks.paired(values, docs.select("case_id").distinct()).join(chunks.both_texts(docs), "case_id"))
     sides = F.explode(F.array(*[F.struct(F.lit(s.upper()).alias("side"), F.col(f"{s}_raw").alias("raw"), F.col(f"{s}_wrapped").alias("wrapped")) for s in ("si", "bl")])).alias("s")
     return fixed.select("case_id", sides).filter("s.wrapped").select("case_id", "s.side", "s.raw")
 
@@ -210,7 +200,7 @@ _CASES = f"""{o.PAIRS}, {o.COMPARED}, {o.OUTCOME}, {_GATED},
 
 
 def _inputs(spark, sf_dir):
-    docs = _docs(spark, sf_dir).withColumn("unreadable", F.lit(None).cast("string"))
+    docs = written(_docs(spark, sf_dir).withColumn("unreadable", F.lit(None).cast("string")), "texts")
     mails = derive.pairs(spark, sf_dir).select("case_id", F.lit("TO CONFIRM DOCS").alias("subject"), F.lit("Attached are the SI and draft BL. Please compare.").alias("body"), F.lit("a@b.c").alias("sender"))
     return docs, mails
 
@@ -415,3 +405,6 @@ def score_by_category(spark, sf_dir):
 def score_final(spark, sf_dir):
     cases = _cases(spark, sf_dir)
     return scoring.score(cases, _submitted(cases))
+
+
+from . import reader_queries  # noqa: E402, F401  they register their queries

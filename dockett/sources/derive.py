@@ -111,3 +111,44 @@ def emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.col("email_id").cast("string")
     fill = lambda c: F.replace(F.col(f"m.{c}"), F.lit("{n}"), number).alias(c)
     return orders.withColumn("m", pick).select("email_id", "m.sender", fill("subject"), fill("body"))
+
+
+def words(pairs: DataFrame) -> DataFrame:
+    """doc, page, text, x0, x1, top, size, fontname: each draft as a form of seven rows, a bold label and its value.
+
+    A character is five points wide. In variation 15 the values begin inside their labels.
+    """
+    rows = values(pairs).withColumn("label", F.element_at(F.array(*map(F.lit, WORDINGS[0])), F.col("field_ord")))
+
+    def spread(text, left, top, font):
+        w = F.split(text, " ")
+        at = lambda i: left + 5.0 * F.when(i == 0, 0).otherwise(F.length(F.array_join(F.slice(w, F.lit(1), i), " ")) + 1)
+        return F.transform(w, lambda x, i: F.struct(x.alias("text"), at(i).alias("x0"), (at(i) + 5.0 * F.length(x)).alias("x1"), top.alias("top"), F.lit(10.0).alias("size"), F.lit(font).alias("fontname")))
+
+    top = 100.0 + 14.0 * F.col("field_ord")
+    left = F.when(F.col("v") == 15, 60.0).otherwise(220.0)
+    labels = spread(F.col("label"), F.lit(40.0), top, "Helvetica-Bold")
+    printed = F.when(F.col("bl_raw").isNotNull(), spread(F.col("bl_raw"), left, top + 1.5, "Helvetica")).otherwise(F.filter(labels, lambda x: F.lit(False)))
+    return rows.select(F.col("case_id").alias("doc"), F.lit(1).alias("page"), F.explode(F.concat(labels, printed)).alias("w")).select("doc", "page", "w.*")
+
+
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc, tbl, row, col, text: a table an order. Even orders list a container a row under a header of three columns;
+    odd ones have a label, a value and the value once more (a merged cell), or nothing."""
+    items = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"), F.sum("l_quantity").cast("bigint").cast("string").alias("q"))
+    even = F.col("l_orderkey") % 2 == 0
+    n, empty = F.col("l_linenumber"), F.col("p") % 5 == 0
+    other = lambda x: F.when(empty, " ").otherwise(x)
+    listed = F.when(even, F.array(F.concat(F.lit("CONT"), F.col("p").cast("string")), F.concat(F.lit("SEAL"), F.col("s").cast("string")), F.col("q"))).otherwise(F.array(other(F.concat(F.lit("Item "), n.cast("string"))), other(F.col("q")), other(F.col("q"))))
+    rows = items.select("l_orderkey", F.when(even, n + 1).otherwise(n).alias("row"), listed.alias("c"))
+    heads = items.filter(even).select("l_orderkey").distinct().select("l_orderkey", F.lit(1).alias("row"), F.array(*map(F.lit, ("Container Nr.", "Seal Nr.", "Packages"))).alias("c"))
+    return rows.unionByName(heads).select(F.col("l_orderkey").alias("doc"), F.lit(1).alias("tbl"), "row", F.posexplode("c").alias("col", "text"))
+
+
+def run_docs(pairs: DataFrame) -> DataFrame:
+    """case_id, ord, path, text, unreadable: attachments of a run. Mails of two templates carry the pair of their order; of
+    some the draft is left out or cannot be opened."""
+    k, draft = F.col("case_id"), F.col("side") == "BL"
+    carried = texts(pairs).filter((k % 12).isin(0, 11) & ~(draft & (k % 7 == 3)))
+    broken = draft & (k % 7 == 5)
+    return carried.select("case_id", F.when(draft, 1).otherwise(0).alias("ord"), "path", F.when(~broken, F.col("text")).alias("text"), F.when(broken, "corrupt").alias("unreadable"))

@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..operators.readers import MAX_BYTES, TEXT_KINDS, unreadable
 
-MAX_BYTES = 25 * 1024 * 1024
-TEXT_KINDS = [".txt", ".text", ".csv"]
 _MAIL = "email_id string, `from` string, subject string, body string, attachments array<string>"
 
 
@@ -20,25 +18,36 @@ def emails(spark: SparkSession, root: str, limit: int | None = None) -> DataFram
     return mails.orderBy("email_id").limit(limit) if limit else mails
 
 
+def listing(spark: SparkSession, folder: str) -> DataFrame:
+    """name, n_bytes of the files below a folder, those of no bytes too, which Spark's file sources leave out.
+
+    Only names and lengths pass the driver, as they do when Spark lists a source's files.
+    """
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    rows, root = [], fs.makeQualified(at).toString().rstrip("/") + "/"
+    if fs.exists(at):
+        files = fs.listFiles(at, True)
+        while files.hasNext():
+            f = files.next()
+            rows.append((f.getPath().toString().removeprefix(root), f.getLen()))
+    return spark.createDataFrame(rows, "name string, n_bytes long")
+
+
 def attachments(spark: SparkSession, root: str, mails: DataFrame) -> DataFrame:
     """case_id, ord, path, n_bytes, text, unreadable: a row an attachment that a mail names, in its order.
 
-    unreadable is null, missing_file, empty_file (blank), or unsupported (too large, or no kind of text).
-    Spark's file sources leave out files of no bytes, so those count as missing. Bytes that are no UTF-8
-    become replacement characters.
+    unreadable is null, missing_file, empty_file (no bytes, or blank), or unsupported (too large, or no kind of
+    text). Bytes that are no UTF-8 become replacement characters. Only files of a kind of text are read.
     """
     named = mails.select(F.col("email_id").alias("case_id"), F.posexplode("attachments").alias("ord", "path"))
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{root}/attachments")
-    # Larger files are listed but their bytes are not read.
-    there = files.select(F.substring_index("path", "/attachments/", -1).alias("name"), F.col("length").alias("n_bytes"), F.when(F.col("length") <= MAX_BYTES, F.col("content")).alias("content"))
-    rows = named.withColumn("name", F.substring_index("path", "attachments/", -1)).join(there, "name", "left")
-    kind = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    text = F.when(kind.isin(TEXT_KINDS), F.expr("make_valid_utf8(cast(content as string))"))
-    why = (
-        F.when(F.col("n_bytes").isNull(), "missing_file").when(F.col("n_bytes") == 0, "empty_file").when(F.col("n_bytes") > MAX_BYTES, "unsupported")
-        .when(~kind.isin(TEXT_KINDS), "unsupported").when(strip(F.coalesce("text", F.lit(""))) == "", "empty_file")
-    )
-    return rows.withColumn("text", text).select("case_id", "ord", "path", "n_bytes", "text", why.alias("unreadable"))
+    there = listing(spark, f"{root}/attachments")
+    glob = "*{" + ",".join(c for k in TEXT_KINDS for c in (k, k.upper())) + "}"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(f"{root}/attachments").filter(F.col("length") <= MAX_BYTES)
+    content = files.select(F.substring_index("path", "/attachments/", -1).alias("name"), F.expr("make_valid_utf8(cast(content as string))").alias("text"))
+    rows = named.withColumn("name", F.substring_index("path", "attachments/", -1)).join(there, "name", "left").join(content, "name", "left")
+    return rows.select("case_id", "ord", "path", "n_bytes", "text", unreadable(F.col("path"), F.col("n_bytes"), F.col("text")).alias("unreadable"))
 
 
 def write_submission(cases: DataFrame, path: str) -> None:
