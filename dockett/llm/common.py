@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import contextlib
-import itertools
+import functools
 import tempfile
 import uuid
 
@@ -174,33 +174,48 @@ def powers(p: np.uint64, n: int, inverse: bool = False) -> np.ndarray:
     return have[:n]
 
 
-class _Hashes(dict):
-    """64-bit hashes of words under a seed, kept for words that come again, as far as WORDS_KEPT goes."""
-
-    def __init__(self, seed: int) -> None:
-        super().__init__()
-        self.seed = seed
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word, self.seed)
-        if len(word) <= 64:
-            if len(self) >= WORDS_KEPT:
-                self.clear()
-            self[word] = value
-        return value
-
-
-WORDS_KEPT = 400_000
-_HASHES = {seed: _Hashes(seed) for seed in (1, 2)}
-
-
-def hashed_words(texts: list[bytes], seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word of the texts, in order, and for each text the place of its first word (and the
-    end). Hashes of different seeds are independent."""
-    words = [t.split() for t in texts]  # of bytes: at ASCII white space only
-    firsts = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)))
-    found = np.fromiter(map(_HASHES[seed].__getitem__, itertools.chain.from_iterable(words)), dtype=np.uint64, count=int(firsts[-1]) if len(firsts) else 0)
-    return found, np.concatenate(([0], firsts))
+_WS = np.zeros(256, dtype=bool)
+_WS[[0x20, *range(0x09, 0x0E)]] = True
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 256
+_MASKS = np.array([2 ** (8 * n) - 1 for n in range(9)], dtype=np.uint64)
+
+
+@functools.cache
+def _lane(seed: int, j: int) -> np.uint64:
+    return mix(np.array([seed * 0x9E3779B97F4A7C15 + j * 0xD1B54A32D192ED03 & 2**64 - 1], dtype=np.uint64))[0]
+
+
+def hashed_words(texts: list[bytes], seeds: tuple[int, ...] = (1,)) -> tuple[list[np.ndarray], np.ndarray]:
+    """64-bit hashes of the words of the texts, in order, for each seed, and for each text the place of its first word
+    (and the end).
+
+    A word's hash adds up its eight-byte pieces, each scrambled together with its place and the seed, so words that
+    differ in any way have unrelated hashes, and so have the seeds.
+    """
+    data = b"\n".join(texts) + b"\n"
+    n = len(data)
+    data += bytes(8)
+    inside = ~_WS[np.frombuffer(data, dtype=np.uint8, count=n)]
+    steps = np.diff(inside.view(np.int8), prepend=np.int8(0))
+    starts, ends = np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)
+    sizes, lanes = ends - starts, np.ndarray((n,), dtype="<u8", buffer=data, strides=(1,))
+    sums = [np.zeros(len(starts), dtype=np.uint64) for _ in seeds]
+    which, at, left, j = np.flatnonzero(sizes <= LONG_WORD), starts, sizes, 0
+    if len(which) < len(starts):
+        at, left = starts[which], sizes[which]
+    while len(which):
+        piece = lanes[at] & _MASKS[np.minimum(left, 8)]
+        for s, seed in zip(sums, seeds, strict=True):
+            s[which] += mix(piece ^ _lane(seed, j))
+        on = left > 8
+        which, at, left, j = which[on], at[on] + 8, left[on] - 8, j + 1
+    for i in np.flatnonzero(sizes > LONG_WORD):
+        for s, seed in zip(sums, seeds, strict=True):
+            s[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]], seed)
+    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
+    firsts = np.searchsorted(starts, np.concatenate(([0], np.cumsum(lengths))))
+    return [mix(s + sizes.astype(np.uint64)) for s in sums], firsts
 
 
 def windows(words: np.ndarray, n: int, p: np.uint64) -> np.ndarray:

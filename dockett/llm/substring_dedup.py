@@ -36,19 +36,23 @@ _DROPS = "rid long, pos int, edge int, part int, h long, g int"
 
 
 def speakers(hashes: np.ndarray, span: int) -> np.ndarray:
-    """For each run of span consecutive hashes the place of its smallest (the first of equals)."""
-    view = np.lib.stride_tricks.sliding_window_view(hashes, span)
-    return view.argmin(axis=1) + np.arange(len(view))
+    """For each run of span consecutive hashes the place of its smallest (the first of equals), by doubling."""
+    value, at, wide = hashes, np.arange(len(hashes)), 1
+    while wide < span:
+        step = min(wide, span - wide)
+        left, right = value[: len(value) - step], value[step:]
+        less = right < left
+        value, at, wide = np.where(less, right, left), np.where(less, at[step:], at[: len(at) - step]), wide + step
+    return at
 
 
-def _open(words: np.ndarray, window: int, length: int, alive: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes at a length, and which windows are still candidates: those whose speaker is among alive."""
-    hashes = windows(words, length, SEQ_P)
-    if alive is None:
-        return hashes, np.ones(max(0, len(words) - window + 1), dtype=bool)
-    own = np.zeros(len(hashes), dtype=bool)
-    own[alive[alive < len(hashes)]] = True
-    return hashes, own[speakers(hashes, window - length + 1)] if len(words) >= window else np.zeros(0, dtype=bool)
+def opened(n_words: int, window: int, length: int, alive: np.ndarray) -> np.ndarray:
+    """Which windows are still candidates: those inside of which a repeated run of that length starts. A window's
+    speaker is such a run if the window repeats, so none that does is left out."""
+    change = np.zeros(n_words + 2, dtype=np.int64)
+    np.add.at(change, np.maximum(alive - (window - length), 0), 1)
+    np.add.at(change, alive + 1, -1)
+    return np.cumsum(change)[: max(0, n_words - window + 1)] > 0
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes]]]:
@@ -63,8 +67,7 @@ def _level_rows(batches: Iterator[pa.RecordBatch], window: int, length: int, bef
         dids, rids = batch.column("did").to_numpy(), batch.column("rid").to_numpy()
         alive = batch.column("alive") if before else None
         for a, _, texts in _texts(batch):
-            words, firsts = hashed_words(texts)
-            again = hashed_words(texts, 2)[0] if length >= window else None
+            (words, *again), firsts = hashed_words(texts, (1, 2) if length >= window else (1,))
             out: list[tuple] = []
             for k in range(len(texts)):
                 own = words[firsts[k] : firsts[k + 1]]
@@ -72,14 +75,14 @@ def _level_rows(batches: Iterator[pa.RecordBatch], window: int, length: int, bef
                     continue
                 open_ = np.ones(len(own) - window + 1, dtype=bool)
                 if before:
-                    open_ = _open(own, window, before, alive[a + k].values.to_numpy())[1]
+                    open_ = opened(len(own), window, before, alive[a + k].values.to_numpy().astype(np.int64))
                 hashes = windows(own, length, SEQ_P)
                 if length < window:
                     pos = np.unique(speakers(hashes, window - length + 1)[open_])
                     out.append((hashes[pos], np.full(len(pos), rids[a + k]), pos))
                 else:
                     pos = np.flatnonzero(open_)
-                    second = (windows(again[firsts[k] : firsts[k + 1]], length, SEQ_Q)[pos] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                    second = (windows(again[0][firsts[k] : firsts[k + 1]], length, SEQ_Q)[pos] >> np.uint64(32)).astype(np.uint32).view(np.int32)
                     out.append((hashes[pos], second, np.full(len(pos), dids[a + k]), np.full(len(pos), rids[a + k]), pos))
             if out:
                 cols = [np.concatenate(c) for c in zip(*out, strict=True)]
@@ -176,21 +179,20 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, start: int = START)
             alive = level.groupBy("rid").agg(F.collect_set("pos").alias("alive"))  # bounded by the document
             rows = docs.join(alive, "rid")
         full = length >= window
-        hashed = rows.mapInArrow(partial(_level_rows, window=window, length=length, before=before), _FULL if full else _LEVEL)
+        # Written, as splitters are sampled from it before it is dealt out.
+        hashed = materialize(rows.mapInArrow(partial(_level_rows, window=window, length=length, before=before), _FULL if full else _LEVEL), f"hashes-{length}")
         key = ["h", "g", "did", "pos"] if full else ["h", "rid", "pos"]
         ranged = hashed.repartitionByRange(*key).sortWithinPartitions(*key)
-        spent = level
+        if level is not None:
+            drop(level)
+        level = materialize(ranged.mapInArrow(_later, _DROPS), "later-windows") if full else materialize(ranged.mapInArrow(_repeated, "rid long, pos int"), f"repeated-{length}")
+        drop(hashed)
         if full:
-            found = materialize(ranged.mapInArrow(_later, _DROPS), "later-windows")
             break
-        level = materialize(ranged.mapInArrow(_repeated, "rid long, pos int"), f"repeated-{length}")
-        if spent is not None:
-            drop(spent)
         if level.isEmpty():
             return level
         length, before = 2 * length, length
-    if spent is not None:
-        drop(spent)
+    found = level
     # One row a range: does the range before it (with rows) end on the window that it begins with?
     ends = found.filter("edge = 2").select("part", F.struct("h", "g").alias("end")).withColumn("previous", F.lag("end").over(W.orderBy("part"))).select("part", "previous")
     heads = found.filter("edge = 1").join(ends, "part").filter(F.struct("h", "g") == F.col("previous"))
