@@ -71,7 +71,7 @@ def counts(rows: DataFrame) -> DataFrame:
     """kind (status or category), value, n over all rows, whatever filter is on; values without a case too."""
     spark = rows.sparkSession
     dim = spark.createDataFrame([("status", s) for s in STATUSES] + [("category", c) for c in CATEGORIES], "kind string, value string")
-    seen = rows.select(F.explode(F.array(F.struct(F.lit("status").alias("kind"), F.col("status").alias("value")), F.struct(F.lit("category"), F.col("category")))).alias("x"))
+    seen = rows.select(F.explode(F.array(F.struct(F.lit("status").alias("kind"), F.col("status").alias("value")), F.struct(F.lit("category").alias("kind"), F.col("category").alias("value")))).alias("x"))
     n = seen.groupBy("x.kind", "x.value").agg(F.count(F.lit(1)).alias("n"))
     return dim.join(n, ["kind", "value"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 

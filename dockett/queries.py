@@ -407,4 +407,4 @@ def score_final(spark, sf_dir):
     return scoring.score(cases, _submitted(cases))
 
 
-from . import reader_queries  # noqa: E402, F401  they register their queries
+from . import check_queries, desk_queries, reader_queries  # noqa: E402, F401  they register their queries
