@@ -1,7 +1,10 @@
 import json
 
-from dockett.operators import perturb, scoring
-from dockett.plans import harness
+from pyspark.sql import functions as F
+
+from dockett.functions import labels
+from dockett.operators import classify, layout, perturb, reports, scoring
+from dockett.plans import harness, run
 from dockett.sources import inbox
 
 SI = "SHIPPING INSTRUCTION\n====\nShipper: ACME PTE. LTD.\nConsignee: A VERY LONG COMPANY NAME TRADING CO\nNotify Party: GAMMA\nPort of Loading: PENANG\nPort of Discharge: OSLO\nNo. of Containers: 2 x 40'HC\nGross Weight (KG): 21,577 KG\n"
@@ -54,16 +57,17 @@ def test_scores(spark):
 def test_inbox(spark, tmp_path):
     (tmp_path / "inbox").mkdir()
     (tmp_path / "attachments").mkdir()
-    for i, names in enumerate((["a_SI.txt", "a_BL.txt", "gone.txt"], None, ["empty.txt", "scan.png"])):
+    for i, names in enumerate((["a_SI.txt", "a_BL.txt", "gone.txt"], None, ["empty.txt", "scan.png", "nothing.txt"])):
         (tmp_path / f"inbox/email_{i:03d}.json").write_text(json.dumps({"email_id": f"email_{i:03d}", "from": None if i else "x@y.z", "subject": "s", "body": None, "attachments": names and [f"attachments/{n}" for n in names]}))
     (tmp_path / "attachments/a_SI.txt").write_bytes(SI.encode())
     (tmp_path / "attachments/a_BL.txt").write_bytes(b"caf\xe9: 1")
     (tmp_path / "attachments/empty.txt").write_bytes(b" \n")
     (tmp_path / "attachments/scan.png").write_bytes(b"\x89PNG")
+    (tmp_path / "attachments/nothing.txt").write_bytes(b"")
     mails = inbox.emails(spark, str(tmp_path))
-    assert [(r.email_id, r.sender, r.body, len(r.attachments)) for r in mails.orderBy("email_id").collect()] == [("email_000", "x@y.z", "", 3), ("email_001", "", "", 0), ("email_002", "", "", 2)]
+    assert [(r.email_id, r.sender, r.body, len(r.attachments)) for r in mails.orderBy("email_id").collect()] == [("email_000", "x@y.z", "", 3), ("email_001", "", "", 0), ("email_002", "", "", 3)]
     got = {r.path.split("/")[-1]: r for r in inbox.attachments(spark, str(tmp_path), mails).collect()}
-    assert {k: r.unreadable for k, r in got.items()} == {"a_SI.txt": None, "a_BL.txt": None, "gone.txt": "missing_file", "empty.txt": "empty_file", "scan.png": "unsupported"}
+    assert {k: r.unreadable for k, r in got.items()} == {"a_SI.txt": None, "a_BL.txt": None, "gone.txt": "missing_file", "empty.txt": "empty_file", "scan.png": "unsupported", "nothing.txt": "empty_file"}
     assert got["a_SI.txt"].text == SI and got["a_BL.txt"].text == "caf�: 1" and inbox.emails(spark, str(tmp_path), 1).count() == 1
 
 
@@ -72,3 +76,61 @@ def test_unseen_wordings_are_read(spark):
     text = SI.replace("Port of Discharge", "Final Destination Port").replace("Consignee:", "Consigneee Name:")
     got = {r.field: r.raw for r in perturb.reads(docs(spark, [(1, "SI", text)])).filter("present").collect()}
     assert got["port_of_discharge"] == "OSLO" and got["consignee"] == "A VERY LONG COMPANY NAME TRADING CO"
+
+
+def test_run_from_files(spark, tmp_path):
+    """Mails and attachments on disk, decided, reported and written."""
+    (tmp_path / "inbox").mkdir()
+    (tmp_path / "attachments").mkdir()
+    ask = "Attached are the SI and draft BL. Please compare the SI and draft BL."
+    mails = [("TO CONFIRM DOCS", ask, ["a_SI.txt", "a_BL.txt"]), ("TO CONFIRM DOCS", ask, ["b_SI.txt", "b_BL.txt"]), ("TO CONFIRM DOCS", ask, ["a_SI.txt", "nothing_BL.txt"]), ("You have won", "Congratulations!!! Claim now, click here.", []), ("", "", None)]
+    for i, (subject, body, names) in enumerate(mails):
+        (tmp_path / f"inbox/email_{i:03d}.json").write_text(json.dumps({"email_id": f"email_{i:03d}", "from": "a@b.c", "subject": subject, "body": body, "attachments": names and [f"attachments/{n}" for n in names]}))
+    for name, text in (("a_SI", SI), ("a_BL", BL), ("b_SI", SI), ("b_BL", BL.replace("OSLO", "BERGEN")), ("nothing_BL", "")):
+        (tmp_path / f"attachments/{name}.txt").write_text(text)
+    read = inbox.emails(spark, str(tmp_path))
+    cases = run.run(read, inbox.attachments(spark, str(tmp_path), read))
+    got = {r.case_id: (r.category, r.status, r.review_reason, r.defect_fields) for r in cases.collect()}
+    assert got == {
+        "email_000": ("BL_COMPARISON", "OK", None, ""), "email_001": ("BL_COMPARISON", "MISMATCH", None, "port_of_discharge"), "email_002": ("BL_COMPARISON", "NEEDS_REVIEW", "unreadable", ""),
+        "email_003": ("SPAM", "OK", None, ""), "email_004": ("GENERAL", "OK", None, ""),
+    }
+    run.write(cases, reports.run_report(cases), str(tmp_path / "out"))
+    sent = {r.case_id: r for r in spark.read.json(str(tmp_path / "out/submission")).collect()}
+    assert sent["email_001"].defect_fields == ["port_of_discharge"] and sent["email_001"].has_defect and len(sent) == 5
+    counts = {(r.kind, r.value): r.n for r in spark.read.json(str(tmp_path / "out/metrics")).collect()}
+    assert counts["total", "emails"] == 5 and counts["total", "documents_read"] == 6 and counts["total", "documents_unreadable"] == 1 and counts["status", "OK"] == 3
+
+
+def test_nothing_is_lost_without_a_decision(spark):
+    rows = spark.createDataFrame([(1, None, None), (2, "BL_COMPARISON", None), (3, "SPAM", None)], "case_id long, category string, status string")
+    empty = F.lit(None)
+    full = rows.withColumns({c: empty.cast("string") for c in ("review_reason", "defect_fields", "decided_by")} | {"category_confidence": empty.cast("double"), "has_defect": empty.cast("boolean"), "n_docs": empty.cast("long"), "n_unreadable": empty.cast("long")})
+    assert {(r.case_id, r.status, r.review_reason) for r in run.guarded(full).collect()} == {(1, "NEEDS_REVIEW", "unreadable"), (2, "NEEDS_REVIEW", "unreadable"), (3, "OK", None)}
+
+
+def test_rows_hang_on_their_first_word(spark):
+    """A slope of words a point apart breaks where the first word of the row is left behind, not the word before."""
+    words = [(1, 1, f"w{i}", 10.0 * i, 10.0 * i + 5, 100.0 + i, 8.0, "Helvetica") for i in range(9)]
+    frame = spark.createDataFrame(words, "doc int, page int, text string, x0 double, x1 double, top double, size double, fontname string")
+    assert [r.row for r in layout.numbered_rows(frame).orderBy("x0").collect()] == [1, 1, 1, 1, 2, 2, 2, 2, 3]
+    assert layout.value_columns(frame).first().value_x == layout.NO_COLUMN
+    assert {(r.row, r.label, r.value) for r in layout.split_rows(frame).collect()} == {(1, "w0 w1 w2 w3", ""), (2, "w4 w5 w6 w7", ""), (3, "w8", "")}
+
+
+def test_literals_are_needed():
+    assert classify.literals(r"\bSI\b\s+AND\s+(?:THE\s+)?DRAFT\s+B/?L\b") == ["DRAFT"] and classify.literals(r"^[A-Z]{2}") is None
+    assert classify.literals(r"\bBILLING\b|\bGR\b") == ["BILLING", "GR"] and classify.literals("AB|[0-9]") is None
+
+
+def test_similar_wordings_by_brute_force(spark):
+    """The third pass over a table agrees with comparing every wording with every known one."""
+    wordings = ["Final Destination Port", "Shipper Nam", "Consignee Nme", "Gros Weight", "Port of Loadng", "Nothing alike at all", "Notify Prty", "x"]
+    got = {r.label: r.field for r in labels.with_fields(spark.createDataFrame([(w,) for w in wordings], "label string"), "label").collect()}
+    step = {r.label: r.s for r in spark.createDataFrame([(w,) for w in wordings], "label string").select("label", labels.resolve(F.col("label"))["step"].alias("s")).collect()}
+    for w in wordings:
+        if step[w] == 0:
+            k = labels.key(w)
+            scored = [(labels.weighted_ratio(k, known), -i, f) for i, (known, f) in enumerate(labels.FUZZY_POOL)] if len(k) >= 8 or len(k.split()) > 1 else []
+            best = max(scored, default=(0, 0, None))
+            assert got[w] == (best[2] if best[0] >= labels.FUZZY_CUTOFF else None)
