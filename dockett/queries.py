@@ -362,7 +362,32 @@ def case_summary(spark, sf_dir):
     return compare.by_case(_compared(spark, sf_dir)).select("case_id", "summary")
 
 
-@query()
+def _rewritten() -> str:
+    """Lines of the pairs' texts under every mode, put together again."""
+    lab = lambda i: rf"regexp_extract(raw, '^([^:]{{1,60}}?)(\s*:\s*)(.*)$', {i})"
+    unseen = " ".join(f"WHEN {o.q(f)} THEN {o.q(w)}" for f, w in perturb.UNSEEN.items())
+    party = o.among(FIELDS[:3])
+    glyph = rf"'^([^{perturb.GLYPHS}]*)([{perturb.GLYPHS}])(.*)$'"
+    wide = rf"'^(.{{1,{perturb.WRAP}}}) (.*)$'"
+    forms = {
+        "unseen_labels": f"CASE field {unseen} END || sep || value", "reflow_indented": "label || ':' || chr(10) || '    ' || value", "reflow_next_line": "label || ':' || chr(10) || value",
+        "wrapped_value": f"CASE WHEN field IN {party} AND length(value) > {perturb.WRAP} AND regexp_matches(value, {wide}) THEN label || sep || regexp_extract(value, {wide}, 1) || chr(10) || '    ' || regexp_extract(value, {wide}, 2) ELSE raw END",
+        "punct_no_colon": "label || '  ' || value", "punct_em_dash": "label || ' — ' || value", "punct_nbsp": "replace(label, ' ', chr(160)) || ':' || chr(160) || value", "punct_double_space": "label || ':  ' || value", "punct_tab": "label || ':' || chr(9) || value",
+        "case_upper_labels": "upper(label) || sep || value", "case_lower_labels": "lower(label) || sep || value", "label_inner_spaces": "replace(label, ' ', '  ') || ' :  ' || value", "label_indented": "'   ' || label || sep || value",
+        "ocr_confusions": f"label || sep || CASE WHEN regexp_matches(value, {glyph}) THEN regexp_extract(value, {glyph}, 1) || translate(regexp_extract(value, {glyph}, 2), '{perturb.GLYPHS}', '{perturb.SWAPPED}') || regexp_extract(value, {glyph}, 3) ELSE value END",
+    }
+    cases = " ".join(f"WHEN {o.q(m)} THEN {x}" for m, x in forms.items())
+    return f"""WITH {o.PAIRS}, {o.texts()}, raw AS (SELECT case_id, side, unnest(string_split(text, chr(10))) AS raw, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM doc_text),
+        cut AS (SELECT *, {lab(1)} AS label, {lab(2)} AS sep, {lab(3)} AS value, contains(raw, ':') AND NOT starts_with(raw, ' ') AS starts FROM raw),
+        own AS (SELECT *, sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY case_id, side ORDER BY line) AS block, CASE WHEN starts THEN {o.resolve(o.basic('label'))} END AS field FROM cut),
+        slot AS (SELECT case_id, side, block, row_number() OVER (PARTITION BY case_id, side ORDER BY block) AS up, row_number() OVER (PARTITION BY case_id, side ORDER BY block DESC) AS down FROM own WHERE field IS NOT NULL),
+        turn AS (SELECT a.case_id, a.side, a.block, b.block AS turned FROM slot a JOIN slot b ON a.case_id = b.case_id AND a.side = b.side AND a.down = b.up),
+        made AS (SELECT case_id, side, mode, line, CASE WHEN mode = 'reordered_fields' THEN coalesce(turned, block) ELSE block END AS place, CASE WHEN field IS NULL THEN raw ELSE CASE mode {cases} ELSE raw END END AS t
+                 FROM own LEFT JOIN turn USING (case_id, side, block) CROSS JOIN (SELECT unnest([{', '.join(map(o.q, perturb.FAMILIES))}]) AS mode))
+        SELECT case_id, side, mode, md5(string_agg(t, chr(10) ORDER BY place, line)) AS text_md5 FROM made GROUP BY ALL"""
+
+
+@query(_rewritten())
 def perturb_texts(spark, sf_dir):
     """Every document under every mode, as a digest of its text."""
     return perturb.texts(_docs(spark, sf_dir)).select("case_id", "side", "mode", F.md5("text").alias("text_md5"))
