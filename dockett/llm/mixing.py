@@ -32,31 +32,43 @@ def _source(key: Column) -> Column:
     return F.when(key != "1", F.substring(key, F.lit(2), F.length(key)))
 
 
+def running(rows: DataFrame, value: Column) -> DataFrame:
+    """rows (source, part: ranges of sources) with low and upto, the running sum of a value in the order of sources before
+    and with each row. Only the sums of the ranges, one row each, meet in one place."""
+    order = W.partitionBy("part").orderBy("source")
+    inside = rows.withColumn("__in", F.sum(value).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    ends = inside.groupBy("part").agg(F.max("__in").alias("__end"))
+    ahead = ends.select("part", F.sum("__end").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)).alias("__ahead"))
+    zero = F.lit(0)
+    out = inside.withColumn("__before", F.coalesce(F.lag("__in").over(order), zero)).join(ahead, "part").withColumn("__ahead", F.coalesce("__ahead", zero))
+    return out.withColumns({"low": F.col("__ahead") + F.col("__before"), "upto": F.col("__ahead") + F.col("__in")}).drop("__in", "__before", "__ahead")
+
+
 def target_table(sizes: DataFrame, weights: Column | None = None) -> DataFrame:
     """(source, source_size, target, upto_low, upto) from rows (source, size): one row a source.
 
     Sources by code point, null last, weigh 1, 2, 3, repeating. They share all words by weight; a target
-    stops at REPEATS times its source's size, and what is beyond is shared again by weight. Sorted by
-    size per weight, the sources that stop are the first ones, so one running sum finds the common
-    level. upto_low and upto are cumulative shares. This table has a row a source, not a row a document.
+    stops at REPEATS times its source's size, and what is beyond is shared again by weight until none is above:
+    each turn is one aggregate. upto_low and upto are cumulative shares. Sources may be many: they are numbered and
+    summed up in ranges.
     """
     total = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    place = F.row_number().over(W.partitionBy(F.lit(0)).orderBy("source"))
-    weighed = total.select("source", "source_size", place.alias("place")).withColumn("weight", (weights if weights is not None else (F.col("place") - 1) % 3 + 1).cast("double"))
-    cap = F.lit(float(REPEATS)) * F.col("source_size")
-    every = W.partitionBy(F.lit(0))
-    up = W.partitionBy(F.lit(0)).orderBy(F.col("cap") / F.col("weight"), "place")
-    before = up.rowsBetween(W.unboundedPreceding, -1)
-    rest = F.sum("weight").over(up.rowsBetween(0, W.unboundedFollowing))
-    levels = weighed.withColumn("cap", cap).withColumn("level", (F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / rest)
-    # The level of the first source that does not stop holds for all after it.
-    stops = levels.withColumn("open", F.col("level") * F.col("weight") <= F.col("cap"))
-    common = stops.withColumn("common", F.min(F.when(F.col("open"), F.struct(F.col("cap") / F.col("weight"), F.col("place"), F.col("level")))).over(every)["level"])
-    target = F.when(F.col("common").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("common") * F.col("weight")))
-    shared = common.withColumn("target", target).withColumn("share", F.col("target") / F.nullif(F.sum("target").over(every), F.lit(0.0)))
-    running = F.sum("share").over(W.partitionBy(F.lit(0)).orderBy("place"))
-    top = F.when(F.col("place") == F.max("place").over(every), F.lit(1.0)).otherwise(running)
-    return shared.withColumn("upto", top).select("source", "source_size", "target", F.coalesce(F.lag("upto").over(W.partitionBy(F.lit(0)).orderBy("place")), F.lit(0.0)).alias("upto_low"), "upto")
+    ranged = materialize(total.repartitionByRange("source").withColumn("part", F.spark_partition_id()), "source-sizes")
+    placed = running(ranged, F.lit(1)).withColumn("place", F.col("upto")).drop("low", "upto")
+    weight = (weights if weights is not None else (F.col("place") - 1) % 3 + 1).cast("double")
+    weighed = materialize(placed.withColumns({"weight": weight, "cap": F.lit(float(REPEATS)) * F.col("source_size")}), "source-weights")
+    words, n = weighed.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.count(F.lit(1))).first()
+    exact = lambda c: F.coalesce(F.sum(c.cast("decimal(30,6)")), F.lit(0).cast("decimal(30,6)"))
+    level, stopped = 0.0, -1
+    while True:
+        stops = F.col("cap") < F.lit(level) * F.col("weight")
+        held, open_, now = weighed.agg(exact(F.when(stops, F.col("cap"))), exact(F.when(~stops, F.col("weight"))), F.count_if(stops)).first()
+        if now == stopped or not open_:
+            break
+        level, stopped = float((words - held) / open_), now
+    target = F.least("cap", F.lit(level) * F.col("weight"))
+    shared = running(weighed.withColumn("target", target), target / F.lit(float(words or 1)))
+    return shared.select("source", "source_size", "target", F.col("low").cast("double").alias("upto_low"), F.when(F.col("place") == n, 1.0).otherwise(F.col("upto")).alias("upto"))
 
 
 def schedule(sources: DataFrame, slots: int) -> DataFrame:
