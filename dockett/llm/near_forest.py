@@ -1,12 +1,12 @@
 """Near duplicates at a share of common shingles, by a forest of vantage-point trees over wide SimHashes.
 
 Two texts that share four fifths of their five-word shingles differ in about 15 % of their fingerprint's
-bits, far too many for the bounds of one tree to prune anything. So fingerprints have 256 bits, which
-keeps unrelated texts (half of the bits, give or take a thirtieth) apart at any corpus size, and several
-trees with their own vantage points place each fingerprint in one shard each, or in two if its distance
-lies within MARGIN of the border. A pair within the radius that one tree parts meets in another; the
-number of trees grows with their depth so that a pair at the radius is missed by all of them with a chance
-of about MISS.
+bits. At such a radius a single vantage point prunes nothing, as all distances from it are much alike. So
+fingerprints have 256 bits, which keeps unrelated texts (half of the bits, give or take a thirtieth) apart at any
+corpus size, a node has many vantage points, and a fingerprint goes to the shard of the nearest, and by the
+triangle bound also to those of others that are as near but for MARGIN. A pair that one tree parts meets in
+another: their number grows with the shards, about as the fourth root, so that a pair is missed by all with a
+chance of about MISS.
 
 Fingerprints only propose pairs; whether two texts are similar is decided by their sets of shingles. First
 a shard proposes stars around leaders that lie more than the radius apart, so a large group of copies is
@@ -15,6 +15,7 @@ not paired with itself. Then all pairs within the radius are compared that lie i
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from functools import partial
@@ -31,12 +32,14 @@ from .simhash import SEED, components
 
 WORDS, SHINGLE = 4, 5
 BITS = 64 * WORDS
-#: Own fingerprints in a shard, the deepest trees that are sent to all tasks, the sample they are grown on (2 MB),
-#: and fingerprints compared at once. More levels are grown inside the shards that need them.
-SHARD, DEPTH, SAMPLE, BLOCK = 1024, 14, 65_536, 256
-#: How far inside a border a fingerprint visits the outer part too; the chance that one level still parts a
-#: pair at the radius (measured in the tests); the wanted chance that all trees part it.
-MARGIN, PARTED, MISS = 6, 0.08, 0.02
+#: Own fingerprints in a shard, vantage points of a node, levels that are routed before the shards are formed (more are
+#: grown inside the shards that need them), the sample they are taken from (2 MB), and fingerprints compared at once.
+SHARD, WIDE, ROUTED, SAMPLE, BLOCK = 512, 256, 2, 65_536, 256
+#: Bits that another vantage point may lie further off than the nearest for its shard to be visited too; the chance
+#: that two fingerprints NEAR bits apart meet at a node of n points, MEET * n ** -FADE (measured in the tests); the
+#: wanted chance that all trees part them.
+MARGIN, NEAR, MEET, FADE, MISS = 2, 46, 0.9, 0.165, 0.01
+
 #: A text's own row: its id and the digest of the text; of equal sets of shingles the smallest stands for all.
 NODE = "struct<did: long, th: long>"
 
@@ -95,42 +98,76 @@ def away(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def grow(sample: np.ndarray, depth: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Vantage points and median radii of a complete tree over a sample."""
-    n = 2**depth - 1
-    points, radii, parts, rng = np.zeros((n, WORDS), dtype=np.uint64), np.full(n, BITS // 2, dtype=np.int64), {0: sample}, np.random.default_rng(seed)
-    for node in range(n):
-        own = parts.pop(node)
-        own = own if len(own) else sample
-        points[node] = sample[rng.integers(len(sample))]
-        d = away(own, points[node])
-        # Not the point itself nor its copies decide: they lie at distance 0 of a far-off middle.
-        radii[node] = int(np.median(d))
-        parts[2 * node + 1], parts[2 * node + 2] = own[d <= radii[node]], own[d > radii[node]]
-    return points, radii
+def widths_of(n: int) -> list[int]:
+    """Vantage points of the nodes of each level that cut n fingerprints into shards."""
+    parts, widths = -(-n // SHARD), []
+    while parts > 1:
+        widths.append(min(WIDE, parts))
+        parts = -(-parts // WIDE)
+    return widths
 
 
-def route(fps: np.ndarray, points: np.ndarray, radii: np.ndarray, margin: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place in fps, shard) of every visit. Both of a pair meet unless they lie more than margin apart
-    across a border."""
-    at, node = np.arange(len(fps)), np.zeros(len(fps), dtype=np.int64)
-    for _ in range(len(points).bit_length()):
-        d = away(fps[at], points[node])
-        inside, outside = d <= radii[node], d > radii[node] - margin
-        at, node = np.concatenate((at[inside], at[outside])), np.concatenate((2 * node[inside] + 1, 2 * node[outside] + 2))
-    return at, node - len(points)
+def trees_for(widths: list[int]) -> int:
+    """Trees until a pair NEAR bits apart is missed by all with chance MISS."""
+    meet = math.prod(min(0.98, MEET * n**-FADE) for n in widths)
+    return math.ceil(math.log(MISS) / math.log(1 - meet)) if widths else 1
 
 
-def trees_for(depth: int) -> int:
-    """Trees until a pair that each level parts with chance PARTED is missed by all with chance MISS."""
-    return max(1, math.ceil(math.log(MISS) / math.log(1 - (1 - PARTED) ** depth))) if depth else 1
+def nearest(fps: np.ndarray, points: np.ndarray, margin: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place in fps, place in points) of every visit: the nearest point, and those as near but for the margin. points has
+    a row of points for all, or one for each fingerprint."""
+    at, to = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for i in range(0, len(fps), BLOCK):
+        d = away(fps[i : i + BLOCK, None], points[None] if points.ndim == 2 else points[i : i + BLOCK])
+        a, b = np.nonzero(d <= d.min(axis=1, keepdims=True) + margin)
+        at.append(a + i)
+        to.append(b)
+    return np.concatenate(at), np.concatenate(to)
 
 
-def _visits(batches: Iterator[pa.RecordBatch], forest: list) -> Iterator[pa.RecordBatch]:
+def grow(sample: np.ndarray, widths: list[int], seed: int) -> list[np.ndarray]:
+    """The vantage points of a tree's first levels, drawn from a sample: (n, words) and, below, (n, m, words)."""
+    rng = np.random.default_rng(seed)
+    tree = [sample[rng.choice(len(sample), size=widths[0], replace=len(sample) < widths[0])]]
+    if len(widths) > 1:
+        own = np.zeros(len(sample), dtype=np.int64)
+        for i in range(0, len(sample), BLOCK):
+            own[i : i + BLOCK] = away(sample[i : i + BLOCK, None], tree[0][None]).argmin(axis=1)
+        parts = [sample[own == c] for c in range(widths[0])]
+        parts = [p if len(p) >= widths[1] else sample for p in parts]
+        tree.append(np.stack([p[rng.choice(len(p), size=widths[1], replace=len(p) < widths[1])] for p in parts]))
+    return tree
+
+
+def route(fps: np.ndarray, tree: list[np.ndarray], margin: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place in fps, shard) of every visit."""
+    at, shard = nearest(fps, tree[0], margin)
+    if len(tree) > 1:
+        step, parts = 1 << 14, []
+        for i in range(0, len(at), step):
+            a, to = nearest(fps[at[i : i + step]], tree[1][shard[i : i + step]], margin)
+            parts.append((at[i + a], shard[i + a] * tree[1].shape[1] + to))
+        at, shard = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    return at, shard
+
+
+_TREES: dict[tuple[bytes, int], list[np.ndarray]] = {}
+
+
+def _visits(batches: Iterator[pa.RecordBatch], sample: bytes, widths: list[int], trees: int) -> Iterator[pa.RecordBatch]:
+    points, name = np.frombuffer(sample, dtype=np.uint64).reshape(-1, WORDS), hashlib.sha256(sample).digest()
     for batch in batches:
         fps = np.frombuffer(b"".join(batch.column("fp").to_pylist()), dtype=np.uint64).reshape(-1, WORDS)
-        for tree, (points, radii) in enumerate(forest):
-            at, shard = route(fps, points, radii, MARGIN)
+        for tree in range(trees):
+            if widths:
+                # Trees follow from the sample, so each worker grows its own; those of another table make room.
+                if (name, tree) not in _TREES:
+                    if _TREES and next(iter(_TREES))[0] != name:
+                        _TREES.clear()
+                    _TREES[name, tree] = grow(points, widths, tree)
+                at, shard = route(fps, _TREES[name, tree], MARGIN)
+            else:
+                at, shard = np.arange(len(fps)), np.zeros(len(fps), dtype=np.int64)
             take = pa.array(at)
             yield pa.RecordBatch.from_arrays([pa.array(shard + (tree << 32)), *[c.take(take) for c in batch.columns]], names=["shard", *batch.schema.names])
 
@@ -196,16 +233,16 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.select("u", "v", "a", "b").mapInArrow(partial(_similar, similarity=similarity), f"u {NODE}, v {NODE}")
 
 
-def divided(fps: np.ndarray, levels: int, seed: int) -> Iterator[np.ndarray]:
-    """Places of the parts of a shard that a tree of so many levels, grown on the shard itself, makes."""
-    if not levels or len(fps) <= SHARD:
+def divided(fps: np.ndarray, widths: list[int], seed: int) -> Iterator[np.ndarray]:
+    """Places of the parts of a shard that further levels, grown on the shard itself, make."""
+    if not widths or len(fps) <= SHARD:
         yield np.arange(len(fps))
         return
-    rng = np.random.default_rng(seed)
-    points, radii = grow(fps[rng.choice(len(fps), size=min(len(fps), SAMPLE), replace=False)], min(levels, DEPTH), seed)
-    at, part = route(fps, points, radii, MARGIN)
+    at, part = nearest(fps, grow(fps, widths[:1], seed)[0], MARGIN)
     order = np.argsort(part, kind="stable")
-    yield from np.split(at[order], np.flatnonzero(np.diff(part[order])) + 1)
+    for own in np.split(at[order], np.flatnonzero(np.diff(part[order])) + 1):
+        for inner in divided(fps[own], widths[1:], seed + 1):
+            yield own[inner]
 
 
 class Found(NamedTuple):
@@ -224,15 +261,12 @@ def near_pairs(docs: DataFrame, similarity: float, shingle: int, id_col: str, te
     classes = materialize(fps.groupBy(*KEY).agg(F.min(F.struct("did", "th")).alias("low")), "wide-classes")
     real = classes.filter("size > 0").select(F.col("low").alias("node"), "fp", "size")
     n = real.count()
-    levels = (n // SHARD).bit_length()
-    depth = min(DEPTH, levels)
+    widths = widths_of(n)
     share = min(1.0, SAMPLE / max(n, 1))
     digest = F.xxhash64("fp", F.lit(1))
     pick = real.filter(digest <= F.lit(int(share * (2**64 - 1)) - 2**63)) if share < 1 else real
     drawn = pick.select("fp").orderBy(digest, "fp").limit(2 * SAMPLE).collect()
-    sample = np.frombuffer(b"".join(sorted(bytes(r.fp) for r in drawn)), dtype=np.uint64).reshape(-1, WORDS)
-    # depth and sample are bounded, and so are the trees.
-    forest = [grow(sample, depth, seed) for seed in range(trees_for(levels))] if len(sample) else []
+    sample = b"".join(sorted(bytes(r.fp) for r in drawn))
 
     def columns(shard: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Table]:
         node = shard.column("node").combine_chunks()
@@ -247,7 +281,7 @@ def near_pairs(docs: DataFrame, similarity: float, shingle: int, id_col: str, te
     def led(shard: pa.Table) -> pa.Table:
         own, sizes, nodes, _ = columns(shard)
         one, other = [], []
-        for at in divided(own, levels - depth, shard.column("shard")[0].as_py()):
+        for at in divided(own, widths[ROUTED:], shard.column("shard")[0].as_py()):
             leaders, members = stars(own[at], sizes[at], radius, similarity)
             one.append(at[leaders])
             other.append(at[members])
@@ -258,14 +292,14 @@ def near_pairs(docs: DataFrame, similarity: float, shingle: int, id_col: str, te
         root = whole.column("root").combine_chunks()
         roots = np.unique(np.rec.fromarrays([root.field(f).to_numpy() for f in ("did", "th")]), return_inverse=True)[1].reshape(-1)
         one, other = [], []
-        for at in divided(own, levels - depth, shard.column("shard")[0].as_py()):
+        for at in divided(own, widths[ROUTED:], shard.column("shard")[0].as_py()):
             a, b = across(own[at], sizes[at], roots[at], radius, similarity)
             one.append(at[a])
             other.append(at[b])
         return table(nodes, one, other)
 
     def visits(nodes: DataFrame, more: str = "") -> DataFrame:
-        return nodes.mapInArrow(partial(_visits, forest=forest), f"shard long, node {NODE}, fp binary, size int{more}").groupBy("shard")
+        return nodes.mapInArrow(partial(_visits, sample=sample, widths=widths[:ROUTED], trees=trees_for(widths)), f"shard long, node {NODE}, fp binary, size int{more}").groupBy("shard")
 
     pair = f"u {NODE}, v {NODE}"
     first = materialize(visits(real).applyInArrow(led, pair).distinct(), "star-pairs")

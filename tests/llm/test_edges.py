@@ -168,6 +168,8 @@ def test_a_long_list_of_rules_agrees_with_a_short_filter(spark, monkeypatch):
 def test_local_levels_of_the_forest():
     rng = np.random.default_rng(3)
     fps = rng.integers(0, 2**64, (6000, near_forest.WORDS), dtype=np.uint64)
-    parts = list(near_forest.divided(fps, 3, 1))
-    assert len(parts) == 8 and set(np.concatenate(parts).tolist()) == set(range(6000)) and max(map(len, parts)) < 3000
-    assert [len(p) for p in near_forest.divided(fps, 0, 1)] == [6000]
+    parts = list(near_forest.divided(fps, [8, 4], 1))
+    assert 8 <= len(parts) <= 32 and set(np.concatenate(parts).tolist()) == set(range(6000)) and max(map(len, parts)) < 3000
+    assert [len(p) for p in near_forest.divided(fps, [], 1)] == [6000]
+    assert near_forest.widths_of(0) == near_forest.widths_of(near_forest.SHARD) == [] and near_forest.trees_for([]) == 1
+    assert near_forest.widths_of(near_forest.SHARD * 300) == [256, 2] and near_forest.widths_of(near_forest.SHARD << 24) == [256, 256, 256]

@@ -203,18 +203,18 @@ def test_recall_at_the_threshold(spark, shared):
     assert all(n > 150 and caught / n > 0.98 for caught, n in found)
 
 
-def test_pairs_parted_by_a_level():
+@pytest.mark.parametrize("widths", [[16], [64], [256], [16, 8]])
+def test_pairs_meet_as_often_as_assumed(widths):
     rng = np.random.default_rng(0)
-    fps = rng.integers(0, 2**64, (8000, near_forest.WORDS), dtype=np.uint64)
+    fps = rng.integers(0, 2**64, (6000, near_forest.WORDS), dtype=np.uint64)
     bits = np.unpackbits(fps[:2000].view(np.uint8), axis=1)
     for row in bits:
-        row[rng.choice(near_forest.BITS, near_forest.radius_of(0.8), replace=False)] ^= 1
-    other, depth = np.packbits(bits, axis=1).view(np.uint64), 6
-    points, radii = near_forest.grow(fps, depth, 1)
-    a = set(zip(*map(list, near_forest.route(fps[:2000], points, radii, near_forest.MARGIN)), strict=True))
-    at, shard = near_forest.route(other, points, radii, near_forest.MARGIN)
-    met = len({i for i, s in zip(at, shard, strict=True) if (i, s) in a}) / 2000
-    assert 1 - met ** (1 / depth) < near_forest.PARTED + 0.02
+        row[rng.choice(near_forest.BITS, near_forest.NEAR, replace=False)] ^= 1
+    other, tree = np.packbits(bits, axis=1).view(np.uint64), near_forest.grow(fps, widths, 1)
+    own = set(zip(*map(list, near_forest.route(fps[:2000], tree, near_forest.MARGIN)), strict=True))
+    at, shard = near_forest.route(other, tree, near_forest.MARGIN)
+    met = len({i for i, s in zip(at, shard, strict=True) if (i, s) in own}) / 2000
+    assert met > np.prod([near_forest.MEET * n**-near_forest.FADE for n in widths]) - 0.03
 
 
 def test_rejected_rows_are_those_predicted(spark, sf_dir):
