@@ -59,9 +59,24 @@ def _shuffles_dropped(spark: SparkSession):
         spark.conf.set(key, before)
 
 
+#: Bytes of rows that go to Python at once.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches for Python hold BATCH_BYTES at most (Spark's own bound is eight times that), so that some very long texts
+    among the rows do not fill an executor. Stays set, as plans read it when they run."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = spark.conf.get(key, "64m").lower().rstrip("b")
+    unit = {"k": 10, "m": 20, "g": 30}.get(given[-1:], 0)
+    if int(given.rstrip("kmg")) << unit > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, so that lost executors cost no more than one stage."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = shared_path(spark, name)
     with _shuffles_dropped(spark):
         df.write.parquet(path)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import shared_path
+from .common import bounded_batches, shared_path
 
 BLOCK_BYTES, SHARD_BYTES, SHARD_ROWS, BLOOM_BITS, BLOOM_PROBES, LOOKUP_IDS, MOST_READERS = 1 << 16, 64 << 20, 1 << 18, 10, 6, 10_000, 100_000
 _FOOTER, _INDEX, _MAGIC = struct.Struct("<6QI4s"), struct.Struct("<17sQI"), b"SST1"
@@ -305,6 +305,7 @@ def write_table(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str |
     table gives an empty manifest; further columns are ignored. The tokenizer file must be at the same path
     on every executor; folder is a new one in the shared folder by default.
     """
+    bounded_batches(docs.sparkSession)
     folder = folder or shared_path(docs.sparkSession, "tokens")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]

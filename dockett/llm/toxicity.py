@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from .common import bounded_batches
+
 #: Labelled ids that are learned from at most (those with the smallest digests), one text each. What is learned
 #: follows from significance alone; more than LEXICON_ROWS terms or phrases (some 100 bytes each) are an error.
 LEARN_ROWS, LEXICON_ROWS = 12_000, 500_000
@@ -216,6 +218,7 @@ def fold_of(doc_id) -> F.Column:
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
     """A lexicon from labelled rows of docs outside fold 0: about LEARN_ROWS ids at most, chosen by digest. Of rows
     that repeat an id the smallest text is learned from, null as empty."""
+    bounded_batches(docs.sparkSession)
     given = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = given.count()
     share = min(1.0, LEARN_ROWS / max(n, 1))
@@ -236,7 +239,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         near = _doc_counts(texts.mapInArrow(partial(_near, lexicon=rough), "term string, toxic int"))
         rough.exceptions = frozenset(r.term for r in _bounded(near.filter((F.col("b") >= 2) & (F.col("b") / clean > F.col("a") / toxic * 0.5)).select("term")))
         used = _bounded(_doc_counts(texts.mapInArrow(partial(_used, lexicon=rough), "term string, toxic int")).withColumn("g", g).filter(F.col("g") >= SIGNIFICANT))
-        lexicon = Lexicon(choose([(r.term, r.a, r.b, r.g) for r in used], toxic, clean), rough.exceptions)
+        lexicon = Lexicon(choose([(r.term, r.a, r.b, r.g) for r in used], toxic, clean))
+        # Phrases around words that are no terms after all except nothing.
+        automaton = lexicon.automaton()
+        lexicon.exceptions = frozenset(p for p in rough.exceptions if any(True for _ in hits(p, automaton)))
         # One row an id, so bounded as the ids are; sorted, so that reruns add up in the same order.
         weighed = rows.mapInArrow(partial(_weighed, lexicon=lexicon), "doc_id long, toxic int, weight double, length long").toPandas().sort_values("doc_id")
         x = np.column_stack(features(weighed.weight.to_numpy(), weighed.length.to_numpy()))
