@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from dockett.llm import common, edit_counts, exact_dedup, mixing, near_forest, piece_sampling, simhash, sstable, substring_dedup, topk, toxicity, url_filter
+from dockett.llm import common, edit_counts, exact_dedup, language, lexical, mixing, near_forest, piece_sampling, simhash, sstable, substring_dedup, topk, toxicity, url_filter, vector_codes
 from dockett.llm.common import public_tokenizer
 
 CLASH = ["norm", "did", "th", "fp", "key", "score", "__row", "__key", "__id", "copies", "taken", "term", "h", "pos", "size", "toxic", "rid", "low", "node", "root", "by", "a.b"]
@@ -52,6 +52,7 @@ def entries(docs, labels):
         "toxicity": lambda: toxicity.toxicity(docs, labels), "edits": lambda: edit_counts.edit_aware_counts(docs, edit_counts.scripted_edits(docs), ranks, public_tokenizers.PATTERN),
         "pieces": lambda: piece_sampling.sampled_pieces(docs, pieces, k=1), "windows": lambda: substring_dedup.substring_dedup(docs), "simhash": lambda: simhash.near_groups(docs),
         "near": lambda: near_forest.near_duplicates(docs), "urls": lambda: url_filter.url_filter(docs.withColumnsRenamed({"doc_id": "page_id", "text": "url"})),
+        "languages": lambda: language.languages(docs, pieces),
     }
 
 
@@ -173,3 +174,22 @@ def test_local_levels_of_the_forest():
     assert [len(p) for p in near_forest.divided(fps, [], 1)] == [6000]
     assert near_forest.widths_of(0) == near_forest.widths_of(near_forest.SHARD) == [] and near_forest.trees_for([]) == 1
     assert near_forest.widths_of(near_forest.SHARD * 300) == [256, 2] and near_forest.widths_of(near_forest.SHARD << 24) == [256, 256, 256]
+
+
+VECTOR_CLASH = ["v", "copy", "copies", "tile", "query", "group", "path", "embedding_", "part", "entry", "place", "limb", "total", "code", "error", "__label", "__null", "a.b"]
+
+
+def test_vectors_beside_clashing_columns(spark):
+    rng = np.random.default_rng(8)
+    data = [(i, rng.normal(size=16).tolist(), 1) for i in range(60)]
+    bare = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")
+    clash = spark.createDataFrame([(*d, *["x"] * len(VECTOR_CLASH)) for d in data], "vec_id long, embedding array<double>, label int, " + ", ".join(f"`{c}` string" for c in VECTOR_CLASH))
+    best = lambda t: sorted(map(tuple, topk.exact_top_k(topk.integers(t), topk.integers(t).filter("vec_id % 50 = 0"), 3).collect()))
+    codes = lambda t: sorted(map(tuple, vector_codes.compressed(t).collect()))
+    assert best(bare) == best(clash) and codes(bare) == codes(clash)
+
+
+def test_search_beside_clashing_columns(docs):
+    bare = docs.select("doc_id", "text")
+    found = lambda t: sorted(map(tuple, lexical.search(t.filter("doc_id in (1, 5, 9)").withColumnRenamed("doc_id", "item_id"), t, 4).collect()), key=str)
+    assert found(docs) == found(bare) and len(found(bare)) == 12
