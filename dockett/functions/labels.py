@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,6 +59,10 @@ RULES: list[tuple[str | None, str]] = [
     (None, r"^(B\s*L|BILL OF LADING)\s*(NO|NUMBER)"),
 ]
 FUZZY_CUTOFF, FUZZY_KEY_CHARS = 88.0, 6
+# What token and partial ratios count, and how many times longer one text is where each is taken.
+TOKENS, PARTIAL, PARTIAL_FAR, LONGER, MUCH_LONGER = 0.95, 0.9, 0.6, 1.5, 8
+#: Keys compared at once, and remembered by a worker.
+BATCH, REMEMBERED = 4096, 200_000
 
 
 def key(text: str) -> str:
@@ -81,14 +89,22 @@ def resolve(label: Column) -> Column:
     return chain.otherwise(answer(None, 0))
 
 
+def _places(text: str) -> dict[str, int]:
+    """For each character a bit set of its places."""
+    found: dict[str, int] = {}
+    for i, c in enumerate(text):
+        found[c] = found.get(c, 0) | 1 << i
+    return found
+
+
 def _common(a: str, b: str) -> int:
-    """Length of the longest common subsequence."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        before = 0
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+    """Length of the longest common subsequence: one bit a character of a, all moved on at once by each one of b."""
+    places, all_ = _places(a), (1 << len(a)) - 1
+    row = all_
+    for c in b:
+        hit = row & places.get(c, 0)
+        row = (row + hit | row - hit) & all_
+    return len(a) - row.bit_count()
 
 
 def ratio(a: str, b: str) -> float:
@@ -101,6 +117,8 @@ def partial_ratio(a: str, b: str) -> float:
     a, b = sorted((a, b), key=len)
     if not a:
         return 100.0 if not b else 0.0
+    if a in b:
+        return 100.0
     cuts = {b[max(0, i) : i + len(a)] for i in range(1 - len(a), len(b))}
     return max(ratio(a, c) for c in cuts)
 
@@ -133,33 +151,107 @@ def weighted_ratio(a: str, b: str) -> float:
         return 0.0
     longer = max(len(a), len(b)) / min(len(a), len(b))
     whole = ratio(a, b)
-    if longer < 1.5:
-        return max(whole, 0.95 * token_ratio(a, b))
-    scale = 0.9 if longer <= 8 else 0.6
-    return max(whole, scale * partial_ratio(a, b), 0.95 * scale * partial_token_ratio(a, b))
-
-
-def most_similar(k: str) -> str | None:
-    """The field of the most similar known wording at the cutoff or above, first of equals; short keys have none."""
-    if len(k) < 8 and len(k.split()) < 2:
-        return None
-    best, field = FUZZY_CUTOFF, None
-    for wording, f in FUZZY_POOL:
-        score = weighted_ratio(k, wording)
-        if score > best or (score == best and field is None):
-            best, field = score, f
-    return field
+    if longer < LONGER:
+        return max(whole, TOKENS * token_ratio(a, b))
+    scale = PARTIAL if longer <= MUCH_LONGER else PARTIAL_FAR
+    return max(whole, scale * partial_ratio(a, b), TOKENS * scale * partial_token_ratio(a, b))
+
+
+def _counts(texts: list[str]) -> np.ndarray:
+    """How often each of the letters, digits and the space is in each text."""
+    codes = np.frombuffer("".join(texts).encode("ascii", "replace"), dtype=np.uint8) & 63
+    row = np.repeat(np.arange(len(texts)), list(map(len, texts)))
+    return np.bincount(row * 64 + codes, minlength=64 * len(texts)).reshape(-1, 64).astype(np.int16)
+
+
+class Candidates:
+    """The known wordings, and for keys those that can reach the cutoff at all.
+
+    A common subsequence has no more of a character than either text, which bounds the ratios from above, of the whole
+    texts and of their sets of tokens alike; and where tokens are shared, those alone are compared by their lengths.
+    Of wordings shorter than the piece of a text in which one missing character costs too much, only whole ones count.
+    """
+
+    def __init__(self, pool: list[str]) -> None:
+        self.pool = pool
+        self.sizes, self.counts = np.array(list(map(len, pool))), _counts(pool)
+        self.tokens: dict[str, int] = {}
+        for i, wording in enumerate(pool):
+            for t in wording.split():
+                self.tokens[t] = self.tokens.get(t, 0) | 1 << i
+        self.sets = [" ".join(sorted(set(w.split()))) for w in pool]
+        self.set_sizes, self.set_counts = np.array(list(map(len, self.sets))), _counts(self.sets)
+
+    def of(self, keys: list[str]) -> Iterator[tuple[int, list[int]]]:
+        """Numbers of keys and of the wordings that may be similar to them, in order."""
+        sizes, sets = np.array(list(map(len, keys)))[:, None], [" ".join(sorted(set(k.split()))) for k in keys]
+        set_sizes = np.array(list(map(len, sets)))[:, None]
+        common = lambda a, b: np.column_stack([np.minimum(a, one).sum(axis=1) for one in b])
+        whole, tokens = common(_counts(keys), self.counts), common(_counts(sets), self.set_counts)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            longer = np.maximum(sizes, self.sizes) / np.minimum(sizes, self.sizes)
+            alike = (200 * whole / (sizes + self.sizes) >= FUZZY_CUTOFF) | (TOKENS * 200 * tokens / (set_sizes + self.set_sizes) >= FUZZY_CUTOFF)
+            short = np.minimum(sizes, self.sizes)
+            inside = PARTIAL * 200 * whole / (short + whole) >= FUZZY_CUTOFF
+        close = longer < LONGER
+        found = np.where(close, alike, inside & (longer <= MUCH_LONGER))
+        # Wordings that share a token, for the comparison of what is shared with the rest.
+        shared = [reduce(or_, (self.tokens.get(t, 0) for t in k.split()), 0) for k in keys]
+        exact = PARTIAL * 100 * (2 * short - 2) / (2 * short - 1) < FUZZY_CUTOFF
+        for i in range(len(keys)):
+            mine = [int(j) for j in np.flatnonzero(found[i]) if close[i, j] or not exact[i, j] or keys[i] in self.pool[j] or self.pool[j] in keys[i]]
+            if shared[i]:
+                mine = sorted({*mine, *(j for j in range(len(self.pool)) if shared[i] >> j & 1 and close[i, j] and self._by_shared(sets[i], j))})
+            if mine:
+                yield i, mine
+
+    def _by_shared(self, tokens: str, j: int) -> bool:
+        """The shared tokens alone are similar enough to all of either side's."""
+        a, b = set(tokens.split()), set(self.sets[j].split())
+        both = len(" ".join(a & b))
+        return TOKENS * 200 * both / (both + min(len(tokens), len(self.sets[j]))) >= FUZZY_CUTOFF
+
+
+_CANDIDATES = Candidates([k for k, _ in FUZZY_POOL])
+
+
+def most_similar(keys: list[str]) -> list[str | None]:
+    """For each key the field of the most similar known wording at the cutoff or above, first of equals; short keys have
+    none. Only wordings whose upper bound reaches the cutoff are scored."""
+    out: list[str | None] = [None] * len(keys)
+    asked = [i for i, k in enumerate(keys) if len(k) >= 8 or len(k.split()) >= 2]
+    for a in range(0, len(asked), BATCH):
+        own = asked[a : a + BATCH]
+        for i, mine in _CANDIDATES.of([keys[i] for i in own]):
+            best, field = FUZZY_CUTOFF, None
+            for j in mine:
+                score = weighted_ratio(keys[own[i]], FUZZY_POOL[j][0])
+                if score > best or (score == best and field is None):
+                    best, field = score, FUZZY_POOL[j][1]
+            out[own[i]] = field
+    return out
+
+
+#: Keys that a worker has settled.
+_SETTLED: dict[str, str | None] = {}
 
 
 @F.pandas_udf(StringType())
 def _similar(keys: pd.Series) -> pd.Series:
-    return keys.map(most_similar)
+    codes, distinct = pd.factorize(keys)
+    new = [k for k in distinct if k not in _SETTLED]
+    if len(_SETTLED) + len(new) > REMEMBERED:
+        _SETTLED.clear()
+        new = list(distinct)
+    _SETTLED.update(zip(new, most_similar(new), strict=True))
+    return pd.Series(np.array([*map(_SETTLED.get, distinct), None], dtype=object)[codes], index=keys.index)
 
 
 def with_fields(df: DataFrame, label: str, into: str = "field", fuzzy: bool = True) -> DataFrame:
-    """df with the field of its label. Only distinct undecided keys are compared by similarity."""
-    given = df.withColumn("__r", resolve(F.col(label))).withColumn("__k", F.when(F.col("__r.step") == 0, basic(F.col(label))))
+    """df with the field of its label. Rows stay where they are: an undecided label's key, null for all others, goes to
+    Python in columns, where each distinct one is compared once a worker."""
+    given = df.withColumn("__r", resolve(F.col(label)))
     if not fuzzy:
-        return given.withColumn(into, F.col("__r.field")).drop("__r", "__k")
-    similar = given.select("__k").filter("__k is not null").distinct().select("__k", _similar("__k").alias("__f"))
-    return given.join(similar, "__k", "left").withColumn(into, F.coalesce("__r.field", "__f")).drop("__r", "__k", "__f")
+        return given.withColumn(into, F.col("__r.field")).drop("__r")
+    similar = _similar(F.when(F.col("__r.step") == 0, basic(F.col(label))))
+    return given.withColumn("__f", similar).withColumn(into, F.coalesce("__r.field", "__f")).drop("__r", "__f")

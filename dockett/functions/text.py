@@ -9,17 +9,19 @@ from ..constants import NUMERIC_FIELDS, PARTY_FIELDS, PORT_FIELDS
 
 # Words that stand for no value, legal forms of companies, words that decorate a port.
 BLANK_WORDS = ["", "-", "--", "N/A", "NA", "NIL", "NONE", "NULL", "TBA", "TBC", "TBD", "TO BE ADVISED", "TO BE CONFIRMED", "PENDING", "???", "?", "XXX", "XXXX"]
-LEGAL_FORMS = (
-    "PTE PTY LTD LTDA LIMITED LLC LLP PLC INC INCORPORATED CORP CORPORATION CO COMPANY GMBH AG SA SAS SARL SRL SPA NV BV AB AS OY "
-    "SDN BHD FZE FZC FZ DMCC JLT WLL UAB OOO ZAO PT TBK JSC JOINT STOCK PVT PRIVATE GROUP HOLDINGS HOLDING"
-).split()
+LEGAL_FORMS = [
+    "PTE", "PTY", "LTD", "LTDA", "LIMITED", "LLC", "LLP", "PLC", "INC", "INCORPORATED", "CORP", "CORPORATION", "CO", "COMPANY", "GMBH", "AG", "SA", "SAS", "SARL", "SRL", "SPA", "NV",
+    "BV", "AB", "AS", "OY", "SDN", "BHD", "FZE", "FZC", "FZ", "DMCC", "JLT", "WLL", "UAB", "OOO", "ZAO", "PT", "TBK", "JSC", "JOINT", "STOCK", "PVT", "PRIVATE", "GROUP", "HOLDINGS", "HOLDING",
+]
 PORT_NOISE = ["PORT", "OF", "SEAPORT", "TERMINAL"]
-# Patterns of placeholders, port codes, figures, container sizes and weight units.
-BLANK_PATTERN = r"(?i)^[\s_?\-.*x]*(?:MT|MTS|KG|KGS|TON|TONS)?[\s_?\-.*]*$"
+# Units and characters that stand for no value, ends of lines, patterns of port codes, figures, container sizes and weight units.
+BLANK_UNITS = ["MT", "MTS", "KG", "KGS", "TON", "TONS"]
+_PLACEHOLDERS = " \t\n\x0b\x0c\r_?-.*"
+LINE_ENDS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 LOCODE = r"\(\s*([A-Z]{2}[A-Z0-9]{3})\s*\)"
 NUMBER = r"[-+]?\d[\d,\s]*(?:\.\d+)?"
 SIZE = r"(?:(?:20|40|45)\s*(?:'|’|FT)?\s*(?:GP|HC|HQ|DV|DC|RF|RH|OT|FR|TK|SD|SH|ST|STD|FCL|NOR)\b|(?:20|40|45)\s*(?:'|’)|[24L][0-9A-Z][A-Z]\d\b)"
-NUMBER_WORDS = "ONE TWO THREE FOUR FIVE SIX SEVEN EIGHT NINE TEN ELEVEN TWELVE".split()
+NUMBER_WORDS = ["ONE", "TWO", "THREE", "FOUR", "FIVE", "SIX", "SEVEN", "EIGHT", "NINE", "TEN", "ELEVEN", "TWELVE"]
 WEIGHT_UNIT = r"(?i)\b(KGS?|KILOS?|KILOGRAMS?|MTS?|TONS?|TONNES?)\b"
 UNIT_TAIL = r"\s*(?:CONTAINERS?|CNTRS?|CTRS?)?\s*$"
 
@@ -38,15 +40,22 @@ def basic(s: Column) -> Column:
 
 
 def is_blank(s: Column) -> Column:
-    """Null, a word or pattern that stands for no value, or nothing but placeholder characters."""
+    """Null, a word that stands for no value, or nothing but placeholder characters around a unit of weight.
+
+    A text consists of some characters alone if nothing is left when they are trimmed off, which costs no more than a
+    look at its ends.
+    """
     t = strip(s)
-    return s.isNull() | F.upper(t).isin(BLANK_WORDS) | t.rlike(BLANK_PATTERN) | (F.regexp_replace(t, r"(?U)[\s_?\-.*/]", "") == "")
+    unit = F.ltrim(F.rtrim(t, F.lit(_PLACEHOLDERS)), F.lit(_PLACEHOLDERS + "xX"))
+    return s.isNull() | F.upper(t).isin(BLANK_WORDS) | F.upper(unit).isin(["", *BLANK_UNITS]) | (F.btrim(t, F.lit(_WHITE + "_?-.*/")) == "")
 
 
 def first_segment(s: Column) -> Column:
     """The first line, up to a bar, without surrounding blanks, commas and semicolons; empty for null."""
-    head = F.substring_index(strip(F.coalesce(s, F.lit(""))), "|", 1)
-    return F.btrim(F.regexp_extract(head, r"^([^\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]*)", 1), F.lit(" \t;,"))
+    head = strip(F.coalesce(s, F.lit("")))
+    for end in "|" + LINE_ENDS:
+        head = F.substring_index(head, end, 1)
+    return F.btrim(head, F.lit(" \t;,"))
 
 
 def without(tokens: Column, words: list[str]) -> Column:
@@ -161,11 +170,11 @@ def key_of(field: Column, value: Column) -> Column:
 def settled(df: DataFrame, *made: str) -> DataFrame:
     """df with those columns computed once, where they stand.
 
-    They pass through a one-row generator, which the optimizer neither merges with later projections nor
+    They pass through a generator of one row, which the optimizer neither merges with later projections nor
     moves filters through; without it, each use of a long expression would repeat all of it.
     """
     rest = [c for c in df.columns if c not in made]
-    return df.select(*[F.col(f"`{c}`") for c in rest], F.inline(F.transform(F.array(F.struct(*[F.col(f"`{c}`") for c in made])), lambda x: x)))
+    return df.select(*[F.col(f"`{c}`") for c in rest], F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in made]))))
 
 
 def with_key(df: DataFrame, field: str, raw: str, into: str) -> DataFrame:

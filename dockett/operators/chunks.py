@@ -96,13 +96,16 @@ def field_values(candidates: DataFrame) -> DataFrame:
 
 
 def paired(values: DataFrame, cases: DataFrame) -> DataFrame:
-    """Seven rows a case: field, field_ord and both sides' raw, key, blank, present, line and snippet."""
-    sides = F.struct("raw", "blank", "present", "line", "snippet")
-    wide = values.groupBy("case_id", "field").agg(F.max(F.when(F.col("side") == "SI", sides)).alias("si"), F.max(F.when(F.col("side") == "BL", sides)).alias("bl"))
-    dim = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(i).alias("field_ord")) for i, f in enumerate(FIELDS, 1)])).alias("d")
-    rows = cases.select("case_id", dim).select("case_id", "d.field", "d.field_ord").join(wide, ["case_id", "field"], "left")
-    out = [F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("si", "bl") for c in ("raw", "blank", "present", "line", "snippet")]
-    return rows.select("case_id", "field", "field_ord", *out)
+    """Seven rows a case: the columns of cases, field, field_ord and both sides' raw, key, blank, present, line and snippet.
+
+    A case's values are gathered into one row, so they meet the case in one join by case_id.
+    """
+    names = ("raw", "blank", "present", "line", "snippet")
+    of = lambda f, s: F.max(F.when((F.col("field") == f) & (F.col("side") == s), F.struct(*names)))
+    wide = values.groupBy("case_id").agg(*[of(f, s).alias(f"__{s}{i}") for i, f in enumerate(FIELDS, 1) for s in ("SI", "BL")])
+    rows = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(i).alias("field_ord"), F.col(f"__SI{i}").alias("si"), F.col(f"__BL{i}").alias("bl")) for i, f in enumerate(FIELDS, 1)])
+    out = [F.col(f"d.{s}.{c}").alias(f"{s}_{c}") for s in ("si", "bl") for c in names]
+    return cases.join(wide, "case_id", "left").select(*cases.columns, F.explode(rows).alias("d")).select(*cases.columns, "d.field", "d.field_ord", *out)
 
 
 def both_texts(docs: DataFrame) -> DataFrame:

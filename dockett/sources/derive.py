@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import FIELDS
+from ..storage import dealt
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +38,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         }
     )
     v = F.col("v")
-    return base.select(
+    return dealt(base, "case_id").select(
         "case_id", "v", *[f"si_{f}" for f in FIELDS],
         F.when(v == 4, F.concat("s1_name", F.lit(" Limited"))).when(v == 12, "TBA").otherwise(F.col("si_shipper")).alias("bl_shipper"),
         F.when(v == 3, F.replace(F.upper("si_consignee"), F.lit("O"), F.lit("0"))).otherwise(F.col("si_consignee")).alias("bl_consignee"),

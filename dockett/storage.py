@@ -19,6 +19,15 @@ def shared_dir(spark: SparkSession) -> str:
     return there.rstrip("/")
 
 
+def dealt(df: DataFrame, *key: str) -> DataFrame:
+    """df dealt by key over as many partitions as shuffles are set to have.
+
+    What is grouped or joined by the key (and more) later needs no further exchange. Rules on texts take much time for few
+    bytes, so small tables, which adaptive execution would put into one task, must keep all cores busy too.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table of its own in the shared folder."""
     path = f"{shared_dir(df.sparkSession)}/dockett-{name}-{uuid.uuid4().hex}"
