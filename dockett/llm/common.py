@@ -118,18 +118,20 @@ def scratch(spark: SparkSession):
 HEAVY, PART_ROWS = 65_536, 512
 
 
-def dealt_join(rows: DataFrame, one: DataFrame, key: list[str]) -> DataFrame:
+def dealt_join(rows: DataFrame, one: DataFrame, key: list[str], by: list[str] | None = None, counted: DataFrame | None = None) -> DataFrame:
     """rows joined with one, which has one row a key. Rows of a heavy key are dealt over parts, each of which gets
     a copy of the key's row, so no task takes them all. The list of heavy keys has fewer than HEAVY rows, so it
-    may be broadcast. rows should be a written table, as it is read up to three times."""
-    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
+    may be broadcast. rows should be a written table, as it is read up to three times and dealt by place. What is not
+    written is dealt by a digest of the columns by, which tell its rows apart, so that a task that runs again deals
+    them as before; counted is then a table with the same keys as often."""
+    counts = (rows if counted is None else counted).groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
     total, top = counts.agg(F.sum("__n"), F.max("__n")).first()
     most = max(PART_ROWS, -(-(total or 0) // HEAVY))
     if (top or 0) <= most:
         return rows.join(one, key)
     heavy = F.broadcast(counts.filter(F.col("__n") > most).select(*key, F.ceil(F.col("__n") / most).alias("__parts")))
     parts = F.coalesce("__parts", F.lit(1).cast("long"))
-    left = rows.withColumn("__at", F.monotonically_increasing_id()).join(heavy, key, "left").withColumn("__part", F.pmod("__at", parts)).drop("__at", "__parts")
+    left = rows.withColumn("__at", F.xxhash64(*by) if by else F.monotonically_increasing_id()).join(heavy, key, "left").withColumn("__part", F.pmod("__at", parts)).drop("__at", "__parts")
     right = one.join(heavy, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("__parts")
     return left.join(right, [*key, "__part"]).drop("__part")
 

@@ -229,7 +229,7 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those of the distinct pairs (u, v) whose sets (node, own) share enough. Pairs of a text that has many are dealt
     over several copies of its set."""
     own = lambda side, name: sets.select(F.col("node").alias(side), F.col("own").alias(name))
-    both = dealt_join(dealt_join(pairs, own("u", "a"), ["u"]), own("v", "b"), ["v"])
+    both = dealt_join(dealt_join(pairs, own("u", "a"), ["u"], by=["v"]), own("v", "b"), ["v"], by=["u"], counted=pairs)
     return both.select("u", "v", "a", "b").mapInArrow(partial(_similar, similarity=similarity), f"u {NODE}, v {NODE}")
 
 

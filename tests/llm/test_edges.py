@@ -129,6 +129,10 @@ def test_heavy_keys_are_dealt(spark, monkeypatch):
     one = spark.range(600).selectExpr("id as k", "id * 2 as twice")
     got = common.dealt_join(rows, one, ["k"])
     assert sorted((r.id, r.twice) for r in got.collect()) == [(i, 0 if i % 3 == 0 else 2 * i) for i in range(600)]
+    # A join that is not written: dealt by its own columns, so the parts do not follow from the order of rows.
+    again = common.dealt_join(rows.repartition(5).join(one, "k"), one.withColumnRenamed("twice", "more"), ["k"], by=["id"], counted=rows)
+    assert sorted((r.id, r.more) for r in again.collect()) == [(i, 0 if i % 3 == 0 else 2 * i) for i in range(600)]
+    assert "monotonically_increasing_id" not in again._jdf.queryExecution().toString()
 
 
 def test_repeated_queries_and_vectors(spark):
