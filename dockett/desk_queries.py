@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from . import oracle as o
@@ -10,8 +12,9 @@ from .plans import cases as plan
 from .plans import run
 from .queries import _CASES, _EFFECTIVE, _REPORT, _cases, _reviews
 from .registry import query
-from .sources import derive
-from .storage import written
+from .sources import derive, versions
+from .storage import shared_dir, written
+from .streaming import live
 
 #: Cases of a run: what attachments a mail carries by construction, its category with what they say, the decision.
 _RUN = f"""{o.MAILS}, {_CASES},
@@ -37,6 +40,17 @@ def run_submission(spark, sf_dir):
     return _run(spark, sf_dir).select("case_id", "category", "decided_by", "status", "review_reason", "has_defect", "defect_fields")
 
 
+@query(f"WITH {_RUN} SELECT case_id, category, decided_by, status, review_reason, has_defect, defect_fields, row_number() OVER (ORDER BY case_id) - 1 AS ord FROM run_")
+def stream_submission(spark, sf_dir):
+    """The same as a stream: the mails of the orders' files, decided in batches, from the table that the run keeps."""
+    at = f"{shared_dir(spark)}/dockett-stream-{uuid.uuid4().hex}"
+    orders = spark.readStream.schema(derive.read(spark, sf_dir, "orders").schema).parquet(f"{sf_dir}/orders*.parquet")
+    given = written(derive.run_docs(derive.pairs(spark, sf_dir)), "stream-docs")
+    docs = lambda mails: given.join(mails.select(F.col("email_id").alias("case_id")), "case_id", "left_semi")
+    live.start(derive.mails_of(orders).withColumn("at", F.lit(0)), docs, f"{at}/cases", f"{at}/checkpoint", once=True).awaitTermination()
+    return versions.read(spark, f"{at}/cases").select("case_id", "category", "decided_by", "status", "review_reason", "has_defect", "defect_fields", "ord")
+
+
 @query(
     f"""WITH {_RUN}, f AS (SELECT 'total' AS kind, 'emails' AS value, 1 AS n FROM run_ UNION ALL SELECT 'total', 'decided_by_rule', 1 FROM run_ UNION ALL SELECT 'total', 'documents_read', n_docs FROM run_ UNION ALL SELECT 'total', 'documents_unreadable', n_unreadable FROM run_
         UNION ALL SELECT 'category', category, 1 FROM run_ UNION ALL SELECT 'status', status, 1 FROM run_ UNION ALL SELECT 'review_reason', review_reason, 1 FROM run_ WHERE review_reason IS NOT NULL) SELECT kind, value, CAST(sum(n) AS BIGINT) AS n FROM f GROUP BY ALL"""

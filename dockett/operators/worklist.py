@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..constants import CATEGORIES, STATUSES
+from ..storage import numbered
 from .review import effective
 
 # States of a review; places of a list of recent cases; rows of the exercise; situations of a reply.
@@ -130,10 +131,9 @@ def runs(events: DataFrame) -> DataFrame:
     last = F.max(F.when(ended, F.struct("at", "kind", "error")))
     one = events.groupBy("run_id").agg(F.min(F.when(F.col("kind") == "created", F.col("at"))).alias("created_at"), last.alias("last")).filter("created_at is not null")
     listed_ = one.select("run_id", "created_at", F.coalesce("last.kind", F.lit("running")).alias("status"), F.col("last.at").alias("finished_at"), F.when(F.col("last.kind") == "failed", F.col("last.error")).alias("error"))
-    # A row a run.
-    every = W.partitionBy(F.lit(0))
-    done = F.max(F.when(F.col("status") == "done", F.struct("finished_at", "run_id"))).over(every)
-    return listed_.withColumns({"place": F.row_number().over(every.orderBy(F.desc("created_at"), F.desc("run_id"))), "latest_done": F.coalesce(done["run_id"] == F.col("run_id"), F.lit(False))})
+    placed = numbered(listed_, [F.desc("created_at"), F.desc("run_id")], "place").withColumn("place", F.col("place").cast("int"))
+    done = placed.agg(F.max(F.when(F.col("status") == "done", F.struct("finished_at", "run_id"))).alias("done"))
+    return placed.crossJoin(F.broadcast(done)).withColumn("latest_done", F.coalesce(F.col("done.run_id") == F.col("run_id"), F.lit(False))).drop("done")
 
 
 def submittable(cases: DataFrame, runs: DataFrame) -> DataFrame:
@@ -149,7 +149,7 @@ def replaced(cases: DataFrame, fresh: DataFrame) -> DataFrame:
     end = cases.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("end"))
     own = cases.select("case_id", "ord", *more)
     new = last.join(own.select("case_id", "ord"), "case_id", "left")
-    added = new.filter("ord is null").crossJoin(F.broadcast(end)).withColumn("ord", F.col("end") + F.row_number().over(W.partitionBy(F.lit(0)).orderBy("at", "case_id")))
+    added = numbered(new.filter("ord is null"), ["at", "case_id"], "place").crossJoin(F.broadcast(end)).withColumn("ord", F.col("end") + F.col("place"))
     return own.join(last.select("case_id"), "case_id", "left_anti").unionByName(new.filter("ord is not null").select(own.columns)).unionByName(added.select(own.columns))
 
 

@@ -107,7 +107,12 @@ MAILS = [
 
 def emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """email_id, sender, subject, body: a mail an order, by order number modulo 12."""
-    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("email_id"))
+    return mails_of(read(spark, sf_dir, "orders"))
+
+
+def mails_of(orders: DataFrame) -> DataFrame:
+    """The mails of some orders, which may be a stream."""
+    orders = orders.select(F.col("o_orderkey").alias("email_id"))
     pick = F.element_at(F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(("subject", "body", "sender"), m, strict=True)]) for m in MAILS]), (F.col("email_id") % 12 + 1).cast("int"))
     number = F.col("email_id").cast("string")
     fill = lambda c: F.replace(F.col(f"m.{c}"), F.lit("{n}"), number).alias(c)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,3 +34,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/dockett-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, order: list, into: str) -> DataFrame:
+    """df with each row's place (from 1) in an order, which should tell all rows apart.
+
+    Rows are dealt over ranges of the order and numbered inside each; a range begins after what those before it hold. The
+    driver sees one number a range, and no task sees all rows.
+    """
+    place = F.monotonically_increasing_id()  # the range above, the place in it in the lower 33 bits
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__spot", place)
+    ranged = written(ranged, "ranges")
+    number, inside = F.shiftrightunsigned("__spot", 33), F.col("__spot").bitwiseAND((1 << 33) - 1)
+    sizes = sorted((r.g, r.n) for r in ranged.groupBy(number.alias("g")).agg(F.count(F.lit(1)).alias("n")).collect())
+    starts, total = [], 0
+    for g, n in sizes:
+        starts.append((g, total))
+        total += n
+    before = df.sparkSession.createDataFrame(starts, "__g long, __before long")
+    return ranged.withColumn("__g", number).join(F.broadcast(before), "__g").withColumn(into, F.col("__before") + inside + 1).drop("__g", "__before", "__spot")

@@ -1 +1 @@
-
+"""Runs over mails as they come in."""
