@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..constants import FIELDS, NUMERIC_FIELDS
+from ..constants import FIELDS, NUMERIC_FIELDS, PARTY_FIELDS
 from ..functions.labels import with_fields
-from ..functions.text import basic, first_segment, snippet, strip, with_key
+from ..functions.text import basic, first_segment, is_blank, org, port, settled, snippet, strip, with_key
 
 DOC = ["case_id", "side"]
 # Scores of candidates, and words of which two make a table header.
@@ -96,11 +96,12 @@ def field_values(candidates: DataFrame) -> DataFrame:
 
 
 def paired(values: DataFrame, cases: DataFrame) -> DataFrame:
-    """Seven rows a case: the columns of cases, field, field_ord and both sides' raw, key, blank, present, line and snippet.
+    """Seven rows a case: the columns of cases, field, field_ord and both sides' raw, key, number, blank, present, line and
+    snippet.
 
     A case's values are gathered into one row, so they meet the case in one join by case_id.
     """
-    names = ("raw", "blank", "present", "line", "snippet")
+    names = ("raw", "key", "number", "blank", "present", "line", "snippet")
     of = lambda f, s: F.max(F.when((F.col("field") == f) & (F.col("side") == s), F.struct(*names)))
     wide = values.groupBy("case_id").agg(*[of(f, s).alias(f"__{s}{i}") for i, f in enumerate(FIELDS, 1) for s in ("SI", "BL")])
     rows = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(i).alias("field_ord"), F.col(f"__SI{i}").alias("si"), F.col(f"__BL{i}").alias("bl")) for i, f in enumerate(FIELDS, 1)])
@@ -120,18 +121,22 @@ def repaired(pairs: DataFrame) -> DataFrame:
     characters of text) completes it to exactly the other's key. Adds si_wrapped and bl_wrapped.
     """
     field = F.col("field")
-    out = with_key(with_key(pairs, "field", "si_raw", "__si"), "field", "bl_raw", "__bl")
+    out = pairs
     for own, other in (("si", "bl"), ("bl", "si")):
         raw, text, line = F.col(f"{own}_raw"), F.col(f"{own}_text"), F.col(f"{own}_line")
-        # From the value's own line on, else from the start.
+        able = field.isin(FIELDS[:5]) & (raw != "") & F.startswith(F.col(f"{other}_key"), F.concat(F.col(f"{own}_key"), F.lit(" ")))
+        # From the value's own line on, else from the start. Only few values can be completed; only theirs is looked for.
         rows = F.split(text, "\n")
         rest = F.when(line.isNull(), text).otherwise(F.array_join(F.slice(rows, F.least(line, F.size(rows)), F.size(rows)), "\n"))
-        at = F.call_function("locate", raw, rest)
-        tail = F.substring(rest, at + F.length(raw), F.lit(200))
+        out = out.withColumn("__rest", F.when(able, rest)).withColumn("__at", F.call_function("locate", raw, F.col("__rest")))
+        tail = F.substring("__rest", F.col("__at") + F.length(raw), F.lit(200))
         following = F.try_element_at(F.filter(F.transform(F.split(tail, r"[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"), strip), lambda x: x != ""), F.lit(1))
-        able = field.isin(FIELDS[:5]) & F.startswith(F.col(f"__{other}_key"), F.concat(F.col(f"__{own}_key"), F.lit(" "))) & (raw != "") & (at > 0) & F.substring(tail, 1, 1).rlike(r"(?U)^\s")
-        out = with_key(out.withColumn(f"__{own}_whole", F.when(able, F.concat(raw, F.lit(" "), following))), "field", f"__{own}_whole", f"__{own}_full")
-        out = out.withColumn(f"{own}_wrapped", F.coalesce(F.col(f"__{own}_full_key") == F.col(f"__{other}_key"), F.lit(False)))
-    for own in ("si", "bl"):
-        out = out.withColumn(f"{own}_raw", F.when(F.col(f"{own}_wrapped"), F.col(f"__{own}_whole")).otherwise(F.col(f"{own}_raw")))
-    return out.drop(*[c for c in out.columns if c.startswith("__")])
+        whole = F.when((F.col("__at") > 0) & F.substring(tail, 1, 1).rlike(r"(?U)^\s"), F.concat(raw, F.lit(" "), following))
+        out = settled(out.withColumn(f"__{own}_whole", whole).drop("__rest", "__at"), f"__{own}_whole")
+        text = F.col(f"__{own}_whole")
+        key = F.when(text.isNotNull() & ~is_blank(text), F.when(field.isin(PARTY_FIELDS), org(text)).otherwise(port(text)))
+        out = settled(out.withColumn(f"{own}_wrapped", F.coalesce(key == F.col(f"{other}_key"), F.lit(False))), f"{own}_wrapped")
+    then = lambda s, new, old: F.when(F.col(f"{s}_wrapped"), F.col(new)).otherwise(F.col(old))
+    # Both at once: neither key starts the other's and is started by it.
+    out = out.withColumns({f"{s}_{c}": then(s, new, f"{s}_{c}") for s, o in (("si", "bl"), ("bl", "si")) for c, new in (("raw", f"__{s}_whole"), ("key", f"{o}_key"))})
+    return out.drop("__si_whole", "__bl_whole")

@@ -47,9 +47,13 @@ def state_of(side: str, flagged: bool) -> Column:
 
 def compare(values: DataFrame, blanks: bool = False) -> DataFrame:
     """Adds si_key, bl_key, si_number, bl_number, si_state, bl_state, verdict and reason to rows with field,
-    si_raw and bl_raw (with blanks, also si_blank and bl_blank). The instruction is named first."""
+    si_raw and bl_raw (with blanks, also si_blank and bl_blank). The instruction is named first. Keys and numbers that
+    are there already are taken as they are, with the blank flags."""
     field, si, bl = F.col("field"), F.col("si_raw"), F.col("bl_raw")
-    keyed = with_key(with_key(values, "field", "si_raw", "si"), "field", "bl_raw", "bl")
+    if blanks and "si_key" in values.columns:
+        keyed = values.withColumns({f"{s}_empty": F.coalesce(f"{s}_blank", F.lit(False)) for s in ("si", "bl")})
+    else:
+        keyed = with_key(with_key(values, "field", "si_raw", "si"), "field", "bl_raw", "bl")
     stated = keyed.withColumns({"si_state": state_of("si", blanks), "bl_state": state_of("bl", blanks)}).drop("si_empty", "bl_empty")
     stated = stated.withColumn("__units", (field == "gross_weight_kg") & units_differ(si, bl))
     close = F.abs(F.col("si_number") - F.col("bl_number")) < WEIGHT_TOLERANCE_KG

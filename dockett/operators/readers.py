@@ -1,7 +1,7 @@
 """Readers over tables of lines and cells: container manifests, Markdown, tidy lines, transcripts of scans, uploads.
 
-The bytes of office files and PDFs are not read here; what a converter makes of them (cells, Markdown lines, words with
-places, answers about a scan) comes in as a table.
+No bytes are read here: cells come from sources.office, and what a converter makes of PDFs and scans (Markdown lines, words
+with places, answers about a scan) comes in as a table.
 """
 
 from __future__ import annotations
@@ -137,12 +137,14 @@ def transcript_summary(read: DataFrame, said: DataFrame) -> DataFrame:
     return counted.join(said, "doc").select("doc", "legible_fields", (F.coalesce("overall_legible", F.lit(False)) & (F.col("legible_fields") > 0)).alias("overall_legible"), sure.alias("confidence"))
 
 
-def unreadable(path: Column, n_bytes: Column, text: Column) -> Column:
-    """Why a file cannot be read, or null: missing (no length), no bytes, too large, no kind of text, or blank text."""
+def unreadable(path: Column, n_bytes: Column, text: Column, error: Column | None = None, kinds: list[str] = TEXT_KINDS) -> Column:
+    """Why a file cannot be read, or null: missing (no length), no bytes, too large, none of the kinds, corrupt (an error came
+    up), or blank text."""
     kind = F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
+    error = F.lit(None).cast("string") if error is None else error
     return (
-        F.when(n_bytes.isNull(), "missing_file").when(n_bytes == 0, "empty_file").when(n_bytes > MAX_BYTES, "unsupported")
-        .when(~kind.isin(TEXT_KINDS), "unsupported").when(strip(F.coalesce(text, F.lit(""))) == "", "empty_file")
+        F.when(n_bytes.isNull() & error.isNull(), "missing_file").when(n_bytes == 0, "empty_file").when(n_bytes > MAX_BYTES, "unsupported")
+        .when(~kind.isin(kinds), "unsupported").when(error.isNotNull(), "corrupt").when(strip(F.coalesce(text, F.lit(""))) == "", "empty_file")
     )
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import assist, classify, doctype
 from ..storage import written
 from . import cases as plan
+from . import guard
 
 
 def parts(docs: DataFrame) -> DataFrame:
@@ -35,13 +36,24 @@ def classified(mails: DataFrame, docs: DataFrame, verdicts: DataFrame | None = N
 
 def run(mails: DataFrame, docs: DataFrame, verdicts: DataFrame | None = None, fuzzy: bool = True) -> DataFrame:
     """One row a mail: case_id, sender, subject, category, category_confidence, decided_by, rationale, the decision's columns,
-    n_docs and n_unreadable of its two parts. mails: email_id, sender, subject, body."""
+    error (why no decision came about), n_docs and n_unreadable of its two parts. mails: email_id, sender, subject, body.
+
+    A case whose rows make a step raise needs review, as unreadable, with the error; all others are decided."""
     placed = written(parts(docs), "parts")
     kinds = written(classified(mails, placed, verdicts), "categories")
     asked = kinds.filter("category = 'BL_COMPARISON'").select(F.col("email_id").alias("case_id"))
     sided = placed.filter("side is not null").join(asked, "case_id", "left_semi")
     letters = mails.withColumnRenamed("email_id", "case_id").join(asked, "case_id", "left_semi")
-    decided = plan.cases(sided, letters, fuzzy)
+    none = F.lit(None)
+
+    def decide(own: DataFrame | None) -> DataFrame:
+        some = [x if own is None else written(x.join(own, "case_id", "left_semi"), "some") for x in (sided, letters)]
+        return plan.cases(*some, fuzzy)
+
+    decided, faults = guard.isolated(decide, asked)
+    if decided is None:
+        decided = asked.select("case_id", *[none.cast(t).alias(c) for c, t in plan.DECIDED_TYPES.items()])
+    decided = decided.join(F.broadcast(faults), "case_id", "full_outer")  # no more rows than guard.MOST_FAULTS
     read = sided.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_docs"), F.count("unreadable").alias("n_unreadable"))
     every = mails.select(F.col("email_id").alias("case_id"), "sender", "subject").join(kinds.withColumnsRenamed({"email_id": "case_id", "confidence": "category_confidence"}).drop("needs_model"), "case_id", "left")
     return guarded(every.join(decided, "case_id", "left").join(read, "case_id", "left"))
