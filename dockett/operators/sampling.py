@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import written
 from .chunks import DOC, chunks, lines, marked
 
 #: Examples of a mode.
@@ -29,14 +30,16 @@ def examples(candidates: DataFrame, most: int = EXAMPLES) -> DataFrame:
     rows = candidates.select("mode", "severity", F.col("ord").cast("bigint").alias("ord"), F.col("document").cast("string").alias("document"), "field")
     near = W.partitionBy("mode", "document", "field").orderBy("severity", "ord")
     rows = rows.withColumn("n", F.row_number().over(near)).filter(F.col("n") <= most).drop("n")
+    rows = written(rows, "candidates")
     for _ in range(most):
-        # state has a row a mode.
+        # state has a row a mode; it is written each turn, as the next one takes it twice.
         left = rows.join(F.broadcast(state), "mode").filter(~F.array_contains("ords", F.col("ord")))
         other, new = ~F.array_contains("documents", F.col("document")), ~F.array_contains("fields", F.col("field"))
         row = F.struct(order.alias("o"), "document", "field")
         picked = left.groupBy("mode").agg(F.coalesce(F.min(F.when(other & new, row)), F.min(F.when(other, row)), F.min(row)).alias("p"))
         add = lambda c, v: F.when(F.col("p").isNull(), F.col(c)).otherwise(F.concat(c, F.array(v))).alias(c)
         state = state.join(F.broadcast(picked), "mode", "left").select("mode", add("ords", F.col("p.o.ord")), add("documents", F.col("p.document")), add("fields", F.col("p.field")))
+        state = written(state, "picks")
     return state.select("mode", F.posexplode("ords").alias("place", "ord")).select("mode", F.col("place") + 1, "ord").toDF("mode", "place", "ord")
 
 
