@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from . import oracle as o
-from .operators import compare, reports, review, sampling, worklist
+from .operators import compare, metering, reports, review, sampling, worklist
 from .plans import cases as plan
 from .plans import run
 from .queries import _CASES, _EFFECTIVE, _REPORT, _cases, _reviews
@@ -209,16 +209,62 @@ _REPLIED = f"""{o.PAIRS}, {o.COMPARED}, {o.OUTCOME},
                     || ' before we release the Bill of Lading? We have not assumed the draft Bill of Lading is right.' END AS action FROM s"""
 )
 def reply_drafts(spark, sf_dir):
+    return _replies(spark, sf_dir).select("case_id", "situation", "subject", "action")
+
+
+def _replies(spark, sf_dir):
     values = derive.values(derive.pairs(spark, sf_dir))
-    compared = compare.compare(values)
+    seen = (F.col("field") == "port_of_discharge") & (F.col("v") == 1) & (F.col("case_id") % 3 == 0)
+    compared = compare.compare(values).withColumn("bl_reviewed", F.when(seen, F.lit(" AS SEEN ON THE SCAN ")))
     k = F.col("case_id") % 9
     cases = _cases(spark, sf_dir).select(
         "case_id", F.when(F.col("case_id") % 2 == 0, F.concat(F.lit("RE: Fw_ BL "), F.col("case_id").cast("string"))).alias("subject"), F.lit("BL_COMPARISON").alias("category"),
         F.when(k < 5, "NEEDS_REVIEW").otherwise(F.col("status")).alias("status"), F.when(k < 2, "missing_attachment").when(k < 4, "unreadable").when(k == 4, "wrong_doc_type").otherwise(F.col("review_reason")).alias("review_reason"),
         (k > 0).alias("si_there"), (k > 1).alias("bl_there"), F.lit(None).cast("string").alias("si_unreadable"), F.when(k == 2, "no_text_layer").when(k == 3, "corrupt").alias("bl_unreadable"),
-        F.lit("SHIPPING_INSTRUCTION").alias("si_type"), F.when(k == 4, "COMMERCIAL_INVOICE").otherwise("BILL_OF_LADING").alias("bl_type"),
+        F.lit("SHIPPING_INSTRUCTION").alias("si_type"), F.when(k == 4, "COMMERCIAL_INVOICE").otherwise("BILL_OF_LADING").alias("bl_type"), "defect_fields",
+        F.format_string("in/%d/SI.txt", "case_id").alias("si_path"), F.format_string("C:\\in\\%d_BL.pdf", "case_id").alias("bl_path"),
     )
-    return worklist.replies(cases, worklist.questions(compared)).select("case_id", "situation", "subject", "action")
+    return worklist.replies(cases, worklist.questions(compared))
+
+
+def _reply_lines() -> str:
+    """CTEs lines and told: what a reply says of each field, and its situation with the lines that belong to it."""
+    given = lambda s, name: f"CASE WHEN {s}_state = 'usable' THEN 'the {name} shows \"' || {s}_s || '\"' ELSE 'it is not given on the {name} either' END"
+    si, bl = "Shipping Instruction", "draft Bill of Lading"
+    reads = lambda s: f"CASE WHEN {s}_s <> '' THEN ' (it reads \"' || {s}_s || '\")' ELSE '' END"
+    shows = f"nm || ': the {si} shows \"' || coalesce(si_raw, '{{0}}') || '\"{{1}}the {bl} shows \"' || coalesce(bl_raw, '{{0}}') || '\"'"
+    says = lambda s, name, x: f"CASE WHEN {x} <> '' THEN '{name} says \"' || {x} || '\"' ELSE '{name} has no value we could read' END"
+    headings = " ".join(f"WHEN {o.q(f)} THEN {o.q(n)}" for f, n in worklist.FIELD_HEADINGS.items())
+    return f"""nm AS (SELECT *, CASE field {headings} END AS nm, {o.strip("coalesce(si_raw, '')")} AS si_s, {o.strip("coalesce(bl_raw, '')")} AS bl_s FROM cmp),
+    qs AS (SELECT *, '  - ' || CASE reason WHEN 'si_blank' THEN nm || ': left blank on the {si}' || {reads('si')} || '; ' || {given('bl', bl)} || '.' WHEN 'bl_blank' THEN nm || ': left blank on the {bl}' || {reads('bl')} || '; ' || {given('si', si)} || '.'
+            WHEN 'si_unparseable' THEN nm || ': the {si} shows "' || si_raw || '", which we could not read as a value; ' || {given('bl', bl)} || '.' WHEN 'bl_unparseable' THEN nm || ': the {bl} shows "' || bl_raw || '", which we could not read as a value; ' || {given('si', si)} || '.'
+            WHEN 'unit_differs' THEN replace({shows.format('', ' and ')}, ' (kg)', '') || '; the figures are the same but the units differ, so one of the two documents needs amending.'
+            WHEN 'ocr_confusable' THEN {shows.format('', ' and ')} || '; they differ only in characters that are easy to misread on a scan.' END AS question,
+            '  - ' || {shows.format('?', '; ')} || '.' AS differs, '  - ' || nm || ': ' || {says('si', 'SI', 'si_s')} || ', ' || {says('bl', 'draft BL', "CASE WHEN field = 'port_of_discharge' AND v = 1 AND case_id % 3 = 0 THEN 'AS SEEN ON THE SCAN' ELSE bl_s END")} AS quoted FROM nm),
+    told AS (SELECT case_id, string_agg(question, chr(10) ORDER BY field_ord) FILTER (WHERE verdict = 'UNCOMPARABLE') AS ql, string_agg(differs, chr(10) ORDER BY field_ord) FILTER (WHERE verdict = 'MISMATCH') AS dl, string_agg(quoted, chr(10) ORDER BY field_ord) FILTER (WHERE verdict = 'MISMATCH') AS tl,
+            count_if(verdict = 'MATCH') AS agreed, count_if(verdict = 'UNCOMPARABLE' AND question IS NULL) AS unread FROM qs GROUP BY case_id)"""
+
+
+@query(
+    f"""WITH {_REPLIED}, {_reply_lines()}, s AS (SELECT *, CAST(case_id AS VARCHAR) AS c, CASE WHEN status = 'OK' THEN 'no_discrepancy' WHEN status = 'MISMATCH' THEN 'discrepancy' ELSE ['attachments_missing', 'document_missing', 'scanned_copies', 'file_unopenable', 'wrong_document', NULL][case_id % 9 + 1] END AS t FROM rc JOIN asked USING (case_id) JOIN told USING (case_id)),
+        r AS (SELECT *, coalesce(t, CASE WHEN a IS NOT NULL OR d IS NOT NULL THEN 'values_to_confirm' ELSE 'review_generic' END) AS situation FROM s),
+        l AS (SELECT *, CASE situation WHEN 'no_discrepancy' THEN 'We compared the draft Bill of Lading against the Shipping Instruction across all seven fields we check.' WHEN 'discrepancy' THEN 'We compared the draft Bill of Lading against the Shipping Instruction and found discrepancies in the following fields.'
+                WHEN 'attachments_missing' THEN 'Unfortunately, no attachments reached us with it.' WHEN 'document_missing' THEN 'We need both the Shipping Instruction and the draft Bill of Lading for the check, and only one came through.' WHEN 'file_unopenable' THEN 'We could not open one of the attachments, so we could not complete the check.'
+                WHEN 'scanned_copies' THEN 'One of the documents came through as a scanned image, which we check manually rather than automatically.' WHEN 'wrong_document' THEN 'One of the attachments is not the document we need for this check.'
+                WHEN 'values_to_confirm' THEN 'We compared the draft Bill of Lading against the Shipping Instruction, and some fields need your confirmation.' ELSE 'We were not able to complete the check automatically, and a member of our team is looking at it.' END AS context,
+            coalesce(CASE situation WHEN 'discrepancy' THEN tl WHEN 'attachments_missing' THEN '  - Attachments received: none.' WHEN 'document_missing' THEN '  - Received: Shipping Instruction (SI.txt).' || chr(10) || '  - Still needed: draft Bill of Lading.'
+                WHEN 'wrong_document' THEN '  - Received: Shipping Instruction (SI.txt).' || chr(10) || '  - Received: Commercial Invoice (' || c || '_BL.pdf).' || chr(10) || '  - Still needed: draft Bill of Lading.'
+                WHEN 'file_unopenable' THEN '  - Draft Bill of Lading (' || c || '_BL.pdf): the file will not open.' WHEN 'scanned_copies' THEN '  - Draft Bill of Lading (' || c || '_BL.pdf): a scanned image, which we check manually.'
+                WHEN 'values_to_confirm' THEN concat_ws(chr(10), ql, dl, CASE WHEN agreed > 0 AND unread > 0 THEN '  - ' || agreed || ' of the other fields are consistent between the two documents; our team is checking the rest manually.'
+                    WHEN agreed = 1 THEN '  - The other field is consistent between the two documents.' WHEN agreed > 1 THEN '  - The other ' || agreed || ' fields are consistent between the two documents.' END) END, '') AS facts,
+            CASE WHEN situation IN ('scanned_copies', 'review_generic') THEN 'Thank you for your patience.' ELSE 'Thank you.' END AS closing FROM r)
+        SELECT case_id, facts, context, closing, 'Hello,' || chr(10) || chr(10) || 'Thank you for your email. ' || context || CASE WHEN facts <> '' THEN chr(10) || chr(10) || facts ELSE '' END AS opening FROM l"""
+)
+def reply_bodies(spark, sf_dir):
+    """What replies quote and how they read up to what they ask for, which reply_drafts gives."""
+    r = _replies(spark, sf_dir)
+    opening = F.replace("body", F.concat(F.lit("\n\n"), "action", F.lit("\n\n"), "closing", F.lit("\n\nRegards,")), F.lit(""))
+    return r.select("case_id", F.array_join("facts", "\n").alias("facts"), "context", "closing", opening.alias("opening"))
 
 
 #: Events of reviews, withdrawals, retries and re-checks.
@@ -292,3 +338,40 @@ def _slot_sql() -> str:
 def stratified_picks(spark, sf_dir):
     orders = derive.read(spark, sf_dir, "orders").withColumn("case_id", F.col("o_orderkey"))
     return sampling.slots(orders, {name: F.expr(want) for name, want in _SLOTS.items()})
+
+
+#: Questions of the events, asked in order of time: errors fail, some clicks are refused, others of a key are remembered.
+_PRICED = " ".join(f"WHEN {o.q(m)} THEN {{}} * {fresh} + {{}} * {known} + {{}} * {out}" for m, (fresh, known, out) in ((m, [int(float(x) * 1000) for x in p]) for m, p in metering.PRICES.items()))
+_BUDGET = f"""e AS (SELECT event_id, event_type AS purpose, row_number() OVER (ORDER BY ts, event_id) AS turn, ts, value, user_id || '/' || event_type || '/' || (event_id % 5) AS key, {[*metering.PRICES]}[user_id % {len(metering.PRICES)} + 1] AS model,
+        CASE WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'click' AND value < 20 THEN 'refused' ELSE 'answered' END AS said, 1000 + event_id % 1000 AS i, event_id % 300 AS c, CAST(floor(value * 10) AS BIGINT) AS u FROM events),
+    h AS (SELECT key, arg_max(i, (ts, event_id)) AS hi, arg_max(u, (ts, event_id)) AS hu FROM e WHERE value > 150 GROUP BY key),
+    a AS (SELECT e.*, hi, hu, CASE model {_PRICED.format(*['(i - c)', 'c', 'u'] * len(metering.PRICES))} END AS price FROM e LEFT JOIN h USING (key)),
+    p AS (SELECT key, min(turn) AS p_at, arg_min(price, turn) AS p_price, arg_min(i, turn) AS p_i, arg_min(u, turn) AS p_u FROM a WHERE hi IS NULL AND said = 'answered' GROUP BY key),
+    l AS (SELECT min(p_at) AS stop FROM (SELECT p_at, sum(p_price) OVER (ORDER BY p_at) AS total FROM p) WHERE total >= 500000000),
+    s AS (SELECT a.*, p_i, p_u, CASE WHEN hi IS NOT NULL OR (p_at < turn AND (stop IS NULL OR p_at <= stop)) THEN 'hit' WHEN stop IS NOT NULL AND turn > stop THEN 'unavailable' ELSE said END AS state FROM a LEFT JOIN p USING (key), l),
+    spent AS (SELECT event_id, purpose, state, CAST(CASE state WHEN 'hit' THEN coalesce(hi, p_i) WHEN 'answered' THEN i ELSE 0 END AS BIGINT) AS tokens_in, CAST(CASE state WHEN 'hit' THEN coalesce(hu, p_u) WHEN 'answered' THEN u ELSE 0 END AS BIGINT) AS tokens_out, CAST(CASE state WHEN 'answered' THEN price ELSE 0 END AS BIGINT) AS cost FROM s)"""
+
+
+def _spent(spark, sf_dir):
+    e = derive.read(spark, sf_dir, "events")
+    models = F.array(*map(F.lit, metering.PRICES))
+    t, n = F.col("event_type"), F.col("event_id")
+    asked = e.select(
+        "event_id", t.alias("purpose"), F.struct("ts", "event_id").alias("at"), F.concat_ws("/", F.col("user_id").cast("string"), t, (n % 5).cast("string")).alias("key"), F.get(models, (F.col("user_id") % len(metering.PRICES)).cast("int")).alias("model"), "value",
+        F.when(t == "error", "failed").when((t == "click") & (F.col("value") < 20), "refused").otherwise("answered").alias("said"), (n % 1000 + 1000).alias("input_tokens"), (n % 300).alias("cached_tokens"), F.floor(F.col("value") * 10).alias("output_tokens"),
+    )
+    return metering.metered(asked, asked.filter("value > 150"), "0.50")
+
+
+@query(f"WITH {_BUDGET} SELECT event_id, state, tokens_in, tokens_out, cost FROM spent")
+def budget_states(spark, sf_dir):
+    """What becomes of each question under a budget: remembered, paid for, refused, failed, or not asked any more."""
+    return _spent(spark, sf_dir).select("event_id", "state", "tokens_in", "tokens_out", "cost")
+
+
+_USED = "count_if(state IN ('hit', 'answered')) AS calls, count_if(state = 'hit') AS cached_calls, count_if(state = 'answered') AS live_calls, CAST(sum(tokens_in) AS BIGINT) AS input_tokens, CAST(sum(tokens_out) AS BIGINT) AS output_tokens, CAST(round_even(CAST(sum(cost) AS DECIMAL(28, 9)) / 1e9, 6) AS DOUBLE) AS cost_usd, count_if(state = 'refused') AS refusals, count_if(state = 'failed') AS errors, count_if(state = 'unavailable') AS unavailable FROM spent"
+
+
+@query(f"WITH {_BUDGET} SELECT purpose, {_USED} GROUP BY purpose UNION ALL SELECT NULL, {_USED}")
+def budget_usage(spark, sf_dir):
+    return metering.usage(_spent(spark, sf_dir))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..constants import CATEGORIES, STATUSES
+from ..functions.text import strip
 from ..storage import numbered
 from .review import effective
 
@@ -179,20 +182,129 @@ def _listed_and(items: Column) -> Column:
     return F.when(n <= 1, F.array_join(items, "")).otherwise(F.concat(F.array_join(F.slice(items, F.lit(1), n - 1), ", "), F.lit(" and "), F.element_at(items, -1)))
 
 
+# What the lines of a reply call a field, a type of document, and why a file could not be opened; its greeting and frame.
+FIELD_HEADINGS = {
+    "shipper": "Shipper", "consignee": "Consignee", "notify_party": "Notify Party", "port_of_loading": "Port of Loading", "port_of_discharge": "Port of Discharge",
+    "container_count": "Container Count", "gross_weight_kg": "Gross Weight (kg)",
+}
+DOC_NAMES = {
+    "SHIPPING_INSTRUCTION": "Shipping Instruction", "BILL_OF_LADING": "draft Bill of Lading", "COMMERCIAL_INVOICE": "Commercial Invoice",
+    "PACKING_LIST": "Packing List", "CERTIFICATE_OF_ORIGIN": "Certificate of Origin",
+}
+UNOPENED = {
+    "corrupt": "the file will not open", "empty_file": "the file arrived empty", "missing_file": "the file did not come through",
+    "unsupported": "the file is in a format or size we cannot open",
+}
+HELLO, GREETING, REGARDS = "Hello,", "Thank you for your email.", "Regards,"
+
+
+def _looked_up(table: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
+
+
+def _said(text: str, **parts: Column) -> Column:
+    """text with its {marks} replaced by columns, as one concatenation: values are never looked through for marks."""
+    pieces = re.split(r"\{(\w+)\}", text)
+    return F.concat(*[parts[p] if i % 2 else F.lit(p) for i, p in enumerate(pieces)])
+
+
+def value_lines(compared: DataFrame) -> DataFrame:
+    """compared with what a reply says of each field: question (a field that it asks about), differs and quoted.
+
+    Columns of compare.compare(); with {si,bl}_present these count as given, and with {si,bl}_reviewed, values that a
+    review settled on, quoted takes these.
+    """
+    name = F.coalesce(_looked_up(FIELD_HEADINGS, F.col("field")), F.col("field"))
+    raw = {s: F.coalesce(f"{s}_raw", F.lit("")) for s in SIDE_NAMES}
+    has = lambda c: c in compared.columns
+    given = {s: (F.coalesce(F.col(f"{s}_present"), F.lit(False)) if has(f"{s}_present") else F.col(f"{s}_state") == "usable") & (strip(raw[s]) != "") for s in SIDE_NAMES}
+    other = {s: F.when(given[s], F.concat(F.lit(f'the {SIDE_NAMES[s]} shows "'), strip(raw[s]), F.lit('"'))).otherwise(f"it is not given on the {SIDE_NAMES[s]} either") for s in SIDE_NAMES}
+    reads = {s: F.when(strip(raw[s]) != "", F.concat(F.lit(' (it reads "'), strip(raw[s]), F.lit('")'))).otherwise("") for s in SIDE_NAMES}
+    question = F.lit(None).cast("string")
+    for s, o in (("si", "bl"), ("bl", "si")):
+        blank = _said("  - {name}: left blank on the " + SIDE_NAMES[s] + "{reads}; {other}.", name=name, reads=reads[s], other=other[o])
+        unread = _said("  - {name}: the " + SIDE_NAMES[s] + ' shows "{raw}", which we could not read as a value; {other}.', name=name, raw=raw[s], other=other[o])
+        question = F.when(F.col("reason") == f"{s}_blank", blank).when(F.col("reason") == f"{s}_unparseable", unread).otherwise(question)
+    both = '{name}: the Shipping Instruction shows "{si}" and the draft Bill of Lading shows "{bl}"; '
+    units = _said("  - " + both + "the figures are the same but the units differ, so one of the two documents needs amending.", name=F.regexp_replace(name, r"\s*\(kg\)$", ""), **raw)
+    glyphs = _said("  - " + both + "they differ only in characters that are easy to misread on a scan.", name=name, **raw)
+    question = F.when(F.col("reason") == "unit_differs", units).when(F.col("reason") == "ocr_confusable", glyphs).otherwise(question)
+    shown = {s: F.coalesce(f"{s}_raw", F.lit("?")) for s in SIDE_NAMES}
+    differs = _said('  - {name}: the Shipping Instruction shows "{si}"; the draft Bill of Lading shows "{bl}".', name=name, **shown)
+    settled_on = {s: strip(F.coalesce(*([f"{s}_reviewed"] if has(f"{s}_reviewed") else []), f"{s}_raw", F.lit(""))) for s in SIDE_NAMES}
+    says = lambda s, called: F.when(settled_on[s] != "", F.concat(F.lit(f'{called} says "'), settled_on[s], F.lit('"'))).otherwise(f"{called} has no value we could read")
+    quoted = _said("  - {name}: {si}, {bl}", name=name, si=says("si", "SI"), bl=says("bl", "draft BL"))
+    return compared.withColumns({"question": question, "differs": differs, "quoted": quoted})
+
+
 def questions(compared: DataFrame) -> DataFrame:
-    """case_id, asked and differing: phrases of the fields that a reply asks about, in canonical order."""
-    phrase = F.element_at(F.create_map(*[F.lit(x) for kv in FIELD_PHRASES.items() for x in kv]), F.col("field"))
-    ordered = lambda cond: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("field_ord", phrase.alias("p"))))), lambda x: x["p"])
-    asked = (F.col("verdict") == "UNCOMPARABLE") & F.col("reason").isin(ASK_REASONS)
-    return compared.groupBy("case_id").agg(ordered(asked).alias("asked"), ordered(F.col("verdict") == "MISMATCH").alias("differing"))
+    """What replies say of fields, in canonical order: case_id, asked and differing (phrases of fields), asked_lines and
+    differing_lines, quoted (field and line of every field), agreed and unread (numbers of fields)."""
+    ordered = lambda cond, c: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("field_ord", F.col(c).alias("p"))))), lambda x: x["p"])
+    open_, asks = F.col("verdict") == "UNCOMPARABLE", F.coalesce(F.col("reason").isin(ASK_REASONS), F.lit(False))
+    lines = value_lines(compared).withColumns({"phrase": _looked_up(FIELD_PHRASES, F.col("field")), "both": F.struct("field", F.col("quoted").alias("line"))})
+    return lines.groupBy("case_id").agg(
+        ordered(open_ & asks, "phrase").alias("asked"), ordered(F.col("verdict") == "MISMATCH", "phrase").alias("differing"), ordered(open_ & asks, "question").alias("asked_lines"),
+        ordered(F.col("verdict") == "MISMATCH", "differs").alias("differing_lines"), ordered(F.lit(True), "both").alias("quoted"), F.array_join(F.collect_list(F.when(F.col("verdict") == "MISMATCH", F.col("field"))), ",").alias("mismatched"), F.count_if(F.col("verdict") == "MATCH").alias("agreed"), F.count_if(open_ & ~asks).alias("unread"),
+    )
+
+
+def facts(rows: DataFrame) -> Column:
+    """The lines of a reply that quote the case. rows: situation, columns of questions, defect_fields, needed, and of each
+    side si_ and bl_: there, unreadable, type, path."""
+    there = {s: F.coalesce(f"{s}_there", F.lit(False)) for s in SIDE_NAMES}
+    opened = {s: F.col(f"{s}_unreadable").isNull() for s in SIDE_NAMES}
+    file = {s: F.coalesce(F.nullif(F.regexp_extract(f"{s}_path", r"([^\\/]*)$", 1), F.lit("")), f"{s}_path", F.lit("")) for s in SIDE_NAMES}
+    lines = lambda *xs: F.filter(F.array(*xs), lambda x: x.isNotNull())
+    large = lambda c: F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 1 << 30))
+    kind = {}
+    for s in SIDE_NAMES:
+        type_ = F.coalesce(f"{s}_type", F.lit(""))
+        named = F.coalesce(_looked_up(DOC_NAMES, type_), F.when(type_.isin("", "UNKNOWN"), "a document we could not identify").otherwise(F.replace(F.lower(type_), F.lit("_"), F.lit(" "))))
+        kind[s] = F.when(opened[s], named).when(F.col(f"{s}_unreadable") == SCAN, "a scanned document").otherwise("a file we could not open")
+    received = [F.when(there[s], _said("  - Received: {kind} ({file}).", kind=large(kind[s]), file=file[s])) for s in SIDE_NAMES]
+    needed = F.transform("needed", lambda x: F.concat(F.lit("  - Still needed: "), x, F.lit(".")))
+    heading = {s: F.lit(name[0].upper() + name[1:]) for s, name in SIDE_NAMES.items()}
+    scanned = {s: there[s] & (F.col(f"{s}_unreadable") == SCAN) for s in SIDE_NAMES}
+    scans = [F.when(scanned[s], _said("  - {side} ({file}): a scanned image, which we check manually.", side=heading[s], file=file[s])) for s in SIDE_NAMES]
+    why = {s: F.coalesce(_looked_up(UNOPENED, F.col(f"{s}_unreadable")), F.lit("we could not read the file")) for s in SIDE_NAMES}
+    broken = [F.when(there[s] & ~opened[s] & ~scanned[s], _said("  - {side} ({file}): {why}.", side=heading[s], file=file[s], why=why[s])) for s in SIDE_NAMES]
+    n = F.col("agreed").cast("string")
+    agreed = (
+        F.when((F.col("agreed") > 0) & (F.col("unread") > 0), _said("  - {n} of the other fields are consistent between the two documents; our team is checking the rest manually.", n=n))
+        .when(F.col("agreed") == 1, "  - The other field is consistent between the two documents.")
+        .when(F.col("agreed") > 1, _said("  - The other {n} fields are consistent between the two documents.", n=n))
+    )
+    wrong = F.split(F.coalesce("defect_fields", F.lit("")), ",")
+    by = {
+        "discrepancy": F.transform(F.filter("quoted", lambda x: F.array_contains(wrong, x["field"])), lambda x: x["line"]), "attachments_missing": F.array(F.lit("  - Attachments received: none.")),
+        "document_missing": F.concat(lines(*received), needed), "wrong_document": F.concat(lines(*received), needed), "file_unopenable": lines(*broken, *scans), "scanned_copies": lines(*scans),
+        "values_to_confirm": F.concat("asked_lines", "differing_lines", lines(agreed)),
+    }
+    out = F.array().cast("array<string>")
+    for situation, own in by.items():
+        out = F.when(F.col("situation") == situation, own).otherwise(out)
+    return out
+
+
+def body(rows: DataFrame) -> Column:
+    """A reply's parts (greeting, context, facts, action, closing) as one text."""
+    para = lambda c: F.when(F.coalesce(F.length(c), F.lit(0)) > 0, F.concat(F.lit("\n\n"), c)).otherwise("")
+    head = F.concat(F.lit(HELLO + "\n\n"), F.trim(F.concat("greeting", F.lit(" "), "context")))
+    return F.concat(head, para(F.array_join("facts", "\n")), para(F.col("action")), para(F.col("closing")), F.lit("\n\n" + REGARDS))
 
 
 def replies(cases: DataFrame, asked: DataFrame) -> DataFrame:
-    """case_id, situation, subject, context, action, closing for comparisons that a reply can be drafted for.
+    """case_id, situation, subject, greeting, context, facts (lines), action, closing and body for comparisons that a reply
+    can be drafted for.
 
-    cases: case_id, subject, category, status, review_reason, and of each side si_ and bl_: there, unreadable, type.
-    A clean case needs both documents. asked: questions().
+    cases: case_id, subject, category, status, review_reason, and of each side si_ and bl_: there, unreadable, type,
+    path (may be left out); defect_fields as they count after a review (left out: those that differ). A clean case
+    needs both documents. asked: questions().
     """
+    for c in ("defect_fields", "si_path", "bl_path"):
+        if c not in cases.columns:
+            cases = cases.withColumn(c, F.lit(None).cast("string"))
     there = {s: F.coalesce(f"{s}_there", F.lit(False)) for s in SIDE_NAMES}
     rows = cases.filter(F.col("category") == "BL_COMPARISON").filter((F.col("status") != "OK") | (there["si"] & there["bl"])).join(asked, "case_id", "left")
     none = F.array().cast("array<string>")
@@ -203,7 +315,8 @@ def replies(cases: DataFrame, asked: DataFrame) -> DataFrame:
     wanted = {"si": "SHIPPING_INSTRUCTION", "bl": "BILL_OF_LADING"}
     rows = rows.withColumns(
         {
-            "asked": F.coalesce("asked", none), "differing": F.coalesce("differing", none), "scans": names(lambda s: bad(s) & (F.col(f"{s}_unreadable") == SCAN)),
+            "asked": F.coalesce("asked", none), "differing": F.coalesce("differing", none), "asked_lines": F.coalesce("asked_lines", none), "differing_lines": F.coalesce("differing_lines", none),
+            "defect_fields": F.coalesce("defect_fields", "mismatched", F.lit("")), "scans": names(lambda s: bad(s) & (F.col(f"{s}_unreadable") == SCAN)),
             "broken": names(lambda s: bad(s) & (F.col(f"{s}_unreadable") != SCAN)), "needed": names(lambda s: ~F.exists(readable, lambda x: F.coalesce(x == wanted[s], F.lit(False)))),
             "damaged": ~F.coalesce(F.exists(F.array(*[F.when(bad(s) & (F.col(f"{s}_unreadable") != SCAN), F.col(f"{s}_unreadable")) for s in SIDE_NAMES]), lambda x: x.isNotNull() & ~x.isin("corrupt", "empty_file")), F.lit(False)),
         }
@@ -225,7 +338,8 @@ def replies(cases: DataFrame, asked: DataFrame) -> DataFrame:
         "{hint}": F.when(F.col("damaged"), RE_EXPORT).otherwise(""), "{them}": F.when(one_scan, "it").otherwise("them"), "{asks}": _listed_and(F.filter(F.array(confirm, correct), lambda x: x.isNotNull())),
         "{scans}": F.when(one_scan, "One of the documents came through as a scanned image").otherwise("The documents came through as scanned images"),
     }
-    out = rows.withColumn("situation", situation)
+    out = rows.withColumn("situation", situation).withColumn("greeting", F.lit(GREETING))
+    out = out.withColumn("facts", F.coalesce(facts(out), none))
     for i, name in enumerate(("context", "action", "closing")):
         text = F.lit(None).cast("string")
         for s, parts in REPLIES.items():
@@ -238,4 +352,4 @@ def replies(cases: DataFrame, asked: DataFrame) -> DataFrame:
     fallback = F.when(F.col("status") == "OK", "SI/BL checked, no discrepancy").when(open_ & quiet, "SI/BL check: manual review in progress").when(open_, "SI/BL check: action required").otherwise("discrepancy found between SI and draft BL")
     original = F.trim(F.coalesce("subject", F.lit("")))
     subject = F.when(original != "", F.concat(F.lit("Re: "), F.regexp_replace(original, r"(?i)^((re|fw|fwd)\s*[:_]\s*)+", ""))).otherwise(F.concat(F.lit("Re: "), F.col("case_id").cast("string"), F.lit(" — "), fallback))
-    return out.select("case_id", "situation", subject.alias("subject"), "context", "action", "closing")
+    return out.select("case_id", "situation", subject.alias("subject"), "greeting", "context", "facts", "action", "closing", body(out).alias("body"))

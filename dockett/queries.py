@@ -130,6 +130,28 @@ def candidate_scores(spark, sf_dir):
     return chunks.candidates(chunks.chunks(_docs(spark, sf_dir))).filter("rank = 1").groupBy("field", "side", "score").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Lines of a made document: real values beside headings of tables, values that say nothing, totals, and two as good as each other.
+_RIVALS = {
+    "Shipper": [f"'{chunks.HEADER_WORDS[0]} OF GOODS ' || upper(si_shipper) || ' {chunks.HEADER_WORDS[1]}'", "'TBA'", "si_shipper", "bl_consignee"], "Gross Weight": ["'N/A'", "'QTY GROSS WEIGHT ' || length(si_shipper)", "si_gross_weight_kg", "bl_gross_weight_kg"],
+    "Total Gross Weight": ["si_gross_weight_kg", "'???'"], "Consignee": ["bl_consignee", "'PACKAGES MARKS'"],
+}
+_RIVAL_ROWS = [(label, value) for label, values in _RIVALS.items() for value in values]
+
+
+@query(
+    f"""WITH {o.PAIRS}, l AS ({' UNION ALL '.join(f"SELECT case_id, CASE WHEN case_id % 2 = 0 THEN {i} ELSE {len(_RIVAL_ROWS) - 1 - i} END AS chunk_ord, {o.q(label)} AS label, {value} AS raw FROM pair" for i, (label, value) in enumerate(_RIVAL_ROWS))}),
+        f AS (SELECT *, CASE label WHEN 'Shipper' THEN 'shipper' WHEN 'Consignee' THEN 'consignee' ELSE 'gross_weight_kg' END AS field FROM l), k AS (SELECT *, {o.key('field', 'raw')} AS key FROM f),
+        p AS (SELECT *, CASE WHEN key IS NOT NULL AND (field = 'gross_weight_kg' OR regexp_matches(key, '[A-Z]')) THEN 50.0 ELSE 0 END + CASE WHEN starts_with(label, 'Total') THEN 15.0 ELSE 0 END + CASE WHEN {' + '.join(f"CAST(contains({o.basic('raw')}, {o.q(w)}) AS INTEGER)" for w in chunks.HEADER_WORDS)} >= 2 THEN -100.0 ELSE 0 END + CASE WHEN {o.is_blank('raw')} THEN -80.0 ELSE 0 END AS score FROM k)
+        SELECT case_id, field, CAST(chunk_ord AS INTEGER) AS chunk_ord, CAST(score AS DOUBLE) AS score, CAST(row_number() OVER w AS INTEGER) AS rank, first_value(label) OVER w AS won_label, CAST(first_value(chunk_ord) OVER w + 1 AS INTEGER) AS won_line, CAST(first_value(score) OVER w AS DOUBLE) AS won_score
+        FROM p WINDOW w AS (PARTITION BY case_id, field ORDER BY score DESC, chunk_ord)"""
+)
+def candidate_ranks(spark, sf_dir):
+    """Every candidate of a field, losers too, with what won over it."""
+    lines = F.array(*[F.concat(F.lit(f"{label}: "), F.expr(value)) for label, value in _RIVAL_ROWS])
+    texts = derive.pairs(spark, sf_dir).select("case_id", F.lit("SI").alias("side"), F.array_join(F.when(F.col("case_id") % 2 == 0, lines).otherwise(F.reverse(lines)), "\n").alias("text"))
+    return chunks.candidates(chunks.chunks(texts)).select("case_id", "field", "chunk_ord", "score", "rank", "won_label", F.col("won_line").cast("int").alias("won_line"), "won_score")
+
+
 @query(f"WITH {o.PAIRS} SELECT case_id, 'BL' AS side, bl_consignee AS raw FROM pair WHERE v = 7")
 def wrap_repair(spark, sf_dir):
     docs = _docs(spark, sf_dir)

@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from dockett.functions import labels
-from dockett.operators import classify, layout, perturb, reports, scoring
+from dockett.operators import classify, compare, layout, perturb, reports, scoring, worklist
 from dockett.plans import harness, run
 from dockett.sources import inbox
 
@@ -134,3 +134,33 @@ def test_similar_wordings_by_brute_force(spark):
             scored = [(labels.weighted_ratio(k, known), -i, f) for i, (known, f) in enumerate(labels.FUZZY_POOL)] if len(k) >= 8 or len(k.split()) > 1 else []
             best = max(scored, default=(0, 0, None))
             assert got[w] == (best[2] if best[0] >= labels.FUZZY_CUTOFF else None)
+
+
+def test_lines_of_replies(spark):
+    """Blank and unread values of either side, values given nowhere, marks inside values, files of all kinds."""
+    rows = [
+        (1, "shipper", 1, "TBA", "ACME {si}"), (1, "notify_party", 3, "N/A", "-"), (1, "container_count", 6, "B8 x", "  "), (1, "gross_weight_kg", 7, "5000 LBS", "5000 KG"), (1, "consignee", 2, "A", "B"), (1, "port_of_loading", 4, "OSLO", "OSLO"),
+        (2, "consignee", 2, " A\n", "B"), (2, "shipper", 1, "X", "Y"),
+    ]
+    asked = worklist.questions(compare.compare(spark.createDataFrame(rows, "case_id long, field string, field_ord int, si_raw string, bl_raw string")))
+    schema = "case_id long, subject string, category string, status string, review_reason string, defect_fields string, si_there boolean, si_unreadable string, si_type string, si_path string, bl_there boolean, bl_unreadable string, bl_type string, bl_path string"
+    both = (True, None, "SHIPPING_INSTRUCTION", "a/si.txt", True, None, "BILL_OF_LADING", "bl.txt")
+    cases = [
+        (1, None, "BL_COMPARISON", "NEEDS_REVIEW", "missing_value", None, *both), (2, "re: FW_ x", "BL_COMPARISON", "MISMATCH", None, "consignee", *both), (3, None, "BL_COMPARISON", "OK", None, "", *both), (4, None, "SPAM", "OK", None, "", *both),
+        (5, None, "BL_COMPARISON", "NEEDS_REVIEW", "unreadable", None, True, "no_text_layer", None, r"c:\x\s.png", True, "strange", None, None),
+        (6, None, "BL_COMPARISON", "NEEDS_REVIEW", "wrong_doc_type", None, True, None, "ARRIVAL_NOTICE", "n.txt", True, None, "UNKNOWN", "/"),
+    ]
+    got = {r.case_id: r for r in worklist.replies(spark.createDataFrame(cases, schema), asked).collect()}
+    assert set(got) == {1, 2, 3, 5, 6}
+    assert got[1].facts == [
+        '  - Shipper: left blank on the Shipping Instruction (it reads "TBA"); the draft Bill of Lading shows "ACME {si}".',
+        '  - Notify Party: left blank on the Shipping Instruction (it reads "N/A"); it is not given on the draft Bill of Lading either.',
+        '  - Container Count: the Shipping Instruction shows "B8 x", which we could not read as a value; it is not given on the draft Bill of Lading either.',
+        '  - Gross Weight: the Shipping Instruction shows "5000 LBS" and the draft Bill of Lading shows "5000 KG"; the figures are the same but the units differ, so one of the two documents needs amending.',
+        '  - Consignee: the Shipping Instruction shows "A"; the draft Bill of Lading shows "B".', "  - The other field is consistent between the two documents.",
+    ]
+    # Only what counts as a defect is quoted, though the shipper differs too.
+    assert got[2].facts == ['  - Consignee: SI says "A", draft BL says "B"'] and got[2].subject == "Re: x"
+    assert got[3].facts == [] and got[3].body == f"Hello,\n\n{got[3].greeting} {got[3].context}\n\n{got[3].action}\n\nThank you.\n\nRegards,"
+    assert got[5].facts == ["  - Draft Bill of Lading (): we could not read the file.", "  - Shipping Instruction (s.png): a scanned image, which we check manually."]
+    assert got[6].facts == ["  - Received: Arrival notice (n.txt).", "  - Received: A document we could not identify (/).", "  - Still needed: Shipping Instruction.", "  - Still needed: draft Bill of Lading."]
