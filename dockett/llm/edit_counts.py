@@ -200,8 +200,10 @@ def edited_counts(docs: DataFrame, trees: DataFrame, edits: DataFrame, ranks: st
     # A document's edits meet in one row, as its text does.
     listed = edits.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("did")).agg(F.array_sort(F.collect_list(whole)).alias("edits"))
     once = trees.groupBy("did", "th").agg(F.first("lengths").alias("lengths"), F.first("counts").alias("counts"), F.first("n_tokens").alias("n_tokens"))
-    kept = once.join(listed, "did", "left")
-    rows = _keyed(docs, id_col, text_col).join(kept, ["did", "th"])
+    # Trees without an id, which may be many, meet no list but that of the one id that stands for none.
+    last = F.col("did") == NULL_LAST
+    kept = once.filter(~last).join(listed, "did", "left").unionByName(once.filter(last).join(F.broadcast(listed.filter(last)), "did", "left"))
+    rows = _keyed(docs, id_col, text_col).join(kept, ["did", "th"]).withColumn("edits", F.when(F.col("doc_id").isNotNull(), F.col("edits")))
     return rows.select("doc_id", "text", "lengths", "counts", "n_tokens", "edits").mapInArrow(partial(_edited, ranks=ranks, pattern=pattern), "doc_id long, tokens_before long, n_edits long, n_tokens long, n_chars long, chars_encoded long")
 
 

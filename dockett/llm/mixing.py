@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, word_count
+from .common import by_others, materialize, word_count
 
 #: Slots if documents are small (a slot is one word at least), and the most words of a slot.
 SLOTS, MOST_WORDS = 1 << 18, 1 << 20
@@ -102,12 +102,15 @@ def met(plan: DataFrame, goals: DataFrame, words: int) -> DataFrame:
 def placed(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     """sizes (size > 0) with begin, where each document starts in its source's shuffled order, in words,
     and the columns of sources. Running sums inside buckets of the order and sums of whole buckets make it
-    up, so a source that holds much of the table is spread over its buckets."""
-    keyed = sizes.withColumn("order", F.xxhash64("doc_id", F.lit(7))).withColumn("bucket", F.pmod("order", F.lit(BUCKETS)).cast("int"))
-    inside = F.sum("size").over(W.partitionBy("source", "bucket").orderBy("order", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size")
+    up, so a source that holds much of the table is spread over its buckets, and so are rows without an id: equal rows
+    are counted and numbered, and their order follows from all that tells rows apart."""
+    equal = sizes.groupBy("doc_id", "source", "size", "digest").agg(F.count(F.lit(1)).alias("equals"))
+    once = equal.withColumn("equal", F.explode(F.sequence(F.lit(1).cast("long"), "equals"))).drop("equals")
+    keyed = once.withColumn("order", F.xxhash64("doc_id", "digest", "equal", F.lit(7))).withColumn("bucket", F.pmod("order", F.lit(BUCKETS)).cast("int"))
+    inside = F.sum("size").over(W.partitionBy("source", "bucket").orderBy("order", "doc_id", "size", "digest", "equal").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size")
     before = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     before = before.withColumn("ahead", F.sum("n").over(W.partitionBy("source").orderBy("bucket")) - F.col("n")).drop("n").join(sources, "source")
-    return keyed.withColumn("inside", inside).join(before, ["source", "bucket"]).withColumn("begin", F.col("ahead") + F.col("inside")).drop("order", "bucket", "inside", "ahead")
+    return keyed.withColumn("inside", inside).join(before, ["source", "bucket"]).withColumn("begin", F.col("ahead") + F.col("inside")).drop("order", "bucket", "inside", "ahead", "equal")
 
 
 def blocks(docs: DataFrame, words: int) -> DataFrame:
@@ -124,7 +127,7 @@ def blocks(docs: DataFrame, words: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", slots: int = SLOTS) -> DataFrame:
-    """One row per row of docs: doc_id, source, size, source_size, target, taken, copies.
+    """One row per row of docs: doc_id, source, size, source_size, target, taken, copies, digest (xxhash64 of the text).
 
     size is the number of words, 0 for null and empty texts, which take no part: taken 0, copies 1.
     taken counts words that the mix takes, repeats included, at most REPEATS times size; a source's sum is its
@@ -133,7 +136,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Repeated rows and null ids keep their rows. Without any words targets and taken are 0. Further
     columns, whatever their names, are ignored.
     """
-    sizes = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), _key(F.col(source_col)).alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
+    sizes = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), _key(F.col(source_col)).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("digest")), "sizes")
     sources = materialize(target_table(sizes), "sources")
     total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     words = max(1, min(MOST_WORDS, total // slots))
@@ -144,11 +147,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     cut = blocks(placed(sizes.filter("size > 0"), used), words)
     taken = cut.join(met(plan, goals, words).withColumn("hit", F.lit(True)), ["source", "block"], "left")
     # (source, begin) tells rows apart, as sizes are positive; ids need not.
-    sums = taken.groupBy("source", "begin", "doc_id", "size", "source_size", "target").agg(
+    sums = taken.groupBy("source", "begin", "doc_id", "size", "digest", "source_size", "target").agg(
         F.sum(F.when(F.col("hit"), F.col("part")).otherwise(0)).alias("taken"), F.sum((F.col("hit").isNotNull() & F.col("starts")).cast("long")).alias("copies")
     )
     empty = sizes.filter("size = 0").join(own, "source").withColumns({"taken": F.lit(0).cast("long"), "copies": F.lit(1).cast("long")})
-    names = ["doc_id", "source", "size", "source_size", "target", "taken", "copies"]
+    names = ["doc_id", "source", "size", "source_size", "target", "taken", "copies", "digest"]
     return sums.select(names).unionByName(empty.select(names)).withColumn("source", _source(F.col("source")))
 
 
@@ -156,12 +159,14 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """docs as a mix of whole documents: every row as often as its copies say, all columns as they were."""
     names = docs.columns
     row = F.struct(*[F.col(f"`{c}`") for c in names])
-    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("__id"), _key(F.col(source_col)).alias("__source"), word_count(F.col(text_col)).alias("__size")]
+    alike = ["__id", "__source", "__size", "__digest"]
+    id_ = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
+    key = [id_.alias("__id"), _key(F.col(source_col)).alias("__source"), word_count(F.col(text_col)).alias("__size"), F.xxhash64(text_col).alias("__digest")]
     plan = mix(docs, id_col, text_col, source_col, slots)
-    # Rows with one id, source and size are alike to the mix; they share their copies in a fixed order.
-    order = F.row_number().over(W.partitionBy("__id", "__source", "__size").orderBy(F.col("copies").desc()))
-    plan = plan.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("__id"), _key(F.col("source")).alias("__source"), F.col("size").alias("__size"), "copies").withColumn("__n", order)
-    mine = F.row_number().over(W.partitionBy("__id", "__source", "__size").orderBy(F.xxhash64(F.col(f"__row.`{text_col}`"))))
-    rows = docs.select(row.alias("__row"), *key).withColumn("__n", mine).join(plan, ["__id", "__source", "__size", "__n"])
+    # Rows of one id, source and text are alike to the mix; they share their copies in a fixed order.
+    order = F.row_number().over(W.partitionBy(*alike).orderBy(F.col("copies").desc()))
+    plan = plan.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("__id"), _key(F.col("source")).alias("__source"), F.col("size").alias("__size"), F.col("digest").alias("__digest"), "copies").withColumn("__n", order)
+    mine = F.row_number().over(W.partitionBy(*alike).orderBy("__by"))
+    rows = docs.select(row.alias("__row"), *key, by_others(names, [id_col, text_col]).alias("__by")).withColumn("__n", mine).join(plan, [*alike, "__n"])
     repeated = rows.filter("copies > 0").select("__row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("__copy"))
     return repeated.select([F.col(f"__row.`{c}`").alias(c) for c in names])

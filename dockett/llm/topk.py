@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 from .common import materialize, shared_path
 from .sstable import open_fs
 
-#: Rows of a query tile, of a block of it, and of a vector tile, vector tiles of a group, and lists merged at once.
-#: A task holds one query tile and one vector tile at a time.
-QUERY_ROWS, BLOCK_ROWS, TILE_ROWS, GROUP, FAN = 8192, 2048, 4096, 8, 64
+#: Most rows of a query tile and its most bytes (as doubles), rows of a block of it and of a vector tile, most vector tiles
+#: of a group, and lists merged at once. A task holds one query tile and one vector tile at a time; each query tile meets
+#: all vectors once, so the larger it is, the less is read.
+QUERY_ROWS, QUERY_BYTES, BLOCK_ROWS, TILE_ROWS, GROUP, FAN = 1 << 17, 64 << 20, 2048, 4096, 64, 64
 #: Partitions that pairs of tiles are dealt over at most.
 MOST_TASKS = 100_000
 _TILE = "tile long, path string"
@@ -130,9 +131,12 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     once = vectors.filter(sound).groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("copies"))
     vectors = once.select("vec_id", "v", F.explode(F.sequence(F.lit(1).cast("long"), F.least("copies", F.lit(k).cast("long")))).alias("copy"))
     queries = queries.filter(sound).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("copy", F.lit(1).cast("long"))
-    n, m = vectors.count(), queries.count()
-    q, t = -(-m // QUERY_ROWS) or 1, -(-n // TILE_ROWS) or 1
-    groups = -(-t // GROUP)
+    n = vectors.count()
+    m, wide = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    q, t = -(-m // max(1, min(QUERY_ROWS, QUERY_BYTES // (8 * max(1, wide))))) or 1, -(-n // TILE_ROWS) or 1
+    # Small tables are cut into as many pairs as shuffles have tasks; what is found does not depend on it.
+    group = max(1, min(GROUP, q * t // int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    groups = -(-t // group)
 
     def tiles(rows: DataFrame, number: int, name: str) -> DataFrame:
         """A written list of the tiles; files of attempts that did not end are in none."""
@@ -145,7 +149,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         return materialize(dealt.groupBy("tile").applyInArrow(pack, _TILE), name)
 
     asked = tiles(queries, q, "query-tiles").select(F.col("path").alias("query"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group"))
-    given = tiles(vectors, t, "vector-tiles").groupBy(F.floor(F.col("tile") / GROUP).alias("group")).agg(F.collect_list("path").alias("paths"))  # GROUP paths
+    given = tiles(vectors, t, "vector-tiles").groupBy(F.floor(F.col("tile") / group).alias("group")).agg(F.collect_list("path").alias("paths"))  # at most GROUP paths
     pairs = asked.join(given, "group").repartition(max(1, min(q * groups, MOST_TASKS)))
     kept = pairs.mapInArrow(partial(_multiplied, k=k), _KEPT)
     best = [F.desc("score"), "vec_id"]

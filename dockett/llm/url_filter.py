@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import dealt_join, materialize
+
 #: Bits of the filter for each key, bits set in one 64-bit block for a key, and the largest filter (in
-#: blocks, 64 kB) that is put into the plan as a literal. A larger one is joined by block number, in SALTS copies, as
-#: many urls may share a key.
-BITS_PER_KEY, PROBES, LITERAL_BLOCKS, SALTS = 16, 4, 8192, 16
+#: blocks, 64 kB) that is put into the plan as a literal. A larger one is joined by block number.
+BITS_PER_KEY, PROBES, LITERAL_BLOCKS = 16, 4, 8192
 
 # The production rules, (host, beginning of the path, verdict).
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -88,13 +89,12 @@ def judge(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col:
         passed = F.filter(keys, lambda k: F.element_at(table, _block(k, blocks) + 1).bitwiseAND(_mask(k)) == _mask(k))
         found = cut.select(*one, F.explode_outer(passed).alias("key")).join(best, "key", "left")
     else:
-        # Keys meet the filter's block first; only pages with a key that passes go on to the list.
-        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-        salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
-        every = cut.select("page_id", "url", salt.alias("salt"), F.explode(keys).alias("key"))
-        every = every.withColumns({"block": _block(F.col("key"), blocks), "mask": _mask(F.col("key"))})
-        passed = every.join(filter_.select("*", salts), ["block", "salt"]).filter(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask")).select("page_id", "url", "salt", "key")
-        hits = passed.join(best.select("*", salts), ["key", "salt"]).drop("salt", "key")
+        # Keys meet the filter's block first; only pages with a key that passes go on to the list. Blocks and keys that many
+        # pages have are dealt over as many parts as their counts ask for.
+        every = materialize(cut.select("page_id", "url", F.explode(keys).alias("key")).withColumns({"block": _block(F.col("key"), blocks), "mask": _mask(F.col("key"))}), "url-keys")
+        tested = dealt_join(every, filter_, ["block"], by=["page_id", "url", "key"])
+        passed = materialize(tested.filter(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask")).select("page_id", "url", "key"), "possible-keys")
+        hits = dealt_join(passed, best, ["key"], by=["page_id", "url"]).drop("key")
         found = cut.alias("c").join(hits.alias("h"), F.expr("c.page_id <=> h.page_id and c.url <=> h.url"), "left").select(*[F.col(f"c.{c}") for c in one], "rule", "hl", "listed")
     score = F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("n"), "hl", F.col("listed").alias("v"), "rule"))
     judged = found.groupBy("page_id", "url").agg(F.first("copies").alias("copies"), F.first("host").alias("host"), F.first("path").alias("path"), F.max(score).alias("best"))

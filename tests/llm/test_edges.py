@@ -197,3 +197,39 @@ def test_search_beside_clashing_columns(docs):
     bare = docs.select("doc_id", "text")
     found = lambda t: sorted(map(tuple, lexical.search(t.filter("doc_id in (1, 5, 9)").withColumnRenamed("doc_id", "item_id"), t, 4).collect()), key=str)
     assert found(docs) == found(bare) and len(found(bare)) == 12
+
+
+def test_many_rows_without_an_id_or_alike(spark):
+    """A third of all rows is one text without an id: they are spread over buckets, and each takes its part."""
+    rows = [(None, "a b c", "s")] * 400 + [(n, "w " * (n % 7), "st"[n % 2]) for n in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs).collect()
+    assert len(got) == 1200 and sum(r.doc_id is None for r in got) == 400
+    for source in "st":
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 1 and all(r.taken <= 3 * r.size for r in own)
+    sizes = spark.createDataFrame([(None, "s", 3, 5)] * 400, "doc_id long, source string, size long, digest long")
+    begins = [r.begin for r in mixing.placed(sizes, spark.createDataFrame([("s", 1)], "source string, more int")).collect()]
+    assert sorted(begins) == [3 * n for n in range(400)]
+    assert sum(r.copies for r in got) == mixing.mixed(docs).count()
+
+
+def test_edits_of_the_last_id_leave_rows_without_id_alone(spark):
+    import public_tokenizers
+
+    last = 2**63 - 1
+    docs = spark.createDataFrame([(None, "one two")] * 50 + [(last, "one two"), (1, "one two")], "doc_id long, text string")
+    edits = spark.createDataFrame([(last, 0, 0, 0, "more "), (None, 0, 0, 0, "none ")], "doc_id long, seq long, start long, stop long, new string")
+    ranks = public_tokenizer("byte_bpe_50k.tiktoken")
+    got = [(r.doc_id, r.n_edits, r.n_chars) for r in edit_counts.edit_aware_counts(docs, edits, ranks, public_tokenizers.PATTERN).collect()]
+    assert sorted(got, key=str) == sorted([(None, 0, 7)] * 50 + [(last, 1, 12), (1, 0, 7)], key=str)
+
+
+def test_long_url_list_with_keys_that_many_pages_share(spark, monkeypatch):
+    rules = spark.createDataFrame([("com", "/", "block"), ("a.com", "/x/", "allow"), ("net", "/", "block"), *[(f"h{n}.org", "/", "block") for n in range(300)]], "host string, path string, verdict string")
+    urls = [f"http://p{n}.com/{'x/' * (n % 3)}{n}" for n in range(300)] + [f"http://a.com/x/{n}" for n in range(100)] + ["http://h7.org/y", "none", None, "http://elsewhere.de/"]
+    pages = spark.createDataFrame([(None if n % 9 == 0 else n, u) for n, u in enumerate(urls)], "page_id long, url string")
+    short = sorted(map(str, url_filter.judge(pages, rules).collect()))
+    monkeypatch.setattr(url_filter, "LITERAL_BLOCKS", 0)
+    monkeypatch.setattr(common, "PART_ROWS", 20)
+    assert sorted(map(str, url_filter.judge(pages, rules).collect())) == short
