@@ -79,7 +79,11 @@ FUZZY_POOL = [(k, f) for f, v in SYNONYMS.items() for k in _keys(v) if len(k) >=
 
 def resolve(label: Column) -> Column:
     """A struct (field, step): step 1 known wording, 2 rule, 0 undecided. field is null for none of the seven."""
-    k = basic(label)
+    return resolve_key(basic(label))
+
+
+def resolve_key(k: Column) -> Column:
+    """resolve() of a label's basic form, which should be a column of its own: every rule asks for it."""
     answer = lambda f, n: F.struct(F.lit(f).cast("string").alias("field"), F.lit(n).alias("step"))
     chain = F.when(k == "", answer(None, 1)).when(k.isin(_keys(IGNORED)), answer(None, 1))
     for field, wordings in [*SYNONYMS.items(), *EXACT_ONLY.items()]:
@@ -250,8 +254,8 @@ def _similar(keys: pd.Series) -> pd.Series:
 def with_fields(df: DataFrame, label: str, into: str = "field", fuzzy: bool = True) -> DataFrame:
     """df with the field of its label. Rows stay where they are: an undecided label's key, null for all others, goes to
     Python in columns, where each distinct one is compared once a worker."""
-    given = df.withColumn("__r", resolve(F.col(label)))
+    given = df.withColumn("__k", basic(F.col(label))).withColumn("__r", resolve_key(F.col("__k")))
     if not fuzzy:
-        return given.withColumn(into, F.col("__r.field")).drop("__r")
-    similar = _similar(F.when(F.col("__r.step") == 0, basic(F.col(label))))
-    return given.withColumn("__f", similar).withColumn(into, F.coalesce("__r.field", "__f")).drop("__r", "__f")
+        return given.withColumn(into, F.col("__r.field")).drop("__k", "__r")
+    similar = _similar(F.when(F.col("__r.step") == 0, F.col("__k")))
+    return given.withColumn("__f", similar).withColumn(into, F.coalesce("__r.field", "__f")).drop("__k", "__r", "__f")

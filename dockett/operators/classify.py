@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import CATEGORIES
-from ..functions.labels import resolve
+from ..functions.labels import resolve_key
 from ..functions.rules import ATTACHED, BLOCK_CAP, DRAFT, EMAIL_RULES
-from ..functions.text import is_blank, strip
+from ..functions.text import basic, is_blank, settled, strip
 
 MIN_SCORE, MIN_MARGIN, FULL_SCORE, FULL_MARGIN = 3.0, 1.5, 8.0, 4.0
 PAIR_WEIGHT, SINGLE_WEIGHT = 3.0, 1.5
@@ -78,24 +78,28 @@ def matches(text: Column, pattern: str) -> Column:
 def views(emails: DataFrame) -> DataFrame:
     """emails with v_subject, v_body, v_body_head, v_sender and v_any, made once for all rules."""
     out = emails.withColumns({"v_subject": clean_subject(F.col("subject")), "v_body": clean_body(F.col("body")), "v_sender": F.upper(strip(F.coalesce("sender", F.lit(""))))})
-    return out.withColumns({"v_body_head": body_head(F.col("v_body")), "v_any": F.concat("v_subject", F.lit("\n"), "v_body")})
+    out = settled(out, "v_subject", "v_body", "v_sender")
+    return settled(out.withColumns({"v_body_head": body_head(F.col("v_body")), "v_any": F.concat("v_subject", F.lit("\n"), "v_body")}), "v_body_head", "v_any")
 
 
 def block_markers(text: Column) -> Column:
     """How many of the seven fields are labelled in a text."""
-    fields = F.transform(F.regexp_extract_all(text, F.lit(_LABELLED), 1), lambda x: resolve(x)["field"])
+    fields = F.transform(F.transform(F.regexp_extract_all(text, F.lit(_LABELLED), 1), basic), lambda k: resolve_key(k)["field"])
     return F.size(F.array_distinct(F.filter(fields, lambda f: f.isNotNull())))
 
 
 def fired_rules(viewed: DataFrame, doc_types: str | None = None) -> DataFrame:
-    """viewed with fired: array of (ord, name, category, gain), in table order.
+    """viewed with fired: array of (ord, name, category, gain), in table order. It is settled, as what reads it would
+    else repeat all rules for each thing that it asks.
 
     doc_types names an array column of the attachments' types, which speak for a comparison.
     """
+    counted = {v: f"__blocks_{v}" for _, _, v, _, p in EMAIL_RULES if p is None}
+    viewed, given = settled(viewed.withColumns({c: block_markers(F.col(f"v_{v}")) for v, c in counted.items()}), *counted.values()), viewed.columns
     hits = []
     for i, (name, category, view, weight, pattern) in enumerate(EMAIL_RULES):
         text = F.col(f"v_{view}")
-        gain = F.least(block_markers(text), F.lit(BLOCK_CAP)) * F.lit(weight) if pattern is None else F.lit(weight)
+        gain = F.least(F.col(counted[view]), F.lit(BLOCK_CAP)) * F.lit(weight) if pattern is None else F.lit(weight)
         cond = gain > 0 if pattern is None else matches(text, pattern)
         hits.append(F.when(cond, F.struct(F.lit(i).alias("ord"), F.lit(name).alias("name"), F.lit(category).alias("category"), gain.alias("gain"))))
     if doc_types:
@@ -103,7 +107,7 @@ def fired_rules(viewed: DataFrame, doc_types: str | None = None) -> DataFrame:
         si, bl = F.array_contains(kinds, "SHIPPING_INSTRUCTION"), F.array_contains(kinds, "BILL_OF_LADING")
         of = lambda name, w: F.struct(F.lit(len(EMAIL_RULES)).alias("ord"), F.lit(name).alias("name"), F.lit("BL_COMPARISON").alias("category"), F.lit(w).alias("gain"))
         hits.append(F.when(si & bl, of("attachments.si-bl-pair", PAIR_WEIGHT)).when(si | bl, of("attachments.shipping-document", SINGLE_WEIGHT)))
-    return viewed.withColumn("fired", F.filter(F.array(*hits), lambda x: x.isNotNull()))
+    return settled(viewed.withColumn("fired", F.filter(F.array(*hits), lambda x: x.isNotNull())), "fired").select(*given, "fired")
 
 
 def categories(fired: DataFrame) -> DataFrame:
