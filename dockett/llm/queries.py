@@ -42,8 +42,8 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The pieces themselves are made and handed over; the digest columns say what they are.
-    return piece_sampling.sampled_pieces(table(spark, sf_dir, "documents"), public_tokenizer("piece_bpe_32k.model"), k=2).drop("pieces")
+    # The pieces are the result; the digest columns say what they are.
+    return piece_sampling.sampled_pieces(table(spark, sf_dir, "documents"), public_tokenizer("piece_bpe_32k.model"), k=2)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
