@@ -4,13 +4,14 @@ import re
 
 import pytest
 
-from dockett.operators import chunks, compare
+from dockett.operators import chunks, compare, perturb
 from dockett.sources import derive
 
 SF = "/root/testdata/sf0.001"
 STEPS = {
     "compare": lambda pairs: compare.compare(derive.values(pairs)),
     "candidates": lambda pairs: chunks.candidates(chunks.chunks(derive.texts(pairs))),
+    "perturb": lambda pairs: perturb.texts(derive.texts(pairs)),
 }
 
 
