@@ -17,6 +17,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ from .common import bounded_batches, chunks, mix
 SPACE = "▁"
 #: Scale of the scores; characters sampled at once; steps looked at singly; random numbers drawn at once.
 ALPHA, AT_ONCE, LOOK, NUMBERS = 1 / 2048, 1 << 20, 32, 128
+#: In the table of pieces: no piece, but the beginning of some.
+BEGUN = -2
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 _P = np.uint64(0x9E3779B97F4A7C15)
 _MODELS: dict[str, Pieces] = {}
@@ -64,12 +67,15 @@ class Pieces:
         # No piece is piece -1, which has no weight.
         self.weights = np.append(self.weights, -np.inf)
         self.longest = max(len(self.texts[i]) for i in usable)
-        hashes = np.array([self._hash(self.texts[i]) for i in usable], dtype=np.uint64)
-        # An open table of 2**18 places by the top bits; a piece lies at its place or up to probes after it.
+        known = {self.texts[i]: i for i in usable}
+        begun = {t[:k]: BEGUN for t in known for k in range(1, len(t))}
+        # An open table of 2**18 places by the top bits; a piece lies at its place or up to probes after it, and so does
+        # what only begins pieces.
         self.hashes, self.ids, self.probes = np.zeros(2**18 + 64, dtype=np.uint64), np.full(2**18 + 64, -1, dtype=np.int32), 0
-        for i, h in zip(usable, hashes, strict=True):
+        for text, i in (begun | known).items():
+            h = self._hash(text)
             at = start = int(h >> np.uint64(46))
-            while self.ids[at] >= 0:
+            while self.ids[at] != -1:
                 at += 1
             self.hashes[at], self.ids[at], self.probes = h, i, max(self.probes, at - start)
 
@@ -80,9 +86,10 @@ class Pieces:
         return h[0]
 
     def look_up(self, hashes: np.ndarray) -> np.ndarray:
+        """The pieces of these hashes; BEGUN for what only begins pieces, -1 for anything else."""
         at = (hashes >> np.uint64(46)).astype(np.int64)
         found = np.where(self.hashes[at] == hashes, self.ids[at], -1)
-        open_ = np.nonzero((found < 0) & (self.ids[at] >= 0))
+        open_ = np.nonzero((found == -1) & (self.ids[at] != -1))
         at, hashes = at[open_], hashes[open_]
         for _ in range(self.probes):
             if not len(at):
@@ -90,7 +97,7 @@ class Pieces:
             at = at + 1
             hit = self.hashes[at] == hashes
             found[tuple(x[hit] for x in open_)] = self.ids[at[hit]]
-            on = ~hit & (self.ids[at] >= 0)
+            on = ~hit & (self.ids[at] != -1)
             at, hashes, open_ = at[on], hashes[on], tuple(x[on] for x in open_)
         return found
 
@@ -102,7 +109,7 @@ class Pieces:
         found = np.full((*codes.shape, min(self.longest, n)), -1, dtype=np.int32)
         for k in range(found.shape[2]):
             h = h[:, : n - k] * _P + mixed[:, k:]
-            found[:, : n - k, k] = self.look_up(h)
+            found[:, : n - k, k] = np.maximum(self.look_up(h), -1)
         wide = max([1, *(np.flatnonzero((found >= 0).any(axis=(0, 1))) + 1)])
         return found[:, :, :wide], found[:, :, 0] < 0
 
@@ -132,49 +139,60 @@ class Lattices:
 
     def __init__(self, model: Pieces, units: list[str]) -> None:
         lengths = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
-        self.end = np.cumsum(lengths)
+        # Units of one length lie side by side.
+        order = np.argsort(lengths, kind="stable")
+        self.end = np.empty_like(lengths)
+        self.end[order] = np.cumsum(lengths[order])
         self.first = self.end - lengths
         rows, wide = int(lengths.sum()), model.longest
         self.cumulative, self.logs, self.ids = np.ones((rows, wide)), np.full((rows, wide), -np.inf), np.zeros((rows, wide), dtype=np.int32)
-        self.unit_end = np.repeat(self.end, lengths)
-        codes = np.frombuffer("".join(units).encode("utf-32-le"), dtype="<u4")
-        self.wide = 1
-        for n in np.unique(lengths).tolist():
-            own = np.flatnonzero(lengths == n)
-            step = max(1, 2_000_000 // (n * wide))
-            for at in range(0, len(own), step):
-                self._fill(model, codes, self.first[own[at : at + step]], n)
-        self.cumulative, self.logs, self.ids = (x[:, : self.wide] for x in (self.cumulative, self.logs, self.ids))
-
-    def _fill(self, model: Pieces, codes: np.ndarray, first: np.ndarray, n: int) -> None:
-        rows = first[:, None] + np.arange(n)
-        own = codes[rows]
+        self.unit_end = np.repeat(self.end[order], lengths[order])
+        codes, at = np.frombuffer("".join([units[i] for i in order.tolist()]).encode("utf-32-le"), dtype="<u4"), 0
+        for n, count in zip(*np.unique(lengths, return_counts=True), strict=True):
+            step = max(1, 200_000 // int(n * min(n, wide)))
+            for begin in range(0, count, step):
+                end = at + int(n) * min(step, int(count) - begin)
+                self._fill(model, codes[at:end].reshape(-1, n), at, end)
+                at = end
+
+    def _fill(self, model: Pieces, codes: np.ndarray, begin: int, end: int) -> None:
+        """Rows begin to end: units of one length, which the rows of codes spell. Arrays hold them by length, place and unit."""
+        units, n = codes.shape
+        own = np.ascontiguousarray(codes.T).reshape(-1)
         mixed = mix(own.astype(np.uint64) + np.uint64(1))
-        wide = min(model.longest, n)
-        found = np.full((len(first), n, wide), -1, dtype=np.int32)
-        h = np.zeros((len(first), n), dtype=np.uint64)
-        for k in range(wide):
-            h = h[:, : n - k] * _P + mixed[:, k:]
-            found[:, : n - k, k] = model.look_up(h)
-        wide = max([1, *(np.flatnonzero((found >= 0).any(axis=(0, 1))) + 1)])
-        found, self.wide = found[:, :, :wide], max(wide, self.wide)
-        weights = model.weights[found]
-        bare = found[:, :, 0] < 0
-        weights[:, :, 0] = np.where(bare, model.unknown, weights[:, :, 0])
-        single = bare & (own < 128)
-        found[:, :, 0] = np.where(single, model.byte_ids[np.minimum(own, 127)], np.where(bare, -own.astype(np.int32), found[:, :, 0]))
-        after = np.full((len(first), n + wide), -np.inf)
-        after[:, n] = 0
-        cumulative = np.empty_like(weights)
+        most = min(model.longest, n)
+        found, weights = np.full((most, n * units), -1, dtype=np.int32), np.full((most, n * units), -np.inf)
+        # Only what begins a piece is read on.
+        at, h, wide = np.arange(n * units), np.zeros(n * units, dtype=np.uint64), 1
+        for k in range(most):
+            h = h * _P + mixed[at + k * units]
+            got = model.look_up(h)
+            held = got >= 0
+            if held.any():
+                places, got_ids, wide = at[held], got[held], k + 1
+                found[k, places], weights[k, places] = got_ids, model.weights[got_ids]
+            on = np.flatnonzero((got != -1) & (at < (n - k - 1) * units))
+            at, h = at[on], h[on]
+        found, weights = found[:wide], weights[:wide].reshape(wide, n, units)
+        bare = np.flatnonzero(found[0] < 0)
+        weights[0].reshape(-1)[bare] = model.unknown
+        found[0, bare] = np.where(own[bare] < 128, model.byte_ids[np.minimum(own[bare], 127)], -own[bare].astype(np.int32))
+        after = np.zeros((n + 1, units))
+        cumulative = np.ones_like(weights)
         for i in range(n - 1, -1, -1):
-            ways = weights[:, i, :] + after[:, i + 1 : i + 1 + wide]
-            top = ways.max(axis=1, keepdims=True)
-            sums = np.cumsum(np.exp(ways - top), axis=1)
-            total = sums[:, -1:]
-            after[:, i] = (top + np.log(total))[:, 0]
-            weights[:, i, :] = ways - after[:, i, None]
-            cumulative[:, i, :] = np.where(sums >= total, 1.0, sums / total)
-        self.cumulative[rows, :wide], self.logs[rows, :wide], self.ids[rows, :wide] = cumulative, np.minimum(weights, 0), found
+            fit = min(wide, n - i)
+            ways = weights[:fit, i] + after[i + 1 : i + 1 + fit]
+            top = ways.max(axis=0)
+            sums = np.exp(ways - top)
+            for k in range(1, fit):
+                sums[k] += sums[k - 1]
+            total = sums[-1]
+            after[i] = top + np.log(total)
+            weights[:fit, i] = ways - after[i]
+            cumulative[:fit, i] = np.where(sums >= total, 1.0, sums / total)
+        np.minimum(weights, 0, out=weights)
+        for into, x in ((self.cumulative, cumulative), (self.logs, weights), (self.ids, found.reshape(wide, n, units))):
+            into[begin:end].reshape(units, n, -1)[:, :, :wide] = x.transpose(2, 1, 0)
 
 
 def uniform(keys: np.ndarray, *more: int) -> np.ndarray:
@@ -190,10 +208,15 @@ class Draws:
     def __init__(self, lattices: Lattices, units: np.ndarray, keys: np.ndarray) -> None:
         at, end, alive, step = lattices.first[units], lattices.end[units], np.arange(len(units)), 0
         taken: list[tuple] = []
+        flat, wide = lattices.cumulative.reshape(-1), lattices.cumulative.shape[1]
         counts = np.zeros(len(units), dtype=np.int64)
         while len(alive):
             rows = at[alive]
-            choice = (lattices.cumulative[rows] <= uniform(keys[alive], step)[:, None]).sum(axis=1)
+            choice, on, u, place, length = np.zeros(len(rows), dtype=np.int64), np.arange(len(rows)), uniform(keys[alive], step), rows * wide, 0
+            while len(on):
+                more = np.flatnonzero(flat.take(place) <= u)
+                on, u, place, length = on[more], u[more], place[more] + 1, length + 1
+                choice[on] = length
             taken.append((alive, rows, choice))
             counts[alive] += 1
             at[alive] += choice + 1
@@ -322,9 +345,11 @@ def _ids(model: Pieces, lattices: Lattices, leaf: _Leaf) -> np.ndarray:
 def sample(model: Pieces, texts: list[str], keys: np.ndarray, k: int) -> Iterator[list[tuple[np.ndarray, float, float]]]:
     """For each text up to k distinct encodings: (piece ids, log probability, inclusion score)."""
     split = [_UNIT.findall(normalised(t)) for t in texts]
-    places: dict[str, int] = {}
-    units = np.array([places.setdefault(u, len(places)) for s in split for u in s], dtype=np.int64)
+    flat = list(chain.from_iterable(split))
+    places = dict.fromkeys(flat)
     lattices = Lattices(model, list(places))
+    places.update(zip(places, range(len(places)), strict=True))
+    units = np.fromiter(map(places.__getitem__, flat), dtype=np.int64, count=len(flat))
     counts = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
     bounds = np.concatenate(([0], np.cumsum(counts)))
     own = mix(np.repeat(keys, counts) + mix(np.arange(len(units), dtype=np.uint64) - np.repeat(bounds[:-1], counts).astype(np.uint64)))

@@ -145,3 +145,14 @@ def test_query_returns_its_pieces(tmp_path, spark):
     for r in rows:
         text = (data[r.doc_id][1] or "").replace(piece_sampling.SPACE, " ")
         assert model.decode(r.pieces).decode() == text and r.n_pieces == len(r.pieces) and r.ids_crc32 == zlib.crc32(np.array(r.pieces, dtype="<i4").tobytes())
+
+
+def test_only_what_begins_a_piece_is_read_on(monkeypatch):
+    """op8: lattices looked up every length at every character before."""
+    model, asked = piece_sampling.pieces(MODEL), []
+    look_up = piece_sampling.Pieces.look_up
+    monkeypatch.setattr(piece_sampling.Pieces, "look_up", lambda self, h: asked.append(h.size) or look_up(self, h))
+    units = ["qxzjvkwq" * 4, "▁seven", "jjqqxxzzvv" * 3]
+    piece_sampling.Lattices(model, units)
+    every = sum(sum(len(u) - k for k in range(min(model.longest, len(u)))) for u in units)
+    assert 0 < sum(asked) < every / 3
