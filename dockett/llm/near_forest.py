@@ -10,7 +10,9 @@ chance of about MISS.
 
 Fingerprints only propose pairs; whether two texts are similar is decided by their sets of shingles. First
 a shard proposes stars around leaders that lie more than the radius apart, so a large group of copies is
-not paired with itself. Then all pairs within the radius are compared that lie in different groups still.
+not paired with itself. Then all pairs within the radius are compared that lie in different groups still: one
+by one where they are few, and where texts have many of them, as a family of nearly similar texts, by bringing
+the texts' sets together in tiles. A tile hands over only links that hold, and of these no more than join its texts.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_LAST, by_others, dealt_join, materialize, mix
+from .common import NULL_LAST, by_others, chunks, dealt_join, materialize, mix
 from .simhash import SEED, components
 
 WORDS, SHINGLE = 4, 5
@@ -40,6 +42,10 @@ SHARD, WIDE, ROUTED, SAMPLE, BLOCK = 512, 256, 2, 65_536, 256
 #: wanted chance that all trees part them.
 MARGIN, NEAR, MEET, FADE, MISS = 2, 46, 0.9, 0.165, 0.01
 
+#: Pairs for each text of a part up to which they are handed over one by one; texts of a tile beyond that, shingles of a
+#: tile's texts (8 MB), and shingles counted at once.
+FEW, TILE, TILE_SHINGLES, AT_ONCE = 4, 512, 1 << 20, 4096
+
 #: A text's own row: its id and the digest of the text; of equal sets of shingles the smallest stands for all.
 NODE = "struct<did: long, th: long>"
 
@@ -202,16 +208,56 @@ def stars(fps: np.ndarray, sizes: np.ndarray, radius: int, similarity: float) ->
     return np.concatenate(leaders), np.concatenate(members)
 
 
-def across(fps: np.ndarray, sizes: np.ndarray, roots: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of places near each other that have different roots."""
-    one, other = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+def across(fps: np.ndarray, sizes: np.ndarray, roots: np.ndarray, radius: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places near each other that have different roots, in pieces."""
     for i in range(0, len(fps), BLOCK):
         for j in range(i, len(fps), 4 * BLOCK):
             found = near(fps, sizes, slice(i, i + BLOCK), slice(j, j + 4 * BLOCK), radius, similarity) & (roots[i : i + BLOCK, None] != roots[None, j : j + 4 * BLOCK])
             a, b = np.nonzero(found)
-            one.append((a + i)[a + i < b + j])
-            other.append((b + j)[a + i < b + j])
-    return np.concatenate(one), np.concatenate(other)
+            yield (a + i)[a + i < b + j], (b + j)[a + i < b + j]
+
+
+def tiles(sizes: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """(name, places, sides) of tiles in which any two places meet once: those of one range (sides are all 0), or of two."""
+    ranges = list(chunks([max(int(n), TILE_SHINGLES // TILE) for n in sizes], TILE_SHINGLES))
+    for i, (a, b) in enumerate(ranges):
+        yield f"{i}", np.arange(a, b), np.zeros(b - a, dtype=np.int32)
+        for j, (c, d) in enumerate(ranges[i + 1 :], i + 1):
+            yield f"{i} {j}", np.concatenate((np.arange(a, b), np.arange(c, d))), np.repeat(np.array([0, 1], dtype=np.int32), (b - a, d - c))
+
+
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Shingles that any two of the sets share."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+    shared = np.flatnonzero(held[column] > 1)
+    column = (np.cumsum(held > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[shared][order]
+    out = np.zeros((len(sets), len(sets)), dtype=np.float64)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, AT_ONCE):
+        a, b = np.searchsorted(column, (at, at + AT_ONCE))
+        part = np.zeros((len(sets), AT_ONCE), dtype=np.float32)
+        part[owner[a:b], column[a:b] - at] = 1
+        out += part @ part.T
+    return out
+
+
+def forest(held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one, other): as few of the links of a symmetric table as join what all of them join."""
+    open_, one, other = held.any(axis=1), [], []
+    while open_.any():
+        edge = np.flatnonzero(open_)[:1]
+        open_[edge] = False
+        while len(edge):
+            met = held[edge] & open_
+            new = np.flatnonzero(met.any(axis=0))
+            one.append(edge[met[:, new].argmax(axis=0)])
+            other.append(new)
+            open_[new] = False
+            edge = new
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *one]), np.concatenate([none, *other])
 
 
 def _similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
@@ -287,16 +333,50 @@ def near_pairs(docs: DataFrame, similarity: float, shingle: int, id_col: str, te
             other.append(at[members])
         return table(nodes, one, other)
 
+    def numbers(root: pa.Array) -> np.ndarray:
+        return np.unique(np.rec.fromarrays([root.field(f).to_numpy() for f in ("did", "th")]), return_inverse=True)[1].reshape(-1)
+
     def parted(shard: pa.Table) -> pa.Table:
+        """Pairs (u, v) where they are few; else texts u of a tile, with their side of it."""
         own, sizes, nodes, whole = columns(shard)
-        root = whole.column("root").combine_chunks()
-        roots = np.unique(np.rec.fromarrays([root.field(f).to_numpy() for f in ("did", "th")]), return_inverse=True)[1].reshape(-1)
-        one, other = [], []
-        for at in divided(own, widths[ROUTED:], shard.column("shard")[0].as_py()):
-            a, b = across(own[at], sizes[at], roots[at], radius, similarity)
-            one.append(at[a])
-            other.append(at[b])
-        return table(nodes, one, other)
+        roots, name = numbers(whole.column("root").combine_chunks()), shard.column("shard")[0].as_py()
+        one, other, tile, side = [], [], [], []
+        for part, at in enumerate(divided(own, widths[ROUTED:], name)):
+            crowd, pairs, n = np.zeros(len(at), dtype=bool), [], 0
+            for a, b in across(own[at], sizes[at], roots[at], radius, similarity):
+                crowd[a] = crowd[b] = True
+                n += len(a)
+                if n > FEW * len(at):
+                    pairs.clear()
+                else:
+                    pairs.append((at[a], at[b]))
+            at = at[crowd]
+            if n <= FEW * len(at):
+                for a, b in pairs:
+                    one.append(a)
+                    other.append(b)
+                    tile += [None] * len(a)
+                    side.append(np.zeros(len(a), dtype=np.int32))
+            else:
+                for label, places, sides in tiles(sizes[at]):
+                    one.append(at[places])
+                    other.append(np.full(len(places), -1))
+                    tile += [f"{name} {part} {label}"] * len(places)
+                    side.append(sides)
+        u, v = (np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in (one, other))
+        return pa.table([nodes.take(pa.array(u)), nodes.take(pa.array(v, mask=v < 0)), pa.array(tile, pa.string()), np.concatenate([np.zeros(0, dtype=np.int32), *side])], names=["u", "v", "tile", "side"])
+
+    def tiled(tile: pa.Table) -> pa.Table:
+        """Links of a tile that hold, as many as join its texts."""
+        own, sizes, nodes, whole = columns(tile)
+        roots, side = numbers(whole.column("root").combine_chunks()), whole.column("side").to_numpy()
+        every = slice(None)
+        asked = near(own, sizes, every, every, radius, similarity) & (roots[:, None] != roots)
+        if side.any():
+            asked &= side[:, None] != side
+        common = common_counts([np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in whole.column("own").combine_chunks()])
+        one, other = forest(asked & (common / (sizes[:, None] + sizes - common) >= similarity))
+        return table(nodes, [one], [other])
 
     def visits(nodes: DataFrame, more: str = "") -> DataFrame:
         return nodes.mapInArrow(partial(_visits, sample=sample, widths=widths[:ROUTED], trees=trees_for(widths)), f"shard long, node {NODE}, fp binary, size int{more}").groupBy("shard")
@@ -310,8 +390,12 @@ def near_pairs(docs: DataFrame, similarity: float, shingle: int, id_col: str, te
     links = materialize(similar(first, sets, similarity), "star-links")
     groups = near_some.join(components(links), "node", "left").select("node", "fp", "size", F.coalesce("root", "node").alias("root"))
     asked = first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    second = materialize(visits(groups, f", root {NODE}").applyInArrow(parted, pair).distinct().join(asked, ["u", "v"], "left_anti"), "parted-pairs")
-    return Found(fps, classes, materialize(links.union(similar(second, sets, similarity)), "near-links"))
+    groups = materialize(groups, "near-groups")
+    parts = materialize(visits(groups, f", root {NODE}").applyInArrow(parted, f"{pair}, tile string, side int"), "parted-pairs")
+    second = materialize(parts.filter("tile is null").select("u", "v").distinct().join(asked, ["u", "v"], "left_anti"), "few-pairs")
+    met = parts.filter("tile is not null").select(F.col("u").alias("node"), "tile", "side").join(groups, "node").join(sets, "node")
+    crowded = met.groupBy("tile").applyInArrow(tiled, pair)
+    return Found(fps, classes, materialize(links.union(similar(second, sets, similarity)).union(crowded), "near-links"))
 
 
 KEY = ["fp", "size", "whole"]

@@ -221,3 +221,59 @@ def test_rejected_rows_are_those_predicted(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir[0]}/{t}.parquet") for t in ("documents", "labels"))
     out = {r.doc_id for r in toxicity.toxicity(docs, labels).filter("predicted = 1").collect()}
     assert out and out == {d[0] for d in sf_dir[1]} - {r.doc_id for r in toxicity.without_toxic(docs, labels).collect()}
+
+
+def test_families_of_nearly_similar_texts_are_not_paired(spark, monkeypatch):
+    """Rows handed over grow with a family, not with its square; links inside it are those of brute force."""
+    rng = random.Random(12)
+    words = vocabulary(rng)
+    base = [rng.choice(words) for _ in range(70)]
+    texts = []
+    for i in range(160):
+        words = base[:]
+        for at in rng.sample(range(70), 1 if i % 8 == 0 else 2):
+            words[at] = f"edited{i}x{at}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    rows, keep = {}, near_forest.materialize
+
+    def counted(df, name):
+        out = keep(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(near_forest, "materialize", counted)
+    got = {r.did: r.component_id for r in near_forest.near_duplicates(docs).collect()}
+    sets, root = [shingles(t) for t in texts], {i: i for i in range(len(texts))}
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(sets[i], sets[j]) >= 0.8 and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = {k: a if r == b else r for k, r in root.items()}
+    assert got == root and 1 < len(set(root.values())) < len(texts)
+    assert rows["parted-pairs"] <= near_forest.FEW * len(texts) and rows["near-links"] <= near_forest.FEW * len(texts)
+
+
+def test_tiles_and_their_links():
+    rng = np.random.default_rng(3)
+    sizes = np.concatenate((rng.integers(1, 400, 1100), [near_forest.TILE_SHINGLES * 2], rng.integers(1, 400, 300)))
+    met = np.zeros((len(sizes),) * 2, dtype=int)
+    for _, places, sides in near_forest.tiles(sizes):
+        assert len(places) <= 2 * near_forest.TILE
+        pairs = (sides[:, None] != sides) if sides.any() else ~np.eye(len(places), dtype=bool)
+        met[np.ix_(places, places)] += pairs
+    assert (met == 1 - np.eye(len(sizes), dtype=int)).all()
+    sets = [np.unique(rng.integers(0, 9000, n)).astype(np.uint64) for n in rng.integers(0, 6000, 30)]
+    common = near_forest.common_counts(sets)
+    assert all(common[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(30) for j in range(30) if i != j)
+    held = np.triu(rng.random((60, 60)) < 0.02, 1)
+    held |= held.T
+    one, other = near_forest.forest(held)
+
+    def reach(links):
+        root = list(range(60))
+        for a, b in links:
+            root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+        return root
+
+    assert held[one, other].all() and reach(zip(one, other, strict=True)) == reach(zip(*np.nonzero(held), strict=True)) and len(one) == 60 - len(set(reach(zip(one, other, strict=True))))
