@@ -251,7 +251,7 @@ def test_families_of_nearly_similar_texts_are_not_paired(spark, monkeypatch):
                 a, b = sorted((root[i], root[j]))
                 root = {k: a if r == b else r for k, r in root.items()}
     assert got == root and 1 < len(set(root.values())) < len(texts)
-    assert rows["parted-pairs"] <= near_forest.FEW * len(texts) and rows["near-links"] <= near_forest.FEW * len(texts)
+    assert rows["parted-pairs"] <= 4 * len(texts) and rows["near-links"] <= 4 * len(texts)
 
 
 def test_tiles_and_their_links():
