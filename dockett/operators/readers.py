@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..constants import FIELDS
 from ..functions.labels import resolve
-from ..functions.text import basic, is_blank, strip
-from .chunks import BREAKS, DOC, RULE, chunks
+from ..functions.text import basic, is_blank, split_lines, strip
+from .chunks import DOC, RULE, chunks
 
 #: Columns of a table that may be a manifest, at least.
 MANIFEST_COLUMNS = 3
@@ -66,7 +66,7 @@ def split_pair(text: Column) -> Column:
 def markdown_chunks(docs: DataFrame) -> DataFrame:
     """case_id, side, chunk_ord (from 0), line, label, value of Markdown texts: rows of pipe tables first, then labelled
     lines outside of tables, both in their order. docs: case_id, side, text."""
-    lines = docs.select(*DOC, F.posexplode(F.split(F.coalesce("text", F.lit("")), BREAKS)).alias("line", "raw")).withColumns({"line": F.col("line") + 1, "text": strip(F.col("raw"))})
+    lines = docs.select(*DOC, F.posexplode(split_lines(F.col("text"))).alias("line", "raw")).withColumns({"line": F.col("line") + 1, "text": strip(F.col("raw"))})
     piped = F.startswith("text", F.lit("|"))
     cells = F.transform(F.split(F.btrim("text", F.lit("|")), r"\|"), strip)
     full = F.filter("cells", lambda x: x != "")
