@@ -39,3 +39,15 @@ def test_lines_end_as_by_the_pattern(spark):
     texts = ["a\r\nb\rc\nd\x0be\x0cf\x1cg\x1dh\x1ei\x85j k l", "\r\r\n\n", "", "x\r\n"]
     got = [r.l for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(split_lines(F.col("t")).alias("l")).collect()]
     assert got == [re.split("\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]", t) for t in texts]
+
+
+def test_pairing_makes_one_list_a_case_and_keeps_cases_without_values(spark):
+    names = "case_id long, side string, field string, raw string, key string, number double, blank boolean, present boolean, line int, snippet string"
+    values = spark.createDataFrame([(1, "BL", "consignee", "ACME LTD", "ACME", None, False, True, 2, "s"), (1, "SI", "gross_weight_kg", "5 KG", "5", 5.0, False, True, 3, "t")], names)
+    paired = chunks.paired(values, spark.createDataFrame([(1,), (2,)], "case_id long"))
+    plan = paired._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list") == 1 and "max(" not in plan.replace("array_max(", "")
+    rows = {(r.case_id, r.field): r for r in paired.collect()}
+    assert len(rows) == 14 and rows[1, "consignee"].bl_key == "ACME" and rows[1, "consignee"].si_raw is None
+    assert rows[1, "gross_weight_kg"].si_number == 5.0 and rows[1, "gross_weight_kg"].bl_raw is None
+    assert [rows[2, f].field_ord for f in ("shipper", "gross_weight_kg")] == [1, 7] and all(r.si_raw is None and r.bl_raw is None for k, r in rows.items() if k[0] == 2)
