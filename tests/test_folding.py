@@ -2,8 +2,10 @@
 
 import re
 
+from dockett import queries, reader_queries  # noqa: F401
 from dockett.functions.text import split_lines
 from dockett.operators import chunks
+from dockett.registry import QUERIES
 from pyspark.sql import functions as F
 
 ODD = [
@@ -51,3 +53,9 @@ def test_pairing_makes_one_list_a_case_and_keeps_cases_without_values(spark):
     assert len(rows) == 14 and rows[1, "consignee"].bl_key == "ACME" and rows[1, "consignee"].si_raw is None
     assert rows[1, "gross_weight_kg"].si_number == 5.0 and rows[1, "gross_weight_kg"].bl_raw is None
     assert [rows[2, f].field_ord for f in ("shipper", "gross_weight_kg")] == [1, 7] and all(r.si_raw is None and r.bl_raw is None for k, r in rows.items() if k[0] == 2)
+
+
+def test_texts_are_dealt_by_document_before_they_are_read(spark):
+    for name in ("candidate_scores", "candidate_ranks", "missing_fields"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"hashpartitioning\(case_id#\d+L?, (?:side#\d+|SI), \d+\), REPARTITION", plan), name
