@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..constants import CATEGORIES, STATUSES
 from ..functions.text import strip
-from ..storage import numbered
+from ..storage import numbered, written
 from .review import effective
 
 # States of a review; places of a list of recent cases; rows of the exercise; situations of a reply.
@@ -27,12 +27,11 @@ def listed(df: DataFrame) -> Column:
 def case_rows(cases: DataFrame, reviews: DataFrame, senders: DataFrame | None = None) -> DataFrame:
     """One row a case with the outcome that counts and, beside it, the system's own (system_status,
     system_defect_fields). senders (case_id, sender) fills sender; a case without one has 'unknown'."""
-    e = effective(cases, reviews).withColumnRenamed("source", "outcome_source")
-    own = cases.drop("review_reason", "has_defect").withColumnsRenamed({"status": "system_status", "defect_fields": "system_defect_fields"})
-    rows = own.join(e, "case_id")
+    own = {c: F.col(c) for c in cases.columns if c not in ("case_id", "status", "review_reason", "has_defect", "defect_fields")}
+    rows = effective(cases, reviews, {**own, "system_status": F.col("status"), "system_defect_fields": F.col("defect_fields")}).withColumnRenamed("source", "outcome_source")
     if senders is None:
         return rows
-    return rows.join(senders.select("case_id", "sender"), "case_id", "left").withColumn("sender", F.coalesce(F.nullif("sender", F.lit("")), F.lit("unknown")))
+    return rows.join(senders.select("case_id", "sender").hint("merge"), "case_id", "left").withColumn("sender", F.coalesce(F.nullif("sender", F.lit("")), F.lit("unknown")))
 
 
 def filtered(rows: DataFrame, category: str | None = None, status: str | None = None, decided_by: str | None = None) -> DataFrame:
@@ -90,9 +89,12 @@ def scan_states(docs: DataFrame, read_out: DataFrame) -> DataFrame:
 
 def exercise(rows: DataFrame, guesses: DataFrame, seconds: float) -> DataFrame:
     """One row: answered, agreed and per_email_seconds over the first five cases, and classify_all_seconds, that pace over
-    all. rows: case_id, ord, category; guesses: case_id, guess."""
-    first = rows.orderBy("ord").limit(EXERCISE)
-    seen = first.join(guesses, "case_id", "left").agg(F.count(F.lit(1)).alias("shown"), F.count("guess").alias("answered"), F.count_if(F.col("guess") == F.col("category")).alias("agreed"))
+    all. rows: case_id, ord, category; guesses: case_id, guess. Rows are written, as they are read twice; of the guesses
+    only those of the first cases are joined."""
+    rows = written(rows.select("case_id", "ord", "category"), "exercise-rows")
+    first = written(rows.orderBy("ord").limit(EXERCISE), "exercise-first")
+    few = guesses.join(F.broadcast(first.select("case_id")), "case_id", "left_semi")
+    seen = first.join(few.hint("merge"), "case_id", "left").agg(F.count(F.lit(1)).alias("shown"), F.count("guess").alias("answered"), F.count_if(F.col("guess") == F.col("category")).alias("agreed"))
     n = rows.agg(F.count(F.lit(1)).alias("emails"))
     pace = F.when((F.col("shown") > 0) & (F.col("answered") >= F.col("shown")), F.lit(float(seconds)) / F.col("shown")).otherwise(0.0)
     # Both sides are one row.
