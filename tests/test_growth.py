@@ -1,6 +1,6 @@
 """What grows with the input is not sent through the driver, and documents are not exchanged more often than needed."""
 
-from dockett.operators import worklist
+from dockett.operators import layout, worklist
 from dockett.storage import written
 
 
@@ -25,3 +25,16 @@ def test_reviews_and_senders_are_not_broadcast(spark):
     guesses = rows.selectExpr("case_id", "CASE WHEN case_id < 3 THEN category ELSE 'SPAM' END AS guess")
     r = worklist.exercise(rows, guesses, 60.0)
     assert tuple(r.first()) == (5, 3, 12.0, 96.0)
+
+
+def test_a_page_is_dealt_once(spark):
+    """Also with nulls, fonts drawn through each other, and an edge that no labelled row shows."""
+    word = "doc int, page int, text string, x0 double, x1 double, top double, size double, fontname string"
+    rows = [(1, 1, t, x, x + 20, top, 10.0, font) for top in (10.0, 30.0, 50.0) for t, x, font in (("L", 40.0, "B,Bold"), ("v", 200.0, "A"), ("w", 300.0, None))]
+    rows += [(2, 1, "Bold", 40.0, 90.0, 10.0, 10.0, "Bold"), (2, 1, "thin", 60.0, 99.0, 10.0, None, "A"), (2, 1, "lost", None, None, 30.0, 0.0, None), (2, 1, None, 70.0, 80.0, None, 10.0, "A")]
+    words = written(spark.createDataFrame(rows, word), "words")
+    out = layout.split_rows(words)
+    assert physical(out).count("Exchange") == 1 and "Join" not in physical(out)
+    assert {(r.doc, r.value_x) for r in layout.value_columns(words).collect()} == {(1, 200.0), (2, layout.NO_COLUMN)}
+    got = {(r.doc, r.row): (r.label, r.value) for r in out.collect()}
+    assert [got[1, i] for i in (1, 2, 3)] == [("L", "v w")] * 3 and ("Bold", "thin") in got.values() and len(got) == 6
