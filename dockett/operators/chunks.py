@@ -6,6 +6,8 @@ candidates group by document, and one exchange by (case_id, side) serves them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,15 +40,16 @@ def _label(text: Column) -> Column:
     return F.when((F.instr(text, ":") > 1) & (F.length(F.rtrim(before, F.lit(_BLANKS))) <= 60), F.nullif(strip(before), F.lit("")))
 
 
-def _marked(docs: DataFrame, fuzzy: bool) -> DataFrame:
+def _marked(docs: DataFrame, fuzzy: bool, told: Callable[[Column], Column] | None = None) -> DataFrame:
     """case_id, side, rows (the lines() of each document with text, indented, colon and label) and fields, one a line.
 
-    Few lines have no colon, so only those are searched for other separators, if they hold one at all.
+    told is asked about each line as it stands, for rows' column of that name. Few lines have no colon, so only those are searched for other separators, if they hold one at all.
     """
-    rows = F.transform(split_lines(F.col("text")), lambda x, i: F.struct((i + 1).alias("line"), F.substring(x, 1, 1).isin(" ", "\t").alias("indented"), strip(x).alias("text")))
+    more = lambda x: [] if told is None else [x.alias("told")]
+    rows = F.transform(split_lines(F.col("text")), lambda x, i: F.struct((i + 1).alias("line"), F.substring(x, 1, 1).isin(" ", "\t").alias("indented"), strip(x).alias("text"), *more(told and told(x))))
     rows = F.filter(rows, lambda r: (r["text"] != "") & ~r["text"].rlike(RULE))
     other = lambda x: F.when(x.rlike(SEPARATOR), F.nullif(strip(F.regexp_extract(x, OTHER, 1)), F.lit("")))
-    rows = F.transform(rows, lambda r: F.struct(r["line"].alias("line"), r["indented"].alias("indented"), r["text"].alias("text"), _label(r["text"]).isNotNull().alias("colon"), F.coalesce(_label(r["text"]), other(r["text"])).alias("label")))
+    rows = F.transform(rows, lambda r: F.struct(r["line"].alias("line"), r["indented"].alias("indented"), r["text"].alias("text"), _label(r["text"]).isNotNull().alias("colon"), F.coalesce(_label(r["text"]), other(r["text"])).alias("label"), *more(told and r["told"])))
     found = settled(docs.select(*DOC, rows.alias("rows")), "rows")
     keys = F.transform("rows", lambda r: basic(r["label"]))
     found = settled(found.withColumn("__a", F.transform(keys, lambda k: F.struct(k.alias("k"), resolve_key(k).alias("r")))), "__a")
@@ -72,6 +75,18 @@ def marked(docs: DataFrame, fuzzy: bool = True) -> DataFrame:
     return settled(_marked(docs, fuzzy).select(*DOC, rows.alias("rows")), "rows").select(*DOC, F.inline("rows"))
 
 
+def told_lines(docs: DataFrame, told: Callable[[Column], Column], fuzzy: bool = True) -> DataFrame:
+    """told (not null), attached: of the lines that told says something of, whether they start a chunk that the very next
+    line continues. Blank lines and decorations continue nothing."""
+    field = lambda i: F.get("fields", i)
+    rows = F.transform("rows", lambda r, i: F.struct(r["line"].alias("line"), r["told"].alias("told"), _starts(r, field(i)).alias("starts")))
+    marked = settled(_marked(docs, fuzzy, told).select(*DOC, rows.alias("rows")), "rows")
+    # A last line has none after it, and one with a gap after it is not attached either.
+    after = lambda r, i: F.coalesce((F.get("rows", i + 1)["line"] == r["line"] + 1) & ~F.get("rows", i + 1)["starts"], F.lit(False))
+    own = F.transform("rows", lambda r, i: F.when(r["told"].isNotNull(), F.struct(r["told"].alias("told"), (r["starts"] & after(r, i)).alias("attached"))))
+    return marked.select(F.inline(F.filter(own, lambda x: x.isNotNull())))
+
+
 def chunks(docs: DataFrame, fuzzy: bool = True) -> DataFrame:
     """case_id, side, line, label, value, field, chunk_ord (from 0).
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..storage import written
-from .chunks import DOC, chunks, lines, marked
+from .chunks import DOC, chunks, lines, told_lines
 
 #: Examples of a mode.
 EXAMPLES = 5
@@ -68,13 +68,8 @@ def slots(cases: DataFrame, wanted: dict[str, Column]) -> DataFrame:
 
 def continuations(docs: DataFrame) -> DataFrame:
     """word, attached, total: party label lines, and those whose next line continues the value. docs: case_id, side, text."""
-    raw = docs.select(*DOC, F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]")).alias("line", "raw"))
-    labelled = raw.filter(F.col("raw").rlike(PARTY_LINE)).select(*DOC, (F.col("line") + 1).alias("line"), F.lower(F.regexp_extract("raw", PARTY_LINE, 1)).alias("word"))
-    started = marked(docs).select(*DOC, "line", "starts")
-    own = labelled.join(started, [*DOC, "line"], "left").withColumnRenamed("starts", "own")
-    after = started.select(*DOC, (F.col("line") - 1).alias("line"), F.col("starts").alias("next"))
-    both = own.join(after, [*DOC, "line"], "left")
-    counted = both.groupBy("word").agg(F.count_if(F.coalesce(F.col("own") & ~F.col("next"), F.lit(False))).alias("attached"), F.count(F.lit(1)).alias("total"))
+    word = lambda x: F.when(x.rlike(PARTY_LINE), F.lower(F.regexp_extract(x, PARTY_LINE, 1)))
+    counted = told_lines(docs, word).groupBy(F.col("told").alias("word")).agg(F.count_if("attached").alias("attached"), F.count(F.lit(1)).alias("total"))
     dim = docs.sparkSession.createDataFrame([(w,) for w in PARTY_WORDS], "word string")
     zero = F.lit(0).cast("long")
     return dim.join(counted, "word", "left").select("word", F.coalesce("attached", zero).alias("attached"), F.coalesce("total", zero).alias("total"))

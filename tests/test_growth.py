@@ -1,6 +1,6 @@
 """What grows with the input is not sent through the driver, and documents are not exchanged more often than needed."""
 
-from dockett.operators import layout, worklist
+from dockett.operators import compare, layout, perturb, sampling, worklist
 from dockett.storage import written
 
 
@@ -38,3 +38,20 @@ def test_a_page_is_dealt_once(spark):
     assert {(r.doc, r.value_x) for r in layout.value_columns(words).collect()} == {(1, 200.0), (2, layout.NO_COLUMN)}
     got = {(r.doc, r.row): (r.label, r.value) for r in out.collect()}
     assert [got[1, i] for i in (1, 2, 3)] == [("L", "v w")] * 3 and ("Bold", "thin") in got.values() and len(got) == 6
+
+
+def test_continued_lines_are_read_once(spark):
+    """A blank line, a rule or a label that resolves ends a value; a no-break space in front is no beginning of a line."""
+    texts = ["Shipper: A\n  B\nConsignee: C\n\nD", " shipper: A\nB\r\nNotify Party: E\n====\nF", "\u00a0Shipper: A\nB\nnotify x: y\nPOL: Z", None, ""]
+    docs = written(spark.createDataFrame([(i, "SI", t) for i, t in enumerate(texts)], "case_id long, side string, text string"), "docs")
+    out = sampling.continuations(docs)
+    assert physical(out).count("ArrowEvalPython") == 1
+    assert sorted(map(tuple, out.collect())) == [("consignee", 0, 1), ("notify", 0, 2), ("shipper", 2, 2)]
+
+
+def test_sorting_calls_no_comparison_of_its_own(spark):
+    """array_sort compares through an expression that is interpreted for every two elements."""
+    docs = spark.createDataFrame([(1, "SI", "Shipper: A")], "case_id long, side string, text string")
+    values = spark.createDataFrame([(1, "shipper", 1, "A", "B")], "case_id long, field string, field_ord int, si_raw string, bl_raw string")
+    for made in (perturb.texts(docs), compare.by_case(compare.compare(values))):
+        assert "array_sort(" not in made._jdf.queryExecution().optimizedPlan().toString()
