@@ -46,7 +46,7 @@ def derive(compared: DataFrame, decisions: DataFrame, corrections: DataFrame, ca
     ruled = again.join(decisions, ["case_id", "field"], "left")
     stands = F.when(F.col("decision").isin("cleared", "fine"), MATCH).when(F.col("decision") == "flagged", MISMATCH).otherwise(F.col("verdict"))
     by = ruled.withColumn("stands", stands).groupBy("case_id").agg(
-        F.array_join(F.array_sort(F.collect_list(F.when(F.col("stands") == MISMATCH, F.col("field")))), ",").alias("defect_fields"), F.bool_or(F.col("stands") == UNCOMPARABLE).alias("open")
+        F.array_join(F.sort_array(F.collect_list(F.when(F.col("stands") == MISMATCH, F.col("field")))), ",").alias("defect_fields"), F.bool_or(F.col("stands") == UNCOMPARABLE).alias("open")
     )
     told = by.join(cant_tell.select("case_id", F.lit(True).alias("unsure")).distinct(), "case_id", "left")
     status = F.when(F.col("unsure"), "NEEDS_REVIEW").when(F.col("defect_fields") != "", "MISMATCH").when(F.col("open"), "NEEDS_REVIEW").otherwise("OK")

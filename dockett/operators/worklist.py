@@ -242,7 +242,7 @@ def value_lines(compared: DataFrame) -> DataFrame:
 def questions(compared: DataFrame) -> DataFrame:
     """What replies say of fields, in canonical order: case_id, asked and differing (phrases of fields), asked_lines and
     differing_lines, quoted (field and line of every field), agreed and unread (numbers of fields)."""
-    ordered = lambda cond, c: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("field_ord", F.col(c).alias("p"))))), lambda x: x["p"])
+    ordered = lambda cond, c: F.transform(F.sort_array(F.collect_list(F.when(cond, F.struct("field_ord", F.col(c).alias("p"))))), lambda x: x["p"])
     open_, asks = F.col("verdict") == "UNCOMPARABLE", F.coalesce(F.col("reason").isin(ASK_REASONS), F.lit(False))
     lines = value_lines(compared).withColumns({"phrase": _looked_up(FIELD_PHRASES, F.col("field")), "both": F.struct("field", F.col("quoted").alias("line"))})
     return lines.groupBy("case_id").agg(
