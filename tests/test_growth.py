@@ -1,5 +1,6 @@
 """What grows with the input is not sent through the driver, and documents are not exchanged more often than needed."""
 
+from dockett import queries
 from dockett.operators import compare, layout, perturb, sampling, worklist
 from dockett.storage import written
 
@@ -55,3 +56,8 @@ def test_sorting_calls_no_comparison_of_its_own(spark):
     values = spark.createDataFrame([(1, "shipper", 1, "A", "B")], "case_id long, field string, field_ord int, si_raw string, bl_raw string")
     for made in (perturb.texts(docs), compare.by_case(compare.compare(values))):
         assert "array_sort(" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_of_pairs_meet_without_a_further_exchange(spark):
+    plan = physical(queries.wrap_repair(spark, "/root/testdata/sf0.001"))
+    assert plan.count("orders.parquet") == 2 and plan.count("Exchange hashpartitioning(case_id#") <= 5
